@@ -7,7 +7,7 @@ column and offset indexes, so a read of doc_id and n_tokens, or of a range of do
 
 Words are encoded by the tokenizers library. The vocabulary lower-cases, drops white space and never merges over it, so a
 text's ids are those of its white-space-separated chunks in a row; each worker keeps what chunks it has encoded in
-two generations of ``KEEP`` each.
+two generations of bounded size.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id all stay and
 are laid in the order of their texts; an empty table gives no rows; other columns are ignored.
@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from .common import new_path, written
 
-KEEP = 220_000
+#: Chunks and letter runs that a worker keeps, twice; a run costs several times what a chunk of a known run does.
+KEEP_CHUNKS, KEEP_CORES = 90_000, 350_000
 TAILS = ".,!?;:%*$#&"
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -57,7 +58,7 @@ class ChunkEncoder:
         """A run of letters of ASCII or Latin-1 in lower case: one piece, so the model can have it as it is."""
         found = self.cores.get(core)
         if found is None:
-            if len(self.cores) >= KEEP:
+            if len(self.cores) >= KEEP_CORES:
                 self.old_cores, self.cores = self.cores, {}
             found = self.old_cores.get(core)
             if found is None:
@@ -68,7 +69,7 @@ class ChunkEncoder:
         return found
 
     def _miss(self, raw: bytes) -> bytes:
-        if len(self.chunks) >= KEEP:
+        if len(self.chunks) >= KEEP_CHUNKS:
             self.old_chunks, self.chunks = self.chunks, {}
         ids = self.old_chunks.get(raw)
         if ids is None:
