@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import unique_column
+from .common import unique_column, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Up to so many sources (a name and two numbers each) their table is sent to all tasks; beyond, it is joined by shuffle.
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -45,13 +47,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return found.withColumn("settled", settled).select("source", "source_size", F.least("limit", F.coalesce(F.col("weight") * F.col("settled"), F.col("limit"))).alias("target"))
 
 
-def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: int = 42) -> DataFrame:
+def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: int = 42, max_broadcast: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with mix_size, mix_source_size, mix_target and mix_copies."""
     names = {c: unique_column(docs, f"mix_{c}") for c in ("size", "source_size", "target", "copies")}
     sized = docs.withColumn(names["size"], n_words(F.col("text")))
     sums = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
     goal = targets(sums, weights, cap).select(F.col("source").alias("mix_of"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
-    # One row a source on the right: adaptive execution sends it to all tasks while it is small.
+    goal = written(goal, "mix-sources")
+    if goal.count() <= max_broadcast:
+        goal = F.broadcast(goal)
     joined = sized.join(goal, F.col("source").eqNullSafe(F.col("mix_of")), "left").drop("mix_of")
     rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(0.0)
     named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))

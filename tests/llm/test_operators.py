@@ -386,6 +386,8 @@ def test_mix_report(table, docs, empty):
     rows = source_mix.report(table).collect()
     assert sorted(map(tuple, source_mix.report(table.repartition(7)).collect())) == sorted(map(tuple, rows))
     assert all(r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in rows)
+    plain = source_mix.with_copies(table, max_broadcast=0).select("doc_id", F.col("mix_size") * F.col("mix_copies"))
+    assert sorted(map(tuple, plain.collect())) == sorted((r["doc_id"], r["taken"]) for r in rows)
     assert source_mix.report(empty).count() == 0 and source_mix.report(docs).count() == len(odd_rows())
     mixed = source_mix.mixed(table)
     assert mixed.columns == table.columns
