@@ -101,12 +101,12 @@ def _likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], temper: f
 
 def _trust(scored: DataFrame, by: str, n: int, weight: float = 20.0) -> DataFrame:
     """(by, log P(value | language) as an array), counted over all rows, smoothed towards the value's overall share."""
-    pairs = scored.where(F.col(by).isNotNull() & (F.col("best") >= 0)).groupBy(by, "best").agg(F.count("*").alias("n"))
+    pairs = written(scored.where(F.col(by).isNotNull() & (F.col("best") >= 0)).groupBy(by, "best").agg(F.count("*").alias("n")), f"language-{by}")
     by_value = pairs.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"), F.sum("n").alias("value_n"))
-    totals = pairs.groupBy("best").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("t"), F.sum("n").alias("all_n"))
-    # One row of totals, at most one number a language.
-    log = lambda i: F.log((F.coalesce(F.col("m")[i], F.lit(0)) + weight * F.col("value_n") / F.col("all_n")) / (F.coalesce(F.col("t")[i], F.lit(0)) + weight))
-    return by_value.crossJoin(F.broadcast(totals)).select(by, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log).alias(f"{by}_ll"))
+    totals = {r["best"]: r["n"] for r in pairs.groupBy("best").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    every = max(1, sum(totals.values()))
+    log = lambda i: F.log((F.coalesce(F.col("m")[F.lit(i)], F.lit(0)) + weight * F.col("value_n") / every) / (totals.get(i, 0) + weight))
+    return by_value.select(by, F.array(*[log(i) for i in range(n)]).alias(f"{by}_ll"))
 
 
 def _counts(scored: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
@@ -119,11 +119,12 @@ def _priors(scored: DataFrame, n: int, weight: float = 20.0) -> DataFrame:
     hosts = written(_counts(scored.where(F.col("host").isNotNull()), ["host", "parent"], n, "own"), "language-hosts")
     summed = lambda c, name: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(name)
     parents = hosts.groupBy(F.col("parent").alias("of_parent")).agg(summed("own", "up"))
-    every = hosts.agg(summed("own", "top"))
+    top = [x or 0 for x in hosts.agg(summed("own", "top")).first()["top"]]  # a number a language
+    p0 = F.array(*[F.lit((c + weight / n) / (sum(top) + weight)) for c in top])
     total = lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     smooth = lambda c, prior: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.coalesce(F.get(F.col(c), i), F.lit(0)) + weight * F.get(prior, i)) / (total(F.col(c)) + weight))
-    out = hosts.join(parents, F.col("parent").eqNullSafe(F.col("of_parent")), "left").select("host", "own", "up").crossJoin(F.broadcast(every))
-    out = out.withColumn("p0", smooth("top", F.array_repeat(F.lit(1.0 / n), n))).withColumn("p1", smooth("up", F.col("p0"))).withColumn("p2", smooth("own", F.col("p1")))
+    out = hosts.join(parents, F.col("parent").eqNullSafe(F.col("of_parent")), "left").select("host", "own", "up")
+    out = out.withColumn("p1", smooth("up", p0)).withColumn("p2", smooth("own", F.col("p1")))
     return out.select("host", F.transform("p2", lambda x: F.log(x)).alias("prior_ll"))
 
 

@@ -74,11 +74,11 @@ def fences(rows: DataFrame, min_group: int = 100, width: float = 3.0) -> DataFra
         return df.select(*keys, F.col("n").alias(f"{tag}_n"), *(F.struct(at(m, 0.25).alias("a"), at(m, 0.75).alias("b")).alias(f"{tag}_{m}") for m, *_ in MEASURES))
 
     lang_rows = quartiles(by_lang, "lang").withColumnRenamed("lang", "of_lang")
-    # The right sides have a row a language and one row in all.
-    joined = quartiles(own, "own").join(lang_rows, F.col("lang").eqNullSafe(F.col("of_lang")), "left").crossJoin(F.broadcast(quartiles(every, "all")))
+    overall = quartiles(every, "all").first()  # two numbers a measure
+    joined = quartiles(own, "own").join(lang_rows, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     out = ["lang", "source"]
     for m, _, _, least, sides in MEASURES:
-        q = F.when(F.col("own_n") >= min_group, F.col(f"own_{m}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
+        q = F.when(F.col("own_n") >= min_group, F.col(f"own_{m}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{m}")).otherwise(F.struct(*[F.lit(overall[f"all_{m}"][c]).cast("double").alias(c) for c in ("a", "b")]))
         spread = width * F.greatest(q["b"] - q["a"], F.lit(least))
         out += [(q["b"] + spread).alias(f"high_{m}"), (q["a"] - spread if sides == "both" else F.lit(float("-inf"))).alias(f"low_{m}")]
     return joined.select(*out)
