@@ -66,9 +66,8 @@ def needs_correction(segments: DataFrame, pairs: DataFrame, max_alternatives: in
     few = forms.limit(max_alternatives + 1).collect()
     if len(few) <= max_alternatives:
         return segments.where(F.col("text").rlike("|".join(literal(r["wrong"]) for r in sorted(few)))) if few else segments.where(F.lit(False))
-    lengths = forms.select(F.length("wrong").alias("n")).distinct()
-    sized = segments.select("doc_id", "seg_no", "text").crossJoin(F.broadcast(lengths.agg(F.array_sort(F.collect_set("n")).alias("ns"))))
-    grams = sized.select("doc_id", "seg_no", "text", F.explode("ns").alias("n")).where(F.length("text") >= F.col("n"))
+    lengths = sorted(r["n"] for r in forms.select(F.length("wrong").alias("n")).distinct().collect())  # a few whole numbers
+    grams = segments.select("doc_id", "seg_no", "text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.length("text") >= F.col("n"))
     grams = grams.select("doc_id", "seg_no", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("wrong"))
     hit = grams.join(forms, "wrong", "left_semi").select("doc_id", "seg_no").distinct()
     return segments.join(hit, ["doc_id", "seg_no"], "left_semi")
@@ -201,8 +200,11 @@ def glossary_block(terms: DataFrame, pairs: DataFrame, n_terms: int = 200, n_pai
 
 def union_glossaries(global_terms: DataFrame, template_terms: DataFrame) -> DataFrame:
     """K8: (scope, ord, term) of each template scope: the global terms and then its own, the first of equal ones."""
-    scopes = template_terms.select("scope").distinct()
-    shared = global_terms.select("term", F.col("ord").alias("o")).withColumn("side", F.lit(0)).crossJoin(F.broadcast(scopes.agg(F.collect_set("scope").alias("all")))).select(F.explode("all").alias("scope"), "term", "o", "side")
+    scopes = sorted(r["scope"] for r in template_terms.select("scope").distinct().limit(MAX_ALTERNATIVES + 1).collect())  # the template registry
+    if len(scopes) > MAX_ALTERNATIVES:
+        raise ValueError(f"more than {MAX_ALTERNATIVES} scopes")
+    named = F.array(*[F.lit(s) for s in scopes]).cast("array<string>")
+    shared = global_terms.select(F.explode(named).alias("scope"), "term", F.col("ord").alias("o"), F.lit(0).alias("side"))
     both = shared.unionByName(template_terms.select("scope", "term", F.col("ord").alias("o"), F.lit(1).alias("side")))
     first = both.groupBy("scope", "term").agg(F.min(F.struct("side", "o")).alias("at"))
     return first.select("scope", F.row_number().over(W.partitionBy("scope").orderBy("at")).alias("ord"), "term")
