@@ -6,8 +6,8 @@ and ids go through a dictionary as far as it fits a page. Row groups and pages h
 column and offset indexes, so a read of doc_id and n_tokens, or of a range of documents, skips the lists' pages.
 
 Words are encoded by the tokenizers library. The vocabulary lower-cases, drops white space and never merges over it, so a
-text's ids are those of its white-space-separated chunks in a row; each worker keeps what chunks it has encoded in
-two generations of bounded size.
+text's ids are those of its white-space-separated chunks in a row; each worker keeps what chunks it has encoded, up to
+``KEEP`` of them, and starts afresh beyond.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id all stay and
 are laid in the order of their texts; an empty table gives no rows; other columns are ignored.
@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,7 @@ from pyspark.sql import types as T
 
 from .common import new_path, written
 
-#: Chunks and letter runs that a worker keeps, twice; a run costs several times what a chunk of a known run does.
-KEEP_CHUNKS, KEEP_CORES = 90_000, 350_000
+KEEP = 250_000
 TAILS = ".,!?;:%*$#&"
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -47,9 +45,6 @@ class ChunkEncoder:
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.chunks: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        #: What was kept before the last fresh start: still looked up, so that common chunks aren't encoded again.
-        self.old_chunks: dict[bytes, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,32 +53,25 @@ class ChunkEncoder:
         """A run of letters of ASCII or Latin-1 in lower case: one piece, so the model can have it as it is."""
         found = self.cores.get(core)
         if found is None:
-            if len(self.cores) >= KEEP_CORES:
-                self.old_cores, self.cores = self.cores, {}
-            found = self.old_cores.get(core)
-            if found is None:
-                spelled = core if core.isascii() else self.spell(core)[0][0]
-                ids = [t.id for t in self.model.tokenize(spelled)]
-                found = pack(f"<{len(ids)}I", *ids)
-            self.cores[core] = found
+            if len(self.cores) >= KEEP:
+                self.cores.clear()
+            spelled = core if core.isascii() else self.spell(core)[0][0]
+            found = self.cores[core] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
         return found
 
     def _miss(self, raw: bytes) -> bytes:
-        if len(self.chunks) >= KEEP_CHUNKS:
-            self.old_chunks, self.chunks = self.chunks, {}
-        ids = self.old_chunks.get(raw)
-        if ids is None:
-            ids = self._made(raw.decode("utf-8", "replace"))
-        self.chunks[raw] = ids
-        return ids
-
-    def _made(self, chunk: str) -> bytes:
+        chunk = raw.decode("utf-8", "replace")
         core = chunk.rstrip(TAILS)
         # Letters followed by such signs are two pieces; no special token has these signs.
         if core.isalpha() and max(core) <= "\xff":
             tail = chunk[len(core) :]
-            return self._core(core.lower()) + (self._tail(tail) if tail else b"")
-        return self._whole(chunk)
+            ids = self._core(core.lower()) + (self._tail(tail) if tail else b"")
+        else:
+            ids = self._whole(chunk)
+        if len(self.chunks) >= KEEP:
+            self.chunks.clear()
+        self.chunks[raw] = ids
+        return ids
 
     def _tail(self, tail: str) -> bytes:
         found = self.cores.get(tail)
