@@ -203,10 +203,10 @@ def v16_terminal_state_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.terminal_state_gate(fr.task_events(spark, sf_dir).withColumn("summary_failed", failed)).select("task_id", "seq", "ok")
 
 
-@query("""WITH f AS (SELECT doc_id, length(text) >= 100 AS long_enough, regexp_matches(text, '(?m)^Le') AS structured, contains(lower(text), 'error') OR contains(lower(text), 'failed') AS has_error, len(regexp_extract_all(text, '\\b[A-Za-z]+\\b')) AS w, len(regexp_extract_all(text, '[㐀-鿿]')) AS c FROM documents)
+@query("""WITH f AS (SELECT doc_id, length(text) >= 100 AS long_enough, regexp_matches(text, '(?m)^Le') AS structured, contains(lower(text), 'error') OR contains(lower(text), 'failed') AS has_error, len(regexp_extract_all(text, '\\b[A-Za-z]+\\b')) AS w, len(regexp_extract_all(text, '[㐀-鿿]')) AS c FROM (SELECT doc_id, regexp_replace(text, '[À-ÿ]', 'e', 'g') AS text FROM documents))
 SELECT doc_id, long_enough, structured, has_error, CASE WHEN w + c = 0 THEN true ELSE w / (w + c) <= 0.1 END AS native_words, long_enough AND structured AND NOT has_error AND CASE WHEN w + c = 0 THEN true ELSE w / (w + c) <= 0.1 END AS valid FROM f""")
 def v17_legacy_summary_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.legacy_summary_valid(records(spark, sf_dir), marks="(?m)^Le")
+    return validate.legacy_summary_valid(records(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[À-ÿ]", "e")), marks="(?m)^Le")
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
