@@ -51,6 +51,8 @@ SENTENCE_END = r"(?<=[。！？!?\n])"
 SEPARATORS = r"[、，,。\s]*"
 LOOP_SINGLE = rf"(?U)([^\s、，,。])({SEPARATORS}\1)(?:{SEPARATORS}\1){{6,}}"
 LOOP_MULTI = rf"(?U)(\S{{2,20}}?)({SEPARATORS}\1)(?:{SEPARATORS}\1){{2,}}"
+#: A noncharacter that stands behind each collapsed loop until it is counted.
+MARK = "\uffff"
 
 
 def stripped(text: Column) -> Column:
@@ -62,20 +64,21 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_of(characters: str) -> str:
-    return "[" + "".join("\\" + c if c in "\\^-]" else c for c in characters) + "]"
+def has_any(text: Column, characters: str) -> Column:
+    """Whether one of many characters occurs: one lookup a character, where a class of a pattern tries them in turn."""
+    return F.translate(text, characters, "") != text
 
 
 def drift_counts(docs: DataFrame, characters: str = SIMPLIFIED) -> DataFrame:
     """Adds lines with a drift character and how many such characters there are."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(any_of(characters)))
-    return docs.withColumn("drift_lines", F.size(lines)).withColumn("drift_chars", F.coalesce(counted(F.col("text"), any_of(characters)), F.lit(0)))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: has_any(x, characters))
+    return docs.withColumn("drift_lines", F.size(lines)).withColumn("drift_chars", F.coalesce(F.length("text") - F.length(F.translate("text", characters, "")), F.lit(0)))
 
 
 def variant_normalised(text: Column, mapping: dict[str, str], characters: str = SIMPLIFIED) -> Column:
     """Characters of ``mapping`` are replaced in the lines that drift, and only there."""
     old, new = "".join(mapping), "".join(mapping.values())
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(any_of(characters)), F.translate(x, old, new)).otherwise(x)), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(has_any(x, characters), F.translate(x, old, new)).otherwise(x)), "\n")
 
 
 def language_mix(docs: DataFrame) -> DataFrame:
@@ -100,11 +103,20 @@ def remove_boilerplate(docs: DataFrame, patterns: list[str] | None = None, ignor
     return out.withColumn("text", stripped(F.when(F.col("boilerplate_removed") > 0, squeezed).otherwise(F.col("text"))))
 
 
+def _looped(text: Column, pattern: str) -> Column:
+    """(text, n): loops of the pattern collapsed and counted in one pass over the text; a text that has the mark itself
+    takes two."""
+    bare = lambda m: F.replace(m, F.lit(MARK), F.lit(""))
+    one_pass = once(F.regexp_replace(text, pattern, "$1$2" + MARK), lambda m: F.struct(bare(m).alias("text"), (F.length(m) - F.length(bare(m))).alias("n")))
+    two_passes = F.struct(F.regexp_replace(text, pattern, "$1$2").alias("text"), counted(text, pattern).alias("n"))
+    return F.when(text.contains(MARK), two_passes).otherwise(one_pass)
+
+
 def collapse_loops(docs: DataFrame) -> DataFrame:
     """One character eight times or more, or 2-20 characters four times or more, with light separators at most, become
     two, with the first separator; adds ``loops_collapsed``. Single characters go first."""
-    out = docs.withColumn("loops_collapsed", counted(F.col("text"), LOOP_SINGLE)).withColumn("text", F.regexp_replace("text", LOOP_SINGLE, "$1$2"))
-    return out.withColumn("loops_collapsed", F.col("loops_collapsed") + counted(F.col("text"), LOOP_MULTI)).withColumn("text", F.regexp_replace("text", LOOP_MULTI, "$1$2"))
+    out = docs.withColumn("single", _looped(F.col("text"), LOOP_SINGLE)).withColumn("multi", _looped(F.col("single.text"), LOOP_MULTI))
+    return out.withColumn("text", F.col("multi.text")).withColumn("loops_collapsed", F.col("single.n") + F.col("multi.n")).drop("single", "multi")
 
 
 def dedup_consecutive_sentences(docs: DataFrame, min_len: int = 4, ends: str = SENTENCE_END) -> DataFrame:
@@ -128,7 +140,7 @@ def clean_corpus(docs: DataFrame, mapping: dict[str, str] | None = None, pattern
     """P7, C1, C2, C3, C4 in this order, with their counters as columns."""
     before = F.col("text")
     out = docs.withColumn("text", variant_normalised(before, mapping)) if mapping else docs
-    out = out.withColumn("normalised", F.lit(False) if not mapping else F.col("text").rlike(any_of("".join(mapping.values()))))
+    out = out.withColumn("normalised", F.lit(False) if not mapping else has_any(F.col("text"), "".join(mapping.values())))
     return apply_term_fixes(dedup_consecutive_sentences(collapse_loops(remove_boilerplate(out, patterns))), fixes)
 
 

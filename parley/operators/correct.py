@@ -94,18 +94,69 @@ def near_syllables(syllables: DataFrame, initials: list[tuple[str, str]] = NEAR_
     return found.select(F.concat_ws("|", "initial", "final").alias("a"), F.concat_ws("|", "other_initial", "other_final").alias("b"))
 
 
-def near_homophone_hits(segments: DataFrame, terms: DataFrame, syllables: DataFrame, character: str = CJK) -> DataFrame:
+def _only(text: Column | str, character: str) -> Column:
+    return F.regexp_replace(text, f"[^{character[1:-1]}]", "")
+
+
+def _letters(text: Column | str) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+def _sounds(terms: DataFrame, syllables: DataFrame, character: str) -> DataFrame:
+    """(term, t, n, offset, a): the syllables that sound like each position of a term of 2-6 characters."""
+    said = syllables.select("ch", F.concat_ws("|", "initial", "final").alias("b"))
+    short = terms.select("term", _only("term", character).alias("t")).where(F.length("t").between(2, 6)).distinct()
+    cells = short.select("term", "t", F.length("t").alias("n"), F.posexplode(_letters("t")).alias("offset", "ch")).join(said, "ch")
+    return cells.join(near_syllables(syllables), "b").select("term", "t", "n", "offset", "a")
+
+
+def _class_of(characters: list[str]) -> str:
+    return "[" + "".join(c if c.isalnum() else "\\" + c for c in sorted(characters)) + "]"
+
+
+def near_homophone_hits(segments: DataFrame, terms: DataFrame, syllables: DataFrame, character: str = CJK, max_terms: int = 200, max_syllables: int = 50_000) -> DataFrame:
     """K3: (doc_id, seg_no, term, start): windows of a term's length (2-6) that sound like it, position by position, in
-    segments that don't hold the term itself. Only characters of the class count. syllables (ch, initial, final)."""
-    only = lambda c: F.regexp_replace(c, f"[^{character[1:-1]}]", "")
-    said = syllables.select("ch", F.concat_ws("|", "initial", "final").alias("syllable"))
-    own = segments.select("doc_id", "seg_no", only("text").alias("plain"))
-    short = terms.select(F.col("term"), only("term").alias("t")).where(F.length("t").between(2, 6)).distinct()
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    heard = own.select("doc_id", "seg_no", F.posexplode(letters("plain")).alias("pos", "ch")).join(said, "ch").select("doc_id", "seg_no", "pos", F.col("syllable").alias("a"))
-    wanted = short.select("term", "t", F.length("t").alias("n"), F.posexplode(letters("t")).alias("offset", "ch")).join(said, "ch").select("term", "t", "n", "offset", F.col("syllable").alias("b"))
-    near = near_syllables(syllables)
-    hits = wanted.join(near, "b").join(heard, "a").select("doc_id", "seg_no", "term", "t", "n", (F.col("pos") - F.col("offset")).alias("start"), "offset")
+    segments that don't hold the term itself. Only characters of the class count. syllables (ch, initial, final).
+
+    While terms and syllables are few (both counted first), each term is a pattern with a class of characters for each
+    position, and the scan finds its starts without a shuffle; beyond that, positions are joined.
+    """
+    few = terms.select("term").distinct().limit(max_terms + 1).count() <= max_terms and syllables.limit(max_syllables + 1).count() <= max_syllables
+    return _hits_by_pattern(segments, terms, syllables, character) if few else _hits_by_join(segments, terms, syllables, character)
+
+
+def _hits_by_pattern(segments: DataFrame, terms: DataFrame, syllables: DataFrame, character: str) -> DataFrame:
+    said = syllables.select("ch", F.concat_ws("|", "initial", "final").alias("a"))
+    # max_terms x 6 rows, each with characters of the bounded table.
+    rows = _sounds(terms, syllables, character).join(said, "a").groupBy("term", "t", "n", "offset").agg(F.collect_set("ch").alias("chars")).collect()
+    sounds: dict[tuple[str, str], dict[int, str]] = {}
+    for r in rows:
+        sounds.setdefault((r["term"], r["t"]), {})[r["offset"]] = _class_of(r["chars"])
+
+    def starts(text: Column, pattern: str) -> Column:
+        # Cut before every start: all pieces but the first begin with a hit, and the first does if the text does.
+        ends = lambda parts: F.aggregate(parts, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0)) + F.length(x))))
+        cuts = F.get(F.transform(F.array(F.split(text, f"(?={pattern})")), lambda p: ends(F.slice(p, 1, F.size(p) - 1))), F.lit(0))
+        return F.concat(F.when(text.rlike("^" + pattern), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), cuts)
+
+    own = segments.select("doc_id", "seg_no", _only("text", character).alias("plain"))
+    found = []
+    for (term, t), at in sorted(sounds.items()):
+        if len(at) == len(t):
+            pattern = "".join(at[i] for i in range(len(t)))
+            hit = ~F.contains("plain", F.lit(t)) & F.col("plain").rlike(pattern)
+            found.append(F.when(hit, F.struct(F.lit(term).alias("term"), starts(F.col("plain"), pattern).alias("starts"))))
+    if not found:
+        return own.where(F.lit(False)).select("doc_id", "seg_no", F.lit("").alias("term"), F.lit(0).alias("start"))
+    hits = own.select("doc_id", "seg_no", F.explode(F.array_compact(F.array(*found))).alias("hit"))
+    return hits.select("doc_id", "seg_no", "hit.term", F.explode("hit.starts").alias("start"))
+
+
+def _hits_by_join(segments: DataFrame, terms: DataFrame, syllables: DataFrame, character: str) -> DataFrame:
+    said = syllables.select("ch", F.concat_ws("|", "initial", "final").alias("a"))
+    own = segments.select("doc_id", "seg_no", _only("text", character).alias("plain"))
+    heard = own.select("doc_id", "seg_no", F.posexplode(_letters("plain")).alias("pos", "ch")).join(said, "ch").select("doc_id", "seg_no", "pos", "a")
+    hits = _sounds(terms, syllables, character).join(heard, "a").select("doc_id", "seg_no", "term", "t", "n", (F.col("pos") - F.col("offset")).alias("start"), "offset")
     whole = hits.groupBy("doc_id", "seg_no", "term", "t", "n", "start").agg(F.count_distinct("offset").alias("found")).where("found = n and start >= 0")
     return whole.join(own, ["doc_id", "seg_no"]).where(~F.contains("plain", F.col("t"))).select("doc_id", "seg_no", "term", "start")
 

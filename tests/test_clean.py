@@ -185,3 +185,28 @@ def test_similarity(spark):
     rows = spark.createDataFrame([(1, "今天開會（備註）", "今天,開會"), (2, "abc", None)], "item_no int, text string, predicted string")
     assert [r["similarity"] for r in reports.score_alignment(rows, "ratio").orderBy("item_no").collect()] == [1.0, 0.0]
     assert [r["similarity"] for r in reports.score_alignment(rows).orderBy("item_no").collect()] == [1.0, 0.0]
+
+
+@pytest.mark.parametrize("max_terms", [200, 0])
+def test_homophones_by_pattern_and_by_join(spark, max_terms):
+    letters = {"b": ("zh", "a"), "d": ("z", "a"), "o": ("", "o"), "e": ("", "e"), "x": ("x", "i")}
+    syllables = spark.createDataFrame([(c, i, f) for c, (i, f) in letters.items()], "ch string, initial string, final string")
+    texts = ["debe", "dodo dodo", "bobo", "b-e b o x", "bbebe", "", None, "ex ex"]
+    segments = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, seg_no int, text string")
+    terms = spark.createDataFrame([("bobo",), ("be",), ("bobo",), ("q",), ("qq",), ("b",)], "term string")
+    alike = {("b", "d"), ("o", "e")}
+    near = lambda a, b: a == b or (a, b) in alike or (b, a) in alike
+    expected = []
+    for i, t in enumerate(texts):
+        p = "".join(c for c in t or "" if "a" <= c <= "z")
+        for term in ("bobo", "be"):
+            if term not in p:
+                expected += [(i, term, s) for s in range(len(p) - len(term) + 1) if all(near(x, y) for x, y in zip(p[s:], term, strict=False))]
+    rows = correct.near_homophone_hits(segments, terms, syllables, "[a-z]", max_terms=max_terms).collect()
+    assert sorted((r["seg_no"], r["term"], r["start"]) for r in rows) == sorted(expected) and expected
+
+
+def test_a_text_with_the_mark_itself_keeps_it(spark):
+    row = one(spark, "￿對對對對對對對對 請看影片 請看影片 請看影片 請看影片", clean.collapse_loops, None)
+    assert row["text"] == "￿對對 請看影片 請看影片" and row["loops_collapsed"] == 2
+    assert one(spark, None, clean.collapse_loops, None)["loops_collapsed"] is None
