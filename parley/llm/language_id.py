@@ -1,8 +1,8 @@
 """Operator 1, language identification by Bayesian evidence fusion.
 
 Evidence on a text: the likelihood of its byte trigrams under each language; the language its markup declares; the suffix
-of its address; and a prior of its host. Likelihoods are learned from a bounded sample of declared rows (``fit``, at most
-``sample_per_language`` rows a language, chosen by hash). How far a declaration or suffix can be trusted is counted over
+of its address; and a prior of its host. Likelihoods are learned from a bounded sample of declared rows (``fit``, about
+``sample_per_language`` rows a language, chosen by hash of the text, equal texts once). How far a declaration or suffix can be trusted is counted over
 all rows by grouped aggregation, against what the text alone says. Host priors are counts per host, smoothed towards the
 parent domain, that towards all rows.
 
@@ -59,7 +59,8 @@ def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int =
     # A row is in the sample if its hash falls below the share that gives the wanted number of rows.
     share = F.create_map(*[x for k in named for x in (F.lit(k), F.lit(min(1.0, sample_per_language / sizes[k])))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.where(F.col("declared").isin(named)).where(draw < share[F.col("declared")])
+    # Copies of a text are drawn together, so each text counts once: a large group of copies can't fill the sample.
+    sample = rows.where(F.col("declared").isin(named)).where(draw < share[F.col("declared")]).dropDuplicates()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -61,7 +61,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def fences(rows: DataFrame, min_group: int = 100, width: float = 3.0) -> DataFrame:
-    """(lang, source, low_ and high_ of each measure). Rows that fail the base rule are not in the sketches."""
+    """(lang, source, low_ and high_ of each measure). Rows without words are not in the sketches."""
     sketched = [F.kll_sketch_agg_double(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))).alias(m) for m, a, b, _, _ in MEASURES]
     merged = [F.kll_merge_agg_double(m).alias(m) for m, *_ in MEASURES]
     own = written(rows.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *sketched), "quality-sketches")

@@ -122,7 +122,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     spots = files.select("n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # One row a file: the sum of those before it. Within a file, the running sum is over that file alone.
     sums = written(spots.groupBy("file").agg(F.sum("n_tokens").cast("long").alias("n")), "tokens-files")
-    before = sums.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("before"))
+    # Part numbers have five digits or, from the 100,000th file on, more: longer names come later.
+    before = sums.select("file", (F.sum("n").over(W.orderBy(F.length("file"), "file")) - F.col("n")).alias("before"))
     rows = files.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     return rows.join(before, "file")
 

@@ -83,6 +83,14 @@ def test_language_odd_rows(docs, empty):
     assert language_id.report(empty).count() == 0
 
 
+def test_language_sample_counts_a_copied_text_once(spark):
+    rows = [(i, f"mot{i} der die das und nicht mit von", "de") for i in range(20)] + [(100 + i, "the of and with from that", "en") for i in range(20)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, declared string")
+    many = one.unionByName(one.where("doc_id = 3").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy"))
+    fitted = [language_id.fit(d, "text", F.col("declared"), sample_per_language=10_000) for d in (one, many)]
+    assert fitted[0][0] == fitted[1][0] == ["de", "en"] and (fitted[0][1] == fitted[1][1]).all()
+
+
 def test_host_prior_decides_a_short_text(spark):
     rows = [(i, t, "fr" if "le" in t else "en", s) for i, (t, s) in enumerate([("le la les des une dans pour", "x.fr")] * 60 + [("the of and with from that", "y.org")] * 60)]
     rows += [(900, "abcdefgh", None, "x.fr"), (901, "abcdefgh", None, "y.org")]
