@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from parley.llm import decontaminate, html_text, language_id, license_scan, line_dedup, quality_fm, quality_rules, simhash, source_mix, token_output
+from parley.llm import decontaminate, html_text, language_id, license_scan, line_dedup, near_copies, quality_fm, quality_rules, simhash, source_mix, token_output
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -266,6 +266,24 @@ def test_simhash_odd_rows(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_at_four_fifths(spark):
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for n in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = list(words)
+        for at in rng.sample(range(200), 2 + n % 3):  # each changes up to five of 196 shingles
+            copy[at] = "other"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    # Half of the words in common, not near.
+    rows.append((1000, " ".join(rows[0][1].split()[:100] + [f"z{i}" for i in range(100)])))
+    made = spark.createDataFrame(rows, "key long, text string")
+    found = {r["key"]: r["group"] for r in near_copies.groups(made).collect()}
+    assert sum(found[2 * n] == found[2 * n + 1] for n in range(60)) >= 59
+    assert len(set(found.values())) <= 62 and found[1000] not in (found[0], found[1])
+    assert len({r["group"] for r in simhash.near_duplicates(made.withColumnRenamed("key", "doc_id")).select(F.col("component_id").alias("group")).collect()}) > 90
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
