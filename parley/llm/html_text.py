@@ -42,6 +42,8 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: What a head may hold; any other tag, or text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("title meta link base style script noscript template head".split())
 SCOPES = frozenset(["table", "td", "th", "caption", "html", "body"])
 
 
@@ -97,7 +99,13 @@ class Page:
         self.hidden = 0
         self.title = ""
 
+    def _end_head(self) -> None:
+        while self.open and self.open[-1][0] == "head":
+            self._pop()
+
     def start(self, name: str, attributes: str) -> None:
+        if name not in IN_HEAD:
+            self._end_head()
         if name in ENDS_P:
             self._close_to(frozenset(["p"]), SCOPES)
         if name in IMPLIED:
@@ -246,6 +254,8 @@ class Page:
         flow.gap = not self.lists
 
     def text(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         if not self.hidden and data:
             self.flows[-1].add(html.unescape(data) if "&" in data else data, self.pre > 0)
 
@@ -263,6 +273,8 @@ class Page:
                 self.end(name)
                 continue
             if name in RAW:
+                if name not in IN_HEAD:
+                    self._end_head()
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 body = source[at : close.start()] if close else source[at:]
                 at = close.end() if close else len(source)

@@ -442,6 +442,10 @@ def test_mix_report(table, docs, empty):
         ("<p title='broken>in", "in"),
         ("<td>lone", "lone"),
         ("</p></div></table>z", "z"),
+        ("<html><head><title>T</title><meta charset=x><p>Hello<p>there", "Hello\n\nthere"),
+        ("<head>\n<title>T</title>\n<script>no</script>plain &amp; <b>bold</b>", "plain & bold"),
+        ("<head><link rel=x><textarea>in</textarea>", "in"),
+        ("<head hidden><title>T</title></head><p>x", "x"),
     ],
 )
 def test_html_pages(page, text):
