@@ -1,7 +1,8 @@
 """Operator 3, licence scans by sentence rules. DataFrame functions only.
 
 Texts are cut into sentences; a sentence is normalised (A-Z lower-cased, other runs than letters, digits and non-ASCII to
-one space) and joined with the table of known licence sentences. The identifiers found in a text, in its order, form a
+one space, which takes comment marks away) and joined with the table of known licence sentences, each line's part by itself
+and the parts of a sentence that is wrapped over lines as one. The identifiers found in a text, in its order, form a
 sequence; a licence rule is an ordered list of identifiers, which the sequence must contain in that order, with other
 known sentences allowed between. Rules are tried by their first identifier.
 
@@ -52,6 +53,9 @@ RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends at a line end, or at . ! ? : before white space.
 ENDS = r"\n|[.!?:][ \t\r]"
+#: A part ends at a line end too; its sentence goes on in the next part unless one of the two is blank or it ends with . ! ? :
+PART_END = r"[.!?:][ \t\r]|\n"
+SENTENCE_END = r"[.!?:][ \t\r\n]*$"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -74,10 +78,19 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def found_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, text's number, place, sentence_id) of every known sentence."""
-    cut = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), ENDS)).alias("place", "part"))
-    cut = cut.where(F.length("part") >= 8).select("doc_id", "place", normalised(F.col("part")).alias("sentence"))
-    return cut.join(sentences, "sentence").select("doc_id", "place", "sentence_id")
+    """(doc_id, text's number, place, sentence_id) of every known sentence: on one line, or wrapped over several."""
+    marked = F.regexp_replace(F.coalesce("text", F.lit("")), PART_END, "$0\x01")
+    cut = docs.select("doc_id", F.split(marked, "\x01").alias("parts"))
+    said = F.transform("parts", lambda x: F.struct(normalised(x).alias("sentence"), x.rlike(SENTENCE_END).alias("ends")))
+    cut = cut.select("doc_id", said.alias("parts"))
+    apart = lambda i: F.get("parts", i - 1)["ends"] | (F.get("parts", i - 1)["sentence"] == "") | (F.get("parts", i)["sentence"] == "")
+    first = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (i == 0) | apart(i))
+    cut = cut.select("doc_id", "parts", F.concat(first, F.array(F.size("parts"))).alias("first"))
+    runs = F.filter(F.arrays_zip(F.col("first").alias("a"), F.slice("first", F.lit(2), F.size("first")).alias("b")), lambda z: z["b"] - z["a"] > 1)
+    whole = F.transform(runs, lambda z: F.struct(z["a"].alias("place"), F.array_join(F.transform(F.slice("parts", z["a"] + 1, z["b"] - z["a"]), lambda x: x["sentence"]), " ").alias("sentence")))
+    lines = F.transform("parts", lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
+    each = cut.select("doc_id", F.explode(F.concat(lines, whole)).alias("s")).select("doc_id", "s.place", "s.sentence").where("sentence <> ''")
+    return each.join(sentences, "sentence").select("doc_id", "place", "sentence_id")
 
 
 def scan(docs: DataFrame, sentences: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:

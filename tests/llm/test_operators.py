@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -163,6 +164,24 @@ def test_license_scan(spark, empty):
     assert license_scan.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_license_scan_wrapped(spark, mark, end):
+    known = dict(license_scan.SENTENCES)
+
+    def wrapped(ids, width=70):
+        lines = ["Copyright (c) someone", ""] + [x for i in ids for x in [*textwrap.wrap(known[i], width), ""]]
+        return end.join((mark + x).rstrip() for x in lines)
+
+    rows = [(n, wrapped(ids)) for n, (_, _, _, ids) in enumerate(license_scan.RULES)]
+    rows.append((100, "intro" + end + mark + "Released under the MIT License" + end + mark + "and more"))
+    found = {r["doc_id"]: r for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(rule in found[n]["rules"].split(",") for n, (rule, _, _, _) in enumerate(license_scan.RULES))
+    assert found[100]["rules"] == "mit-notice"
+    short = spark.createDataFrame([(1, "mit")], "sentence_id int, sentence string")
+    assert license_scan.found_sentences(spark.createDataFrame([(1, "x\nMIT\ny")], "doc_id long, text string"), short).count() == 1
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
