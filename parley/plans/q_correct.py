@@ -81,9 +81,10 @@ def k3_near_homophone_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with candidates: letters swapped for near ones, others for wrong ones, some dropped, added, or rewritten."""
-    s = segments(spark, sf_dir).where("length(text) > 30 AND length(text) < 600")
+    # At most 400 characters each, which bounds difflib; no text is left out.
+    s = correct.segment_for_correction(fr.documents(spark, sf_dir))
     k = F.pmod(F.col("doc_id") * 7 + F.col("seg_no"), F.lit(6))
-    first = lambda a, b: F.regexp_replace("text", f"^(.*?){a}", f"$1{b}")
+    first = lambda a, b: F.regexp_replace("text", f"(?s)^(.*?){a}", f"$1{b}")
     candidate = F.when(k == 0, first("b", "d")).when(k == 1, first("n", "x")).when(k == 2, F.concat("text", F.lit(" and more"))).when(k == 3, F.substring("text", 3, 10_000)).when(k == 4, F.reverse("text")).otherwise(F.col("text"))
     return s.select("doc_id", "seg_no", F.col("text").alias("original"), candidate.alias("candidate"))
 

@@ -210,3 +210,12 @@ def test_a_text_with_the_mark_itself_keeps_it(spark):
     row = one(spark, "￿對對對對對對對對 請看影片 請看影片 請看影片 請看影片", clean.collapse_loops, None)
     assert row["text"] == "￿對對 請看影片 請看影片" and row["loops_collapsed"] == 2
     assert one(spark, None, clean.collapse_loops, None)["loops_collapsed"] is None
+
+
+def test_proposals_leave_no_text_out(spark):
+    from parley.plans import frames as fr
+    from parley.plans import q_correct
+
+    sf = "/root/testdata/sf0.001"
+    made = q_correct.proposals(spark, sf).agg(F.sum(F.length("original")), F.max(F.length("original"))).first()
+    assert made[0] == fr.documents(spark, sf).agg(F.sum(F.length("text"))).first()[0] and made[1] <= 400
