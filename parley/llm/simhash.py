@@ -164,8 +164,11 @@ def links(entries: DataFrame, block: int = 512) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, block: int = 512) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint, component_id."""
     prints = written(fingerprints(docs, shingle).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), "simhash")
-    entries = written(prints.groupBy("bits").agg(F.min("id").alias("node")), "simhash-entries")
-    found = components(links(entries, block))
-    named = entries.join(found, "node", "left").select(F.col("bits").alias("own_bits"), F.coalesce("component", "node").alias("component"))
+    # The fingerprint is the node, as texts that only repeat a doc_id have nothing in common.
+    entries = written(prints.groupBy("bits").agg(F.min("id").alias("id")).withColumn("node", F.col("bits")), "simhash-entries")
+    found = components(links(entries.select("bits", "node"), block))
+    named = entries.join(found, "node", "left").select(F.col("bits").alias("own_bits"), "id", F.coalesce("component", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
+    named = named.join(smallest, "root").select("own_bits", "component")
     component = F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id")
     return prints.join(named, F.col("bits") == F.col("own_bits")).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), component)

@@ -303,6 +303,19 @@ def test_near_copies_at_four_fifths(spark):
     assert len({r["group"] for r in simhash.near_duplicates(made.withColumnRenamed("key", "doc_id")).select(F.col("component_id").alias("group")).collect()}) > 90
 
 
+def test_repeated_ids_join_nothing(spark):
+    texts = [" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])]
+    made = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    found = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(made).collect()]
+    assert sorted(found, key=str) == sorted([(5, 3), (3, 3), (5, 5), (7, 5), (None, None), (None, None)], key=str)
+    kept = corpus_pipeline.drop_near_duplicates(spark, made, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(3, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3])])
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    mixed = spark.createDataFrame([(1, item, "en", "a", 1), (1, texts[0], "en", "a", 1)], DOCS)
+    assert [r["text"] for r in corpus_pipeline.drop_contaminated(spark, mixed, SF).collect()] == [texts[0]]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
