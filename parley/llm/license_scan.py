@@ -1,13 +1,17 @@
 """Operator 3, licence scans by sentence rules. DataFrame functions only.
 
 Texts are cut into sentences; a sentence is normalised (A-Z lower-cased, other runs than letters, digits and non-ASCII to
-one space, which takes comment marks away) and joined with the table of known licence sentences, each line's part by itself
-and the parts of a sentence that is wrapped over lines as one. The identifiers found in a text, in its order, form a
-sequence; a licence rule is an ordered list of identifiers, which the sequence must contain in that order, with other
-known sentences allowed between. Rules are tried by their first identifier.
+one space, which takes comment marks and list signs away) and mapped to the identifier of a known licence sentence. Each
+line's part is tried by itself, and the parts of a sentence that is wrapped over lines as one; a notice (``open``) also
+where more words follow it in its sentence. The identifiers found in a text, in its order, form a sequence; a licence rule
+is an ordered list of identifiers, which the sequence must contain in that order, with other known sentences allowed between.
 
-Defined results: a null or empty text has one empty sentence and no licence; repeated sentences and rows all count; a text
-may match several licences; an empty table gives no rows; other columns are ignored.
+Both tables are bounded (checked), so they are literals in one expression over a row: no shuffle, and rows that share a
+doc_id never mix.
+
+Defined results: a null or empty text has one empty sentence and no licence; every row gets a row of its own, whatever its
+doc_id; a sentence counts as often as it stands in the text; a text may match several licences; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,48 +19,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sentences of public licences and notices, as their texts have them.
+# Sentences of public licences and notices, as their texts have them (identifier, sentence, may more follow).
 SENTENCES = [
-    (1, "Released under the MIT License"),
-    (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    (3, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    (4, "Licensed under the Apache License, Version 2.0"),
-    (5, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    (6, "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    (7, "This work is licensed under the GNU General Public License, version 3"),
-    (8, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    (9, "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    (10, "Licensed under CC BY-NC 4.0"),
-    (11, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    (12, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    (13, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    (14, "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    (15, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    (16, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    (17, "This is free and unencumbered software released into the public domain."),
+    (1, "Released under the MIT License", True),
+    (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", False),
+    (3, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", False),
+    (4, "Licensed under the Apache License, Version 2.0", True),
+    (5, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", False),
+    (6, "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", False),
+    (7, "This work is licensed under the GNU General Public License, version 3", True),
+    (8, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", False),
+    (9, "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", False),
+    (10, "Licensed under CC BY-NC 4.0", True),
+    (11, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", False),
+    (12, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", False),
+    (13, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", False),
+    (14, "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", False),
+    (15, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", False),
+    (16, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", False),
+    (17, "This is free and unencumbered software released into the public domain.", False),
+    (18, "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", False),
+    (19, "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", False),
+    (20, "This project is licensed under the MIT License", True),
+    (21, "Licensed under the MIT License", True),
+    (22, "Distributed under the MIT License", True),
+    (23, "You may obtain a copy of the License at", True),
+    (24, "See the License for the specific language governing permissions and limitations under the License.", False),
+    (25, "This project is licensed under the Apache License, Version 2.0", True),
+    (26, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", False),
+    (27, "You should have received a copy of the GNU General Public License along with this program.", False),
+    (28, "See the GNU General Public License for more details.", False),
+    (29, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", False),
+    (30, "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", False),
+    (31, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", False),
+    (32, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", False),
+    (33, "If a copy of the MPL was not distributed with this file, You can obtain one at", True),
+    (34, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", False),
+    (35, "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", False),
+    (36, "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", False),
+    (37, "This software is provided 'as-is', without any express or implied warranty.", False),
+    (38, "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", False),
+    (39, "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", False),
+    (40, "Distributed under the Boost Software License, Version 1.0", True),
+    (41, "This work is licensed under a Creative Commons Attribution 4.0 International License.", False),
+    (42, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", False),
+    (43, "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", False),
+    (44, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", False),
+    (45, "Licensed under CC BY 4.0", True),
+    (46, "Licensed under CC BY-SA 4.0", True),
+    (47, "Licensed under CC BY-NC-SA 4.0", True),
+    (48, "Licensed under CC BY-ND 4.0", True),
+    (49, "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", False),
+    (50, "SPDX-License-Identifier:", False),
+    (51, "MIT", False),
+    (52, "Apache-2.0", False),
+    (53, "GPL-2.0-only", False),
+    (54, "GPL-2.0-or-later", False),
+    (55, "GPL-3.0-only", False),
+    (56, "GPL-3.0-or-later", False),
+    (57, "BSD-2-Clause", False),
+    (58, "BSD-3-Clause", False),
+    (59, "MPL-2.0", False),
+    (60, "CC0-1.0", False),
+    (61, "ISC", False),
+    (62, "LGPL-2.1-or-later", False),
+    (63, "AGPL-3.0-or-later", False),
+    (64, "All rights reserved.", True),
 ]
-#: (rule, licence, kind, identifiers in order)
+# Fixed values: (rule, licence, kind, identifiers in order).
 RULES = [
     ("mit-notice", "MIT", "permissive", [1]),
     ("mit-text", "MIT", "permissive", [2, 3]),
+    ("mit-text-whole", "MIT", "permissive", [2, 3, 18, 19]),
+    ("mit-project", "MIT", "permissive", [20]),
+    ("mit-licensed", "MIT", "permissive", [21]),
+    ("mit-distributed", "MIT", "permissive", [22]),
+    ("mit-spdx", "MIT", "permissive", [50, 51]),
     ("apache-notice", "Apache-2.0", "permissive", [4]),
     ("apache-header", "Apache-2.0", "permissive", [5, 6]),
+    ("apache-header-whole", "Apache-2.0", "permissive", [5, 23, 6, 24]),
+    ("apache-project", "Apache-2.0", "permissive", [25]),
+    ("apache-spdx", "Apache-2.0", "permissive", [50, 52]),
     ("gpl3-notice", "GPL-3.0-only", "copyleft", [7]),
     ("gpl3-header", "GPL-3.0-or-later", "copyleft", [8, 9]),
+    ("gpl3-header-whole", "GPL-3.0-or-later", "copyleft", [8, 9, 28, 27]),
+    ("gpl3-spdx", "GPL-3.0-only", "copyleft", [50, 55]),
+    ("gpl3-later-spdx", "GPL-3.0-or-later", "copyleft", [50, 56]),
+    ("gpl2-header", "GPL-2.0-or-later", "copyleft", [26, 9]),
+    ("gpl2-spdx", "GPL-2.0-only", "copyleft", [50, 53]),
+    ("gpl2-later-spdx", "GPL-2.0-or-later", "copyleft", [50, 54]),
+    ("lgpl21-header", "LGPL-2.1-or-later", "copyleft", [29, 30]),
+    ("lgpl21-spdx", "LGPL-2.1-or-later", "copyleft", [50, 62]),
+    ("agpl3-header", "AGPL-3.0-or-later", "copyleft", [31, 9]),
+    ("agpl3-spdx", "AGPL-3.0-or-later", "copyleft", [50, 63]),
+    ("mpl2-header", "MPL-2.0", "copyleft", [32, 33]),
+    ("mpl2-spdx", "MPL-2.0", "copyleft", [50, 59]),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", "non-commercial", [10]),
     ("cc-by-nc-text", "CC-BY-NC-4.0", "non-commercial", [11]),
+    ("cc-by-nc-sa-notice", "CC-BY-NC-SA-4.0", "non-commercial", [47]),
+    ("cc-by-nc-sa-text", "CC-BY-NC-SA-4.0", "non-commercial", [43]),
+    ("cc-by-nd-notice", "CC-BY-ND-4.0", "no-derivatives", [48]),
+    ("cc-by-nd-text", "CC-BY-ND-4.0", "no-derivatives", [44]),
+    ("cc-by-notice", "CC-BY-4.0", "permissive", [45]),
+    ("cc-by-text", "CC-BY-4.0", "permissive", [41]),
+    ("cc-by-sa-notice", "CC-BY-SA-4.0", "copyleft", [46]),
+    ("cc-by-sa-text", "CC-BY-SA-4.0", "copyleft", [42]),
+    ("cc0-text", "CC0-1.0", "public-domain", [49]),
+    ("cc0-spdx", "CC0-1.0", "public-domain", [50, 60]),
     ("bsd2-text", "BSD-2-Clause", "permissive", [12, 13, 14]),
+    ("bsd2-text-whole", "BSD-2-Clause", "permissive", [12, 13, 14, 34]),
     ("bsd3-text", "BSD-3-Clause", "permissive", [12, 13, 14, 15]),
+    ("bsd2-spdx", "BSD-2-Clause", "permissive", [50, 57]),
+    ("bsd3-spdx", "BSD-3-Clause", "permissive", [50, 58]),
     ("isc-text", "ISC", "permissive", [16]),
+    ("isc-text-whole", "ISC", "permissive", [16, 35]),
+    ("isc-spdx", "ISC", "permissive", [50, 61]),
+    ("zlib-text", "Zlib", "permissive", [37, 38]),
+    ("boost-notice", "BSL-1.0", "permissive", [40]),
+    ("boost-text", "BSL-1.0", "permissive", [39]),
     ("unlicense-text", "Unlicense", "public-domain", [17]),
+    ("unlicense-text-whole", "Unlicense", "public-domain", [17, 36]),
+    ("reserved-notice", "proprietary", "all-rights-reserved", [64]),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a line end, or at . ! ? : before white space.
-ENDS = r"\n|[.!?:][ \t\r]"
-#: A part ends at a line end too; its sentence goes on in the next part unless one of the two is blank or it ends with . ! ? :
+#: A part ends at a line end, or at . ! ? : before white space; its sentence goes on in the next part unless one of the two
+#: is blank or it ends with . ! ? :
 PART_END = r"[.!?:][ \t\r]|\n"
 SENTENCE_END = r"[.!?:][ \t\r\n]*$"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: A caller's tables may have so many rows; they become literals of one expression.
+MAX_SENTENCES, MAX_RULES = 20_000, 5_000
+FOUND = "array<struct<place:int,id:int>>"
 
 
 def normalised(sentence: Column) -> Column:
@@ -64,73 +157,119 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences(spark: SparkSession) -> DataFrame:
-    """(sentence_id, sentence normalised): ours; any table of this shape will do. A text with . or : inside is several
-    sentences; the identifier then stands for its longest."""
-    raw = spark.createDataFrame(SENTENCES, "sentence_id int, text string")
-    parts = raw.select("sentence_id", F.explode(F.split("text", ENDS)).alias("part")).select("sentence_id", normalised(F.col("part")).alias("sentence"))
-    return parts.groupBy("sentence_id").agg(F.max_by("sentence", F.struct(F.length("sentence"), "sentence")).alias("sentence"))
+    """(sentence_id, sentence, open): ours; any table of this shape will do, with sentences as they are written."""
+    return spark.createDataFrame(SENTENCES, "sentence_id int, sentence string, open boolean")
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """(rule, licence, kind, first_id, pattern): the pattern is over the identifiers, each with a comma on both sides."""
-    rows = [(r, n, k, ids[0], "".join(f",{i},(.*)" for i in ids)[: -len("(.*)")]) for r, n, k, ids in RULES]
-    return spark.createDataFrame(rows, "rule string, licence string, kind string, first_id int, pattern string")
-
-
-def found_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, text's number, place, sentence_id) of every known sentence: on one line, or wrapped over several."""
-    marked = F.regexp_replace(F.coalesce("text", F.lit("")), PART_END, "$0\x01")
-    cut = docs.select("doc_id", F.split(marked, "\x01").alias("parts"))
-    said = F.transform("parts", lambda x: F.struct(normalised(x).alias("sentence"), x.rlike(SENTENCE_END).alias("ends")))
-    cut = cut.select("doc_id", said.alias("parts"))
-    apart = lambda i: F.get("parts", i - 1)["ends"] | (F.get("parts", i - 1)["sentence"] == "") | (F.get("parts", i)["sentence"] == "")
-    first = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (i == 0) | apart(i))
-    cut = cut.select("doc_id", "parts", F.concat(first, F.array(F.size("parts"))).alias("first"))
-    runs = F.filter(F.arrays_zip(F.col("first").alias("a"), F.slice("first", F.lit(2), F.size("first")).alias("b")), lambda z: z["b"] - z["a"] > 1)
-    whole = F.transform(runs, lambda z: F.struct(z["a"].alias("place"), F.array_join(F.transform(F.slice("parts", z["a"] + 1, z["b"] - z["a"]), lambda x: x["sentence"]), " ").alias("sentence")))
-    lines = F.transform("parts", lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
-    each = cut.select("doc_id", F.explode(F.concat(lines, whole)).alias("s")).select("doc_id", "s.place", "s.sentence").where("sentence <> ''")
-    return each.join(sentences, "sentence").select("doc_id", "place", "sentence_id")
+    """(rule, licence, kind, ids): ours; any table of this shape will do."""
+    return spark.createDataFrame(RULES, "rule string, licence string, kind string, ids array<int>")
+
+
+def _bounded(table: DataFrame, most: int, what: str) -> list:
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return sorted(rows)
+
+
+def candidates(text: Column) -> Column:
+    """(place, sentence normalised) of a text's parts and of its sentences that go over several parts."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), PART_END, "$0\x01")
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    parts = F.transform(F.split(marked, "\x01"), lambda x: F.struct(normalised(x).alias("sentence"), x.rlike(SENTENCE_END).alias("ends")))
+
+    def wrapped(p: Column) -> Column:
+        apart = lambda i: F.get(p, i - 1)["ends"] | (F.get(p, i - 1)["sentence"] == "") | (F.get(p, i)["sentence"] == "")
+        first = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | apart(i))
+        said = lambda a, b: F.array_join(F.transform(F.slice(p, a + 1, b - a), lambda x: x["sentence"]), " ")
+
+        def joined(f: Column) -> Column:
+            ends = lambda k: F.coalesce(F.get(f, k + 1), F.size(p))
+            runs = F.filter(F.transform(f, lambda a, k: F.struct(a.alias("a"), ends(k).alias("b"))), lambda z: z["b"] - z["a"] > 1)
+            return F.transform(runs, lambda z: F.struct(z["a"].alias("place"), said(z["a"], z["b"]).alias("sentence")))
+
+        alone = F.transform(p, lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
+        return F.filter(F.concat(alone, let(first, joined)), lambda x: x["sentence"] != "")
+
+    return let(parts, wrapped)
+
+
+def sentence_ids(text: Column, sentences: list) -> Column:
+    """The identifiers of a text's known sentences, in its order. sentences: rows (sentence_id, sentence normalised, open)."""
+    exact: dict[str, list[int]] = {}
+    for i, s, _ in sentences:
+        exact.setdefault(s, []).append(i)
+    notices: dict[int, dict[str, list[int]]] = {}
+    for i, s, more in sentences:
+        if more:
+            notices.setdefault(len(s), {}).setdefault(s, []).append(i)
+
+    def of(place: Column, sentence: Column, known: dict[str, list[int]]) -> Column:
+        # Most sentences are known to no one: a hash lookup sets them aside before the map is searched.
+        ids = F.create_map(*[F.lit(x) for s, i in sorted(known.items()) for x in (s, F.lit(",".join(map(str, i))))])
+        each = F.transform(F.split(ids[sentence], ","), lambda i: F.struct(place.alias("place"), i.cast("int").alias("id")))
+        return F.when(sentence.isin(sorted(known)), each).otherwise(F.array().cast(FOUND))
+
+    def found(x: Column) -> Column:
+        hits = [of(x["place"], x["sentence"], exact)]
+        for n, known in sorted(notices.items()):
+            more = F.substring(x["sentence"], n + 1, 1) == " "
+            hits.append(F.when(more, of(x["place"], F.left(x["sentence"], F.lit(n)), known)).otherwise(F.array().cast(FOUND)))
+        return F.concat(*hits)
+
+    all_found = F.flatten(F.transform(candidates(text), found)) if sentences else F.array().cast(FOUND)
+    return F.transform(F.array_sort(F.array_distinct(all_found)), lambda x: x["id"])
 
 
 def scan(docs: DataFrame, sentences: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
-    """Per document that has a known sentence: doc_id, sentence_ids in order, licences, kinds, rules (each sorted)."""
+    """``docs`` (text and others) with licence_ids, licences, licence_kinds and licence_rules: arrays, all but the first sorted."""
     spark = docs.sparkSession
-    # Both tables are ours and of fixed size; a caller's own tables are joined as Spark's size estimate says.
-    sentences = F.broadcast(known_sentences(spark)) if sentences is None else sentences
-    rule_table = F.broadcast(rules(spark)) if rule_table is None else rule_table
-    found = found_sentences(docs, sentences)
-    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "sentence_id"))).alias("found"))
-    by_doc = by_doc.select("doc_id", F.transform("found", lambda x: x["sentence_id"]).alias("sentence_ids"))
-    sequence = F.concat(F.lit(","), F.array_join(F.transform("sentence_ids", lambda x: x.cast("string")), ",,"), F.lit(","))
-    tried = by_doc.select("doc_id", "sentence_ids", sequence.alias("sequence"), F.explode(F.array_distinct("sentence_ids")).alias("first_id")).join(rule_table, "first_id", "left")
-    hit = F.expr("rlike(sequence, pattern)")
-    kept = lambda c: F.array_sort(F.collect_set(F.when(hit, F.col(c)))).alias(f"{c}s")
-    return tried.groupBy("doc_id").agg(F.first("sentence_ids").alias("sentence_ids"), kept("licence"), kept("kind"), kept("rule"))
+    table = known_sentences(spark) if sentences is None else sentences
+    known = _bounded(table.select("sentence_id", normalised(F.col("sentence")).alias("s"), "open").where("s <> ''"), MAX_SENTENCES, "sentences")
+    rows = _bounded((rules(spark) if rule_table is None else rule_table).select("rule", "licence", "kind", "ids").where(F.size("ids") > 0), MAX_RULES, "rules")
+    sequence = F.concat(F.lit(","), F.array_join(F.transform("licence_ids", lambda x: x.cast("string")), ",,"), F.lit(","))
+
+    def hits(s: Column) -> Column:
+        tried = [F.when(s.rlike(pattern(r["ids"])), F.struct(*[F.lit(r[c]).alias(c) for c in ("rule", "licence", "kind")])) for r in rows]
+        return F.array_compact(F.array(*tried)) if tried else F.array().cast("array<struct<rule:string,licence:string,kind:string>>")
+
+    found = docs.withColumn("licence_ids", sentence_ids(F.col("text"), known))
+    hit = F.when(F.size("licence_ids") > 0, F.get(F.transform(F.array(sequence), hits), F.lit(0)))
+    found = found.withColumn("licences", hit)
+    sorted_of = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x[c]))), F.array().cast("array<string>"))
+    return found.withColumn("licence_kinds", sorted_of("kind")).withColumn("licence_rules", sorted_of("rule")).withColumn("licences", sorted_of("licence"))
+
+
+def pattern(ids: list[int]) -> str:
+    """Over the identifiers of a text, each with a comma on both sides."""
+    return "(.*)".join(f",{i}," for i in ids)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document, also of those without a licence."""
-    docs = docs.select("doc_id", "text")
-    found = scan(docs).select(F.col("doc_id").alias("found_id"), *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences", "kinds", "rules")))
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", blank("sentence_ids"), blank("licences"), blank("kinds"), blank("rules"))
+    found = scan(docs.select("doc_id", "text"))
+    listed = lambda c, name: F.array_join(F.col(c).cast("array<string>"), ",").alias(name)
+    return found.select("doc_id", listed("licence_ids", "sentence_ids"), listed("licences", "licences"), listed("licence_kinds", "kinds"), listed("licence_rules", "rules"))
 
 
 def oracle() -> str:
     """The same in DuckDB."""
-    values = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in SENTENCES)
-    rule_values = ", ".join(f"('{r}', '{n}', '{k}', {ids[0]}, '{''.join(f',{i},(.*)' for i in ids)[:-4]}')" for r, n, k, ids in RULES)
+    values = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {str(more).lower()})" for i, t, more in SENTENCES)
+    rule_values = ", ".join(f"('{r}', '{n}', '{k}', '{pattern(ids)}')" for r, n, k, ids in RULES)
     norm = lambda c: f"trim(regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' ')"
-    cut = lambda c: f"string_split(regexp_replace({c}, '\\n|[.!?:][ \\t\\r]', chr(10), 'g'), chr(10))"
+    cut = "string_split(regexp_replace(coalesce(text, ''), '[.!?:][ \\t\\r]|\\n', '\\0' || chr(1), 'g'), chr(1))"
     return rf"""
-WITH raw(sentence_id, t) AS (VALUES {values}),
-parts AS (SELECT sentence_id, unnest({cut("t")}) AS part FROM raw),
-known AS (SELECT sentence_id, arg_max({norm("part")}, (length({norm("part")}), {norm("part")})) AS sentence FROM parts GROUP BY 1),
-rules(rule, licence, kind, first_id, pattern) AS (VALUES {rule_values}),
-cut AS (SELECT doc_id, generate_subscripts({cut("coalesce(text, '')")}, 1) AS place, unnest({cut("coalesce(text, '')")}) AS part FROM documents),
-found AS (SELECT doc_id, list(sentence_id ORDER BY place, sentence_id) AS ids FROM (SELECT DISTINCT doc_id, place, sentence_id FROM cut JOIN known ON known.sentence = {norm("part")} WHERE length(part) >= 8) GROUP BY 1),
-hits AS (SELECT f.doc_id, array_to_string(list_sort(list(DISTINCT r.licence)), ',') AS licences, array_to_string(list_sort(list(DISTINCT r.kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT r.rule)), ',') AS rules
-  FROM found f JOIN rules r ON list_contains(f.ids, r.first_id) AND regexp_matches(',' || array_to_string(f.ids, ',,') || ',', r.pattern) GROUP BY 1)
+WITH known AS (SELECT sentence_id, {norm("t")} AS s, more FROM (VALUES {values}) v(sentence_id, t, more)),
+rules(rule, licence, kind, pattern) AS (VALUES {rule_values}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+parts AS (SELECT r, place, {norm("part")} AS s, regexp_matches(part, '[.!?:][ \t\r\n]*$') AS ends FROM (SELECT r, generate_subscripts({cut}, 1) AS place, unnest({cut}) AS part FROM docs)),
+marked AS (SELECT *, lag(ends, 1, true) OVER w OR lag(s, 1, '') OVER w = '' OR s = '' AS new FROM parts WINDOW w AS (PARTITION BY r ORDER BY place)),
+run AS (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY place) AS run FROM marked),
+said AS (SELECT r, place, s FROM parts UNION ALL SELECT r, min(place), string_agg(s, ' ' ORDER BY place) FROM run GROUP BY r, run HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, place, sentence_id FROM said JOIN known USING (s) WHERE s <> '' UNION SELECT r, place, sentence_id FROM said JOIN known ON more AND starts_with(said.s, known.s || ' ')),
+found AS (SELECT r, list(sentence_id ORDER BY place, sentence_id) AS ids FROM hit GROUP BY 1),
+hits AS (SELECT f.r, array_to_string(list_sort(list(DISTINCT u.licence)), ',') AS licences, array_to_string(list_sort(list(DISTINCT u.kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT u.rule)), ',') AS rules
+  FROM found f JOIN rules u ON regexp_matches(',' || array_to_string(f.ids, ',,') || ',', u.pattern) GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(f.ids, ','), '') AS sentence_ids, coalesce(h.licences, '') AS licences, coalesce(h.kinds, '') AS kinds, coalesce(h.rules, '') AS rules
-FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN hits h USING (doc_id)"""
+FROM docs d LEFT JOIN found f USING (r) LEFT JOIN hits h USING (r)"""
