@@ -1,16 +1,19 @@
 """Operator 8, quality rules with adaptive thresholds. DataFrame functions only.
 
 Measures of each text are gathered in mergeable quantile sketches per language and source; small groups use the merged
-sketches of their language, and those the merged sketches of all. The quartiles give fences (three times the spread
-beyond the quartile, with a least spread, so that a group of nearly equal texts doesn't reject its own), and measures are
-joined with the fences of their group and filtered.
+sketches of their language, and those the merged sketches of all. A sketch counts a measure's values in buckets that grow
+by a constant factor, so it has about a thousand buckets at most whatever its group's size, merging adds counts, and its
+quantiles are of exact rank and within ``ERROR`` of the value; no order of rows or partitions changes it. The quartiles give
+fences (three times the spread beyond the quartile, with a least spread, so that a group of nearly equal texts doesn't
+reject its own), and measures are joined with the fences of their group and filtered.
 
-Defined results: a null or empty text has no words and fails the base rule; null language and null source are groups;
+Repeated windows are told by a 64-bit hash of their words. Defined results: a null or empty text has no words and fails the base rule; null language and null source are groups;
 repeated rows each get a row and count in the sketches; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,11 @@ MEASURES = [
     ("word_length", "word_chars", "n_words", 0.40, "both"),
 ]
 
+#: Values of a bucket differ from the one that stands for it by this share at most.
+ERROR = 0.01
+GROWTH = (1 + ERROR) / (1 - ERROR)
+ZERO = -(1 << 30)
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
@@ -60,25 +68,54 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
 
 
+def ratio(numerator: str, denominator: str) -> Column:
+    return F.try_divide(F.col(numerator).cast("double"), F.col(denominator).cast("double"))
+
+
+def bucket_of(value: Column) -> Column:
+    """The bucket of a value: the least i with GROWTH^i not below it; ZERO for 0."""
+    return F.when(value <= 0, ZERO).otherwise(F.ceil(F.log(value) / math.log(GROWTH))).cast("int")
+
+
+def value_of(bucket: Column) -> Column:
+    """The value that stands for a bucket, within ERROR of all its values."""
+    return F.when(bucket == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), bucket) * (2 / (GROWTH + 1)))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): the sketches of each group, as rows that can be added up. Rows without words are
+    left out."""
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(ratio(a, b)).alias("bucket")) for m, a, b, _, _ in MEASURES])
+    each = rows.where("n_words > 0").select("lang", "source", F.inline(measures))
+    return each.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, a struct of low and high quartile for each measure) of sketches merged by ``keys``."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    # A list of a sketch's buckets, of which there are a bounded number.
+    whole = merged.groupBy(*keys, "measure").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("buckets"))
+
+    def at(share: float) -> Column:
+        """The first bucket up to which there are ``share`` of all values."""
+        step = lambda acc, x: F.struct(F.when(acc["upto"] < share * F.col("n"), x["bucket"]).otherwise(acc["bucket"]).alias("bucket"), (acc["upto"] + x["n"]).alias("upto"))
+        return value_of(F.aggregate("buckets", F.struct(F.lit(ZERO).alias("bucket"), F.lit(0).cast("long").alias("upto")), step, lambda acc: acc["bucket"]))
+
+    found = whole.select(*keys, "measure", "n", F.struct(at(0.25).alias("a"), at(0.75).alias("b")).alias("q"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m, *_ in MEASURES))
+
+
 def fences(rows: DataFrame, min_group: int = 100, width: float = 3.0) -> DataFrame:
     """(lang, source, low_ and high_ of each measure). Rows without words are not in the sketches."""
-    sketched = [F.kll_sketch_agg_double(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))).alias(m) for m, a, b, _, _ in MEASURES]
-    merged = [F.kll_merge_agg_double(m).alias(m) for m, *_ in MEASURES]
-    own = written(rows.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *sketched), "quality-sketches")
-    by_lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    every = own.agg(F.sum("n").alias("n"), *merged)
-
-    def quartiles(df: DataFrame, tag: str) -> DataFrame:
-        keys = [c for c in ("lang", "source") if c in df.columns]
-        at = lambda m, q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)))
-        return df.select(*keys, F.col("n").alias(f"{tag}_n"), *(F.struct(at(m, 0.25).alias("a"), at(m, 0.75).alias("b")).alias(f"{tag}_{m}") for m, *_ in MEASURES))
-
-    lang_rows = quartiles(by_lang, "lang").withColumnRenamed("lang", "of_lang")
-    overall = quartiles(every, "all").first()  # two numbers a measure
-    joined = quartiles(own, "own").join(lang_rows, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    sketch = written(sketches(rows), "quality-sketches")
+    named = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in df.columns if c not in ("lang", "source")})
+    own, by_lang = named(quartiles(sketch, ["lang", "source"]), "own"), named(quartiles(sketch, ["lang"]), "lang").withColumnRenamed("lang", "of_lang")
+    overall = quartiles(sketch, []).first()  # two numbers a measure
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     out = ["lang", "source"]
     for m, _, _, least, sides in MEASURES:
-        q = F.when(F.col("own_n") >= min_group, F.col(f"own_{m}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{m}")).otherwise(F.struct(*[F.lit(overall[f"all_{m}"][c]).cast("double").alias(c) for c in ("a", "b")]))
+        every = F.struct(*[F.lit(overall[m][c] if overall and overall[m] else None).cast("double").alias(c) for c in ("a", "b")])
+        q = F.when(F.col("own_n") >= min_group, F.col(f"own_{m}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{m}")).otherwise(every)
         spread = width * F.greatest(q["b"] - q["a"], F.lit(least))
         out += [(q["b"] + spread).alias(f"high_{m}"), (q["a"] - spread if sides == "both" else F.lit(float("-inf"))).alias(f"low_{m}")]
     return joined.select(*out)
@@ -92,7 +129,7 @@ def filtered(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20,
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.lit(True)
     for m, a, b, _, _ in MEASURES:
-        x = F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+        x = ratio(a, b)
         inside &= F.coalesce((x <= F.col(f"high_{m}")) & (x >= F.col(f"low_{m}")), F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & inside).alias("kept"))
 
