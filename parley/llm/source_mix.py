@@ -1,7 +1,9 @@
 """Operator 9, mixing sources to target weights. DataFrame functions only.
 
 Sizes are summed per source, targets and repetition rates follow from one row a source, and each document is taken
-floor(rate) times plus once more if a draw seeded by its doc_id and text falls below the rate's fraction.
+floor(rate) times plus once more if a draw seeded by its doc_id and text falls below the rate's fraction. The words taken
+of a source spread around its target with variance f (1 - f) sum(size^2), f the fraction: near it where no document has much
+of its source, and off by up to some of its largest documents where few have most of it.
 
 Targets: sources in order of their names (code points, null last) weigh ``weights`` in turn and share the whole size by
 weight. A target stops at ``cap`` times its source's size, and the excess goes to the others by weight until none is above.
@@ -49,14 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
 
 def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: int = 42, max_broadcast: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with mix_size, mix_source_size, mix_target and mix_copies."""
-    names = {c: unique_column(docs, f"mix_{c}") for c in ("size", "source_size", "target", "copies")}
+    names = {c: unique_column(docs, f"mix_{c}") for c in ("size", "source_size", "target", "copies", "of")}
     sized = docs.withColumn(names["size"], n_words(F.col("text")))
     sums = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
-    goal = targets(sums, weights, cap).select(F.col("source").alias("mix_of"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
+    goal = targets(sums, weights, cap).select(F.col("source").alias(names["of"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
     goal = written(goal, "mix-sources")
     if goal.count() <= max_broadcast:
         goal = F.broadcast(goal)
-    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("mix_of")), "left").drop("mix_of")
+    joined = sized.join(goal, F.col("source").eqNullSafe(F.col(names["of"])), "left").drop(names["of"])
     rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(0.0)
     named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     draw = F.conv(F.substring(F.md5(named), 1, 10), 16, 10).cast("long") / float(1 << 40)
@@ -69,7 +71,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.
     found = with_copies(docs, weights, cap, seed)
     copies = found.columns[-1]
     again = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))))
-    return found.where(F.col(copies) > 0).select(*docs.columns, again.alias("mix_copy_number")).select(*docs.columns)
+    number = unique_column(found, "mix_copy_number")
+    return found.where(F.col(copies) > 0).select(*docs.columns, again.alias(number)).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
