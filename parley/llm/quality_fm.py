@@ -8,7 +8,8 @@ It is fitted on at most about ``max_rows`` labelled rows (chosen by hash of doc_
 made by tasks, and only those rows' features reach the driver. Scores of all documents are made by tasks.
 
 Defined results: a null or empty text gets the score of the empty text; a null n_chars counts as the text's own length;
-labels that are null aren't used; without any usable label every score is 0.5; repeated rows each get a row; other columns
+labels that are null, and those of a
+doc_id with two different labels, aren't used; without any usable label every score is 0.5; repeated rows each get a row; other columns
 are ignored.
 """
 
@@ -119,14 +120,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Machine | None:
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("label"))
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id"))
+    usable = usable.agg(F.min("quality").cast("double").alias("label"), F.max("quality").cast("double").alias("other")).where("label = other").drop("other")
     n = usable.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64("label_id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = usable.where(draw < min(1.0, max_rows / n)).dropDuplicates(["label_id"])
+    sample = usable.where(draw < min(1.0, max_rows / n))
     # About max_rows rows of two numbers, whatever the size of the tables.
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "n_chars", "label", "label_id")
+    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "n_chars", "label", "label_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
