@@ -1,10 +1,15 @@
 """Operator 4, line de-duplication over levelled sorted runs of line hashes.
 
 Each batch of documents is reduced to one row per line key (128-bit hash, documents that have it, largest doc_id). A run is
-such a table, cut and sorted by hash. A new batch is merge-anti-joined with the runs there are: keys that no run has form
-the batch's own new run; keys already known go to a run of increments. When a level holds ``fan_in`` runs, they are merged
-into one run of the next level. What the runs sum to at the end says which keys are in ``min_docs`` documents, and where
-the kept copy is.
+such a table, in a fixed number of buckets by key, each sorted. A new batch is merge-joined with the runs there are: keys
+that no run has (the anti-join) are new, those known take over what the runs say of them, so a run's rows hold totals up to
+its batch; both form the batch's own run. When a level holds ``fan_in`` runs, they are merged into one run of the next. As
+runs share their buckets, neither joins nor merges shuffle them again; only a batch's own keys are shuffled. Of a key's
+rows the one with the highest total is the last, and says at the end whether it is in ``min_docs`` documents and where the
+kept copy is.
+
+While the keys to drop are few (``max_broadcast``, counted first) they are sent to all tasks, which drop lines in one pass
+over the texts; beyond that, each document's keys to drop are joined to it.
 
 Defined results: a null or empty text has one empty line, which is never long enough to be dropped; doc_id null counts as
 one document below all others; rows that repeat a doc_id count as one document, and all of them keep the line if it is the
@@ -14,7 +19,9 @@ largest; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,85 +61,113 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class Runs:
-    """Levelled runs of (key, n_docs, top_doc), each a Parquet table in the shared folder, sorted by key within its files."""
+    """Levelled runs of (key, n_docs, top_doc), each a bucketed and sorted table whose files lie in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = 3):
+    def __init__(self, spark: SparkSession, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
+        #: As many as the shuffle has partitions, unless told: a batch's last shuffle is then by bucket.
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.schema = "key binary, n_docs long, top_doc long"
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _write(self, rows: DataFrame) -> str:
-        path = new_path(self.spark, "lines-run")
-        rows.repartition("key").sortWithinPartitions("key").write.parquet(path)
-        return path
+        name, path = f"lines_run_{uuid.uuid4().hex}", new_path(self.spark, "lines-run")
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        return name
+
+    def _read(self, name: str, tag: str = "") -> DataFrame:
+        table = self.spark.table(name)
+        return table.withColumnsRenamed({"n_docs": f"n_docs{tag}", "top_doc": f"top_doc{tag}"})
 
-    def paths(self) -> list[str]:
+    def names(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
-    def merged(self) -> DataFrame:
-        """One row per key over all runs."""
-        return self._read(self.paths()).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"))
-
-    def add(self, keys: DataFrame) -> dict[str, str]:
-        """Adds a batch of (doc_id, key), whose doc_ids no earlier batch had. Returns the paths of its two runs."""
-        batch = written(keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("top_doc")), "lines-batch")
-        known = self._read(self.paths()).select("key")
-        made = {"new": self._write(batch.join(known.hint("merge"), "key", "left_anti"))}
-        if self.paths():
-            made["again"] = self._write(batch.join(known.hint("merge"), "key", "left_semi"))
-        self.levels[0] += made.values()
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Adds a batch of (doc_id, key), whose doc_ids no earlier batch had. Returns its keys that no run had before."""
+        # Counted in two steps, so a key that a third of all rows have is summed before it is shuffled.
+        batch = keys.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("top_doc"))
+        rows = self._read(self._write(batch))
+        before, top = [], [F.col("top_doc")]
+        for n, run in enumerate(self.names()):
+            rows = rows.join(self._read(run, str(n)).hint("merge"), "key", "left")
+            before.append(F.col(f"n_docs{n}"))
+            top.append(F.col(f"top_doc{n}"))
+        # Of an older run's total and a newer one's, the newer is the higher. Without any, the key is new.
+        known = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *before)
+        rows = rows.select("key", F.coalesce(known, F.lit(0)).alias("known"), F.col("n_docs"), (F.greatest(*top) if before else top[0]).alias("top_doc"))
+        run = self._write(rows.select("key", (F.col("n_docs") + F.col("known")).alias("n_docs"), "top_doc"))
+        self.levels[0] = [*self.levels[0], run]
         self._compact()
-        return made
+        return rows.where("known = 0").select("key")
+
+    def _merged(self, one: str, two: str) -> str:
+        """Both runs' keys with their last totals: a merge of sorted buckets, which shuffles nothing."""
+        both = self._read(one, "1").join(self._read(two, "2").hint("merge"), "key", "full")
+        return self._write(both.select("key", F.greatest("n_docs1", "n_docs2").alias("n_docs"), F.greatest("top_doc1", "top_doc2").alias("top_doc")))
 
     def _compact(self) -> None:
         for at in range(100):
             if at >= len(self.levels) or len(self.levels[at]) < self.fan_in:
                 return
-            rows = self._read(self.levels[at]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"))
-            path = self._write(rows)
+            run = reduce(self._merged, self.levels[at])
             self.levels[at] = []
             self.levels += [[]] * (len(self.levels) == at + 1)
-            self.levels[at + 1] = [*self.levels[at + 1], path]
+            self.levels[at + 1] = [*self.levels[at + 1], run]
+
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(key, top_doc) of the keys in ``min_docs`` documents or more: only those rows of the runs are brought together."""
+        hot = reduce(DataFrame.unionAll, [self._read(n).where(F.col("n_docs") >= min_docs) for n in self.names()])
+        return hot.groupBy("key").agg(F.max("top_doc").alias("top_doc"))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fan_in: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of all long lines, and (key, n_docs, top_doc) of those in ``min_docs`` documents or more."""
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fan_in: int = 2, batch_keys: int = 200_000_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all long lines, and (key, top_doc) of those in ``min_docs`` documents or more. Without ``batches``
+    there are as many as ``batch_keys`` lines each make, three at least."""
     spark = docs.sparkSession
-    path = new_path(spark, "lines")
-    line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
+    lines = written(line_keys(docs, min_chars), "lines")
+    batches = batches or max(3, -(-lines.count() // batch_keys))
     runs = Runs(spark, fan_in)
     for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("doc_id", "key"))
-    return lines.select("doc_id", "key"), written(runs.merged().where(F.col("n_docs") >= min_docs), "lines-hot")
+        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+    return lines, written(runs.repeated(min_docs), "lines-hot")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fan_in: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_dropped, kept (the text that stays)."""
-    docs = docs.select("doc_id", "text")
-    lines, hot = repeated_lines(docs, min_chars, min_docs, batches, fan_in)
-    # A very common key may have a third of all rows here: adaptive execution splits such partitions of a plain join.
-    gone = lines.join(hot, "key").where(F.col("doc_id") != F.col("top_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("gone")).select(F.col("doc_id").alias("own_id"), "gone")
-    joined = docs.join(gone.hint("shuffle_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("own_id"), "left").select("doc_id", "gone", "text")
+def _rebuilt(rows: DataFrame, min_chars: int, away: Callable[[], Callable[[int | None, list | None], object]]) -> DataFrame:
+    """Rows (doc_id, text, others) without the lines whose keys are in what ``away`` says of the row's doc_id and others."""
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone_of = away()
         for batch, texts in steps(parts, "text"):
+            more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
             counts, dropped, kept = [], [], []
-            for away, t in zip(batch.column(1).to_pylist(), texts, strict=True):
+            for i, gone, t in zip(batch.column(0).to_pylist(), more, texts, strict=True):
                 old = t.split(b"\n")
-                new = old
-                if away:
-                    away = set(away)
-                    new = [x for x in old if line_key(x, min_chars) not in away]
+                is_gone = gone_of(i, gone)
+                new = old if is_gone is None else [x for x in old if not is_gone(line_key(x, min_chars))]
                 counts.append(len(old))
                 dropped.append(len(old) - len(new))
                 kept.append(b"\n".join(new))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return joined.mapInArrow(rebuild, T.StructType([docs.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]))
+    return rows.mapInArrow(rebuild, T.StructType([rows.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]))
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fan_in: int = 2, max_broadcast: int = 200_000) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_lines, n_dropped, kept (the text that stays)."""
+    docs = docs.select("doc_id", "text")
+    lines, hot = repeated_lines(docs, min_chars, min_docs, batches, fan_in)
+    few = hot.limit(max_broadcast + 1).toArrow()
+    if few.num_rows <= max_broadcast:
+        sent = docs.sparkSession.sparkContext.broadcast((few.column("key").to_pylist(), few.column("top_doc").to_pylist()))
+
+        def of_table() -> Callable:
+            top = dict(zip(*sent.value, strict=True))
+            return lambda i, _: lambda k: k is not None and k in top and top[k] != (NO_ID if i is None else i)
+
+        return _rebuilt(docs, min_chars, of_table)
+    # A very common key may have a third of all rows here: adaptive execution splits such partitions of a plain join.
+    gone = lines.join(hot, "key").where(F.col("doc_id") != F.col("top_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("gone")).select(F.col("doc_id").alias("own_id"), "gone")
+    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("own_id"), "left").select("doc_id", "text", "gone")
+    return _rebuilt(joined, min_chars, lambda: lambda _, keys: set(keys).__contains__ if keys else None)
 
 
 def report(docs: DataFrame) -> DataFrame:
