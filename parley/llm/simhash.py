@@ -6,9 +6,11 @@ within positions 0-3 or within 4-7: of any five equal positions, three lie in on
 list. (Lists of single positional bytes would each hold a 256th of all fingerprints.) In a list, the shared positional
 bytes of each pair are tallied, pairs with five or more are retained, and their differing bits are counted.
 
-Equal fingerprints are one entry of the index. A list longer than ``block`` is cut into blocks by hash, and each pair of
-blocks is a unit of work of its own, so no task holds a whole long list; nothing is capped. From a unit, only a spanning
-forest of its links leaves, never all its pairs. Components come from alternating star steps.
+Equal fingerprints are one entry of the index. A list longer than ``block`` is keyed anew by two more positions: linked
+fingerprints that share its three bytes share two of the other five, so they meet again in one of ten lists, which are a
+65536th as long. One that is still long is cut into blocks by hash, and each pair of blocks is a unit of work of its own, so
+no task holds a whole long list; nothing is capped. From a unit, only a spanning forest of its links leaves, never all its
+pairs. Components come from alternating star steps.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; rows that repeat a doc_id each
 get a row; doc_id null counts as the smallest id and is given back as null; other columns are ignored.
@@ -31,6 +33,8 @@ from .components import components
 
 NO_ID = -(1 << 63)
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+#: A list's number: triple, its three bytes, and for a list keyed anew the number of the further pair (from 1) and its bytes.
+TRIPLE_AT, BYTES_AT = 44, 20
 MAX_BITS, MIN_SHARED = 3, 5
 SEED = 42
 
@@ -72,10 +76,21 @@ def _byte(position: int) -> F.Column:
 
 def postings(entries: DataFrame) -> DataFrame:
     """(list, bits, node): eight rows an entry; the list's number has the triple and its bytes."""
-    keys = [F.lit(t).cast("long") * (1 << 24) + _byte(a) * (1 << 16) + _byte(b) * (1 << 8) + _byte(c) for t, (a, b, c) in enumerate(TRIPLES)]
+    keys = [F.lit(t).cast("long") * (1 << TRIPLE_AT) + (_byte(a) * (1 << 16) + _byte(b) * (1 << 8) + _byte(c)) * (1 << BYTES_AT) for t, (a, b, c) in enumerate(TRIPLES)]
     return entries.select(F.explode(F.array(*keys)).alias("list"), "bits", "node")
 
 
+def rekeyed(long_postings: DataFrame) -> DataFrame:
+    """(list, bits, node) of long lists: ten rows each, by the pairs of positions that the list's triple leaves."""
+    pairs = [list(combinations([p for p in range(8) if p not in t], 2)) for t in TRIPLES]
+    of = lambda n: F.array(*[F.array(*[F.lit(x[n]) for x in own]) for own in pairs])
+    triple = F.shiftright("list", TRIPLE_AT).cast("int") + 1
+    byte = lambda p: F.call_function("shiftrightunsigned", F.col("bits"), 56 - 8 * p).bitwiseAND(F.lit(255))
+    both = F.arrays_zip(F.element_at(of(0), triple).alias("a"), F.element_at(of(1), triple).alias("b"))
+    further = F.transform(both, lambda x, i: F.col("list") + (i + 1).cast("long") * (1 << 16) + byte(x["a"]) * (1 << 8) + byte(x["b"]))
+    return long_postings.select(F.explode(further).alias("list"), "bits", "node")
+
+
 def _first_triple(differing: np.ndarray) -> np.ndarray:
     """The number of the first triple whose three bytes are all equal; differing: bytes of the XOR, most significant first."""
     equal = differing == 0
@@ -127,12 +142,12 @@ def _links_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out: list[tuple[int, int]] = []
         pair = new[size == 2]
         x = bits[pair] ^ bits[pair + 1] if len(pair) else np.zeros(0, np.uint64)
-        for t in np.unique(lists[pair] >> 24).tolist():
-            own = (lists[pair] >> 24) == t
+        for t in np.unique(lists[pair] >> TRIPLE_AT).tolist():
+            own = (lists[pair] >> TRIPLE_AT) == t
             at = pair[own][_linked(x[own], t)]
             out += zip(node[at].tolist(), node[at + 1].tolist(), strict=True)
         for a, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            out += _forest(bits[a : a + n], node[a : a + n], int(lists[a] >> 24))
+            out += _forest(bits[a : a + n], node[a : a + n], int(lists[a] >> TRIPLE_AT))
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], kind)
 
@@ -152,12 +167,20 @@ def _links_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def links(entries: DataFrame, block: int = 512) -> DataFrame:
     """(u, v) of nodes: enough links for the components. Entries: bits (each once), node."""
+    long_of = lambda posted, what: written(posted.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > block), what)
     posted = postings(entries)
-    long_lists = written(posted.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-long")
-    dealt = posted.join(long_lists, "list", "left").select("list", "bits", "node", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int")
-    dealt = dealt.select("list", "bits", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = dealt.select("list", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "bits", "node")
+    long_lists = long_of(posted, "simhash-long")
+    if not long_lists.isEmpty():
+        # Postings of long lists are few lists' rows; they are written, as they are counted and then dealt.
+        again = written(rekeyed(posted.join(long_lists, "list", "left_semi")), "simhash-again")
+        posted = posted.join(long_lists, "list", "left_anti").unionByName(again)
+        long_lists = long_of(again, "simhash-longer")
+    units = posted.select("list", F.lit(0).alias("one"), F.lit(0).alias("two"), "bits", "node")
+    if not long_lists.isEmpty():
+        dealt = posted.join(long_lists, "list", "left").select("list", "bits", "node", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int")
+        dealt = dealt.select("list", "bits", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        units = dealt.select("list", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "bits", "node")
     return units.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_links_of_units, "u long, v long")
 
 
