@@ -6,10 +6,13 @@ fingerprints are joined on the hash, and each hit is extended along its diagonal
 of at least the window's length count. The words themselves are compared at the end, so a hash collision adds nothing.
 
 Two forms of the join: while the test fingerprints are few (``max_broadcast``, counted first), they are sent to every task
-and each document is done in one pass without a shuffle; beyond that, fingerprints of both sides are shuffled and joined.
+and each document is done in one pass without a shuffle; beyond that, fingerprints of both sides are shuffled and joined,
+under those (k, w) that items call for. The items that a document may hold are then laid behind its text, which is shuffled
+once whatever their number, and are extended one by one as they pass.
 
 Defined results: a null or empty text has no words and no hits; an empty benchmark gives no hits; items with the same
-text all count; rows repeat as they come; other columns of either table are ignored.
+text all count; an item without an id goes by the empty string; rows repeat as they come; other columns of either table are
+ignored.
 """
 
 from __future__ import annotations
@@ -118,7 +121,7 @@ def _spans(found: list[list[tuple[str, int, int]]]) -> pa.Array:
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, max_broadcast: int = 2_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, and spans (item, first word, last word + 1) of every shared run."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
     # A fingerprint is at most one per word: this bounds what would be broadcast before anything is gathered.
     sizes = items.select(F.sum(F.length("text")).alias("n")).first()
     docs = docs.select("doc_id", "text")
@@ -159,23 +162,47 @@ def _fingerprints(df: DataFrame, key: str, span: int, schemes: list[tuple[int, i
     return df.select(key, "text").mapInArrow(scan, T.StructType([df.schema[key], T.StructField("scheme", T.IntegerType()), T.StructField("hash", T.LongType())]))
 
 
+def _schemes(items: DataFrame, span: int) -> list[tuple[int, int]]:
+    """The (k, w) that items call for: ``span`` at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in steps(batches, "text"):
+            words = Words(texts, WORD_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(words.last - words.first, span)))], ["n"])
+
+    found = items.select("text").mapInArrow(count, "n long").distinct().collect()
+    return sorted({scheme(r["n"], span) for r in found if r["n"]})
+
+
 def _joined(docs: DataFrame, items: DataFrame, span: int, schema: T.StructType) -> DataFrame:
-    """The join for a benchmark of any size. Rows are told apart by doc_id and text."""
-    keyed = docs.withColumn("row", F.sha2(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce("text", F.lit(""))), 256))
+    """The join for a benchmark of any size. Rows are told apart by doc_id and text; equal ones are one here."""
+    row = F.sha2(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.withColumn("row", row)
     items = items.withColumn("item_row", F.sha2(F.concat_ws("\x01", "item", "text"), 256))
-    schemes = [(min(MAX_K, n), n - min(MAX_K, n) + 1) for n in range(1, span + 1)]
-    ours = _fingerprints(keyed, "row", span, schemes, False).alias("d")
-    theirs = _fingerprints(items, "item_row", span, schemes, True).alias("i")
+    schemes = _schemes(items, span)
+    ours = _fingerprints(keyed, "row", span, schemes, False)
+    theirs = _fingerprints(items, "item_row", span, schemes, True)
+    # One row a document and item, whatever number of fingerprints they share.
     pairs = ours.join(theirs, ["scheme", "hash"]).select("row", "item_row").distinct()
-    both = pairs.join(keyed.select("row", "text").dropDuplicates(["row"]), "row").join(items.select("item_row", "item", F.col("text").alias("passage")).dropDuplicates(["item_row"]), "item_row").select("row", "item", "passage", "text")
+    passages = items.select("item_row", "item", F.col("text").alias("passage")).dropDuplicates(["item_row"])
+    wanted = pairs.join(passages, "item_row").select("row", "item", F.col("passage").alias("text"), F.lit(True).alias("is_item"))
+    held = keyed.select("row", "text").join(pairs.select("row").distinct(), "row", "left_semi").select("row", F.lit(None).cast("string").alias("item"), "text", F.lit(False).alias("is_item"))
+    laid = held.unionByName(wanted).repartition("row").sortWithinPartitions("row", "is_item", "item")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's text comes before its items."""
+        words = None
         for batch, texts in steps(batches, "text"):
-            for i, (row, item, passage) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                found = Items([(item, passage.encode())], span).hits(Words([texts[i]], WORD_BYTES))
-                yield pa.RecordBatch.from_arrays([pa.array([row]), _spans(found)], ["row", "spans"])
+            rows, spans = [], []
+            for row, item, is_item, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), texts, strict=True):
+                if is_item:
+                    rows.append(row)
+                    spans.append(Items([(item, text)], span).hits(words)[0])
+                else:
+                    words = Words([text], WORD_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), _spans(spans)], ["row", "spans"])
 
-    found = written(both.mapInArrow(extend, f"row string, spans {SPAN}"), "decontaminate").groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = written(laid.mapInArrow(extend, f"row string, spans {SPAN}").distinct(), "decontaminate").groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, "text"):
@@ -204,7 +231,7 @@ def oracle() -> str:
     words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("text")} AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[g : g + least(len(w), 10) - 1], ' ') AS span
   FROM (SELECT *, unnest(range(1, CAST(len(w) - least(len(w), 10) + 2 AS BIGINT))) AS g FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM iw),
