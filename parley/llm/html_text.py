@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import steps
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -28,6 +32,9 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section".split())
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption li dd dt".split())
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?([.#][\w-]+)?")
+SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?\s*(\d{1,4})", re.I)
 #: A start tag closes these open elements, but not beyond the given ones.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -47,6 +54,13 @@ IN_HEAD = frozenset("title meta link base style script noscript template head".s
 SCOPES = frozenset(["table", "td", "th", "caption", "html", "body"])
 
 
+def columns(text: str) -> int:
+    """How many columns a line takes: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 class Flow:
     """Text of one block container: lines, with white space folded and blank lines between blocks."""
 
@@ -92,8 +106,14 @@ class Page:
     def __init__(self) -> None:
         #: Open elements: (name, hidden, what it opened).
         self.open: list[tuple[str, bool, str]] = []
+        #: How many of each name are open, so that most searches among the open elements needn't begin.
+        self.names: Counter[str] = Counter()
         self.flows = [Flow()]
-        self.tables: list[list[list[str]]] = []
+        #: Rows of cells: (text, columns, rows).
+        self.tables: list[list[list[tuple[str, int, int]]]] = []
+        self.spans: list[tuple[int, int]] = []
+        #: (element or "", class or id or "") that a style element hides.
+        self.hides: set[tuple[str, str]] = set()
         self.lists: list[list] = []
         self.pre = 0
         self.hidden = 0
@@ -125,12 +145,27 @@ class Page:
             self._break("hr")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             return
-        hidden = name == "head" or bool(attributes) and self._unseen(attributes)
+        hidden = name == "head" or bool(attributes) and self._unseen(attributes) or bool(self.hides) and self._ruled_out(name, attributes)
         opened = ""
         self.hidden += hidden
         if not self.hidden:
             opened = self._open(name, attributes)
         self.open.append((name, hidden, opened))
+        self.names[name] += 1
+
+    def _style(self, body: str) -> None:
+        for selectors, rules in RULE.findall(body):
+            if HIDDEN_STYLE.search(rules):
+                for s in selectors.split(","):
+                    if (m := SELECTOR.fullmatch(s.strip())) and m[0]:
+                        self.hides.add(((m[1] or "").lower(), m[2] or ""))
+
+    def _ruled_out(self, name: str, attributes: str) -> bool:
+        marks = [""]
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            marks += ["#" + value] if key == "id" else ["." + c for c in value.split()] if key == "class" else []
+        return any((n, mark) in self.hides for mark in marks for n in (name, ""))
 
     @staticmethod
     def _unseen(attributes: str) -> bool:
@@ -172,6 +207,8 @@ class Page:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.flows.append(Flow())
+            wide = {k.lower(): max(1, int(n)) for k, n in SPAN.findall(attributes)}
+            self.spans.append((min(wide.get("col", 1), 1000), wide.get("row", 1)))
             return "cell"
         if name == "dd":
             self.flows[-1].prefix = "    "
@@ -187,12 +224,14 @@ class Page:
             flow.gap = True
 
     def end(self, name: str) -> None:
-        if name == "p" and not any(x[0] == "p" for x in self.open):
+        if name == "p" and not self.names["p"]:
             self._break("p")
             return
         if name == "br":
             self.start("br", "")
             return
+        if not self.names[name]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 while len(self.open) > i:
@@ -203,6 +242,8 @@ class Page:
 
     def _close_to(self, names: frozenset, until: frozenset) -> bool:
         """Closes up to the nearest open element of ``names`` that no element of ``until`` hides."""
+        if not any(self.names[n] for n in names):
+            return False
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in names:
                 while len(self.open) > i:
@@ -214,6 +255,7 @@ class Page:
 
     def _pop(self) -> None:
         name, hidden, opened = self.open.pop()
+        self.names[name] -= 1
         if not self.hidden and name in BLOCKS and opened not in ("cell", "table"):
             if opened == "pre":
                 self.flows[-1].end_line(bool("".join(self.flows[-1].parts).strip()))
@@ -229,27 +271,53 @@ class Page:
             self.flows[-1].prefix = ""
         elif opened == "cell":
             text = self.flows.pop().text()
-            self.tables[-1][-1].append(text)
+            self.tables[-1][-1].append((text, *self.spans.pop()))
         elif opened == "table":
             self._lay_table(self.tables.pop())
         self.hidden -= hidden
 
-    def _lay_table(self, rows: list[list[str]]) -> None:
-        rows = [r for r in rows if any(r)]
+    @staticmethod
+    def _placed(rows: list[list[tuple[str, int, int]]]) -> list[dict[int, tuple[list[str], int]]]:
+        """Of each row: column to (lines, column behind it) of the cells that begin there; columns where none begins are left out."""
+        taken: dict[int, int] = {}  # column: how many more rows a cell above takes there
+        grid = []
+        for r in rows:
+            line, at = {}, 0
+            now = {c for c, n in taken.items() if n}
+            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+            for text, wide, tall in r:
+                while at in now:
+                    at += 1
+                line[at] = (text.split("\n"), at + wide)
+                if tall > 1:
+                    taken |= dict.fromkeys(range(at, at + wide), tall - 1)
+                at += wide
+            grid.append(line)
+        begins = sorted({c for line in grid for c in line})
+        number = {c: i for i, c in enumerate(begins)}
+        behind = lambda end: sum(1 for c in begins if c < end) if end not in number else number[end]
+        return [{number[c]: (lines, behind(end)) for c, (lines, end) in line.items()} for line in grid]
+
+    def _lay_table(self, rows: list[list[tuple[str, int, int]]]) -> None:
+        rows = [r for r in rows if any(c[0] for c in r)]
         flow = self.flows[-1]
         flow.end_line()
         flow.gap = flow.gap or not self.lists
-        cells = [[c.split("\n") for c in r] for r in rows]
-        width: list[int] = []
-        for r in cells:
-            for i, c in enumerate(r):
-                if i == len(width):
-                    width.append(0)
-                width[i] = max(width[i], *(len(x) for x in c))
-        for r in cells:
-            for k in range(max(len(c) for c in r)):
-                line = " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width, strict=False))
-                flow.parts.append(line)
+        grid = self._placed(rows)
+        width = [0] * max((end for line in grid for _, end in line.values()), default=0)
+        cells = [(end - at, at, end, max(map(columns, lines))) for line in grid for at, (lines, end) in line.items()]
+        for _, at, end, need in sorted(cells):  # cells of one column first; a wider one widens its last
+            width[end - 1] = max(width[end - 1], need - sum(width[at : end - 1]) - 3 * (end - 1 - at))
+        for line in grid:
+            last = max((end for _, end in line.values()), default=0)
+            for k in range(max((len(lines) for lines, _ in line.values()), default=0)):
+                shown, at = [], 0
+                while at < last:
+                    lines, end = line.get(at, ([], at + 1))
+                    text = lines[k] if k < len(lines) else ""
+                    shown.append(text + " " * (sum(width[at:end]) + 3 * (end - 1 - at) - columns(text)))
+                    at = end
+                flow.parts.append(" | ".join(shown))
                 flow.end_line(True)
         flow.gap = not self.lists
 
@@ -280,6 +348,8 @@ class Page:
                 at = close.end() if close else len(source)
                 if name == "title" and not self.title:
                     self.title = SPACE.sub(" ", html.unescape(body)).strip()
+                elif name == "style":
+                    self._style(body)
                 elif name == "textarea" and not self._unseen(attributes):
                     self.text(body)
                 continue
@@ -297,18 +367,17 @@ def render(source: str) -> tuple[str, str]:
     return page.title, text
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: page_id, url, title, text."""
-    rows = pages.select("page_id", "url", "html")
+def extract(pages: DataFrame, kept: list[str] = ()) -> DataFrame:
+    """Per row of ``pages``: page_id, url, title, text, and the columns ``kept``."""
+    carried = ["page_id", "url", *kept]
+    rows = pages.select(*carried, "html")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                made = [render(x or "") for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in made], pa.string()), pa.array([x for _, x in made], pa.string())], ["page_id", "url", "title", "text"])
+        for batch, sources in steps(batches, "html"):
+            made = [render(x.decode("utf-8", "replace")) for x in sources]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in made], pa.string()), pa.array([x for _, x in made], pa.string()), *batch.columns[2:-1]], ["page_id", "url", "title", "text", *kept])
 
-    return rows.mapInArrow(scan, T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:2], T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), *rows.schema.fields[2:-1]]))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -2,15 +2,21 @@
 
 Evidence on a text: the likelihood of its byte trigrams under each language; the language its markup declares; the suffix
 of its address; and a prior of its host. Likelihoods are learned from a bounded sample of declared rows (``fit``, about
-``sample_per_language`` rows a language, chosen by hash of the text, equal texts once). How far a declaration or suffix can be trusted is counted over
-all rows by grouped aggregation, against what the text alone says. Host priors are counts per host, smoothed towards the
-parent domain, that towards all rows.
+``sample_per_language`` texts a language, chosen by hash of the text, equal texts once). How far a declaration or suffix can
+be trusted is counted over all rows by grouped aggregation, against what the text alone says. Host priors are counts per
+host, smoothed towards the parent domain, that towards all rows.
+
+A language is learned if about ``min_texts`` different texts declare it, however small a share of the table that is; of more
+than ``max_languages`` such languages, those with most texts are. Where the table declares any other, one more column stands
+for all languages that aren't learned: every trigram is as likely as any other in it, which loses against a learned
+language's own trigrams and wins where all of them are strange. A text that falls there gets its declared language, if that
+isn't a learned one, else "und".
 
 A text is rejected when it has too few letters to be read at all, or when no language reaches ``min_posterior``.
 
-Defined results: a null or empty text has no letters, language "und", and is rejected; a null declaration, suffix or host
-is no evidence; an unknown declared language is a value like others; repeated rows each get a row; an empty table gives no
-rows; a table without any declared language makes every row "und"; other columns are ignored.
+Defined results: a null or empty text has no letters, language "und", and is rejected; a null or empty declaration, suffix or
+host is no evidence; repeated rows each get a row; an empty table gives no rows; a table in which no language can be learned
+makes every row with letters enough its declared language, else "und"; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_table, steps, written
+from .html_text import extract
 
 #: Letters: a-z and bytes outside ASCII; all else is a word end.
 LETTERS = byte_table(bytes(range(97, 123)) + bytes(range(128, 256)))
@@ -46,16 +53,17 @@ def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell, owner[middle], letters
 
 
-def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int = 400, min_share: float = 0.002) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood of each cell by language) from a bounded sample of rows that declare one."""
+def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int = 400, min_texts: int = 20, max_languages: int = 200) -> tuple[list[str | None], np.ndarray]:
+    """(languages, log-likelihood of each cell by language) from a bounded sample of rows that declare one. The last language
+    is None, that of all others, if there are others."""
     rows = docs.select(F.col(text).alias("text"), declared.alias("declared")).where("text is not null and declared is not null")
-    counts = rows.groupBy("declared").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # Languages that hold at least this share of the rows; there can be at most 1 / min_share of them.
-    named = sorted(r["declared"] for r in counts.where(F.col("n") >= F.lit(total * min_share)).toLocalIterator())
+    counts = written(rows.groupBy("declared").agg(F.approx_count_distinct("text", 0.02).alias("n")), "language-counts")
+    known = counts.where(F.col("n") >= min_texts).orderBy(F.desc("n"), "declared").limit(max_languages).collect()  # max_languages rows
+    sizes = {r["declared"]: r["n"] for r in known}
+    named = sorted(sizes)
+    others = counts.limit(max_languages + 1).count() > len(named)
     if not named:
-        return [], np.zeros((CELLS, 0), np.float32)
-    sizes = {r["declared"]: r["n"] for r in counts.where(F.col("declared").isin(named)).toLocalIterator()}
+        return [None] * others, np.full((CELLS, int(others)), -np.log(CELLS), np.float32)
     # A row is in the sample if its hash falls below the share that gives the wanted number of rows.
     share = F.create_map(*[x for k in named for x in (F.lit(k), F.lit(min(1.0, sample_per_language / sizes[k])))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
@@ -79,7 +87,8 @@ def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int =
     column = {k: i for i, k in enumerate(named)}
     at = np.array([column[k] for k in cells.column("declared").to_pylist()], np.int64)
     made[cells.column("cell").to_numpy(), at] += cells.column("n").to_numpy()
-    return named, np.log(made / made.sum(0)).astype(np.float32)
+    logs = np.log(made / made.sum(0)).astype(np.float32)
+    return ([*named, None], np.column_stack([logs, np.full(CELLS, -np.log(CELLS), np.float32)])) if others else (named, logs)
 
 
 def _likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], temper: float) -> DataFrame:
@@ -132,7 +141,7 @@ def _priors(scored: DataFrame, n: int, weight: float = 20.0) -> DataFrame:
 def identify(docs: DataFrame, key: str, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, parent: Column | None = None, sample_per_language: int = 400, temper: float = 0.2, min_letters: int = 8, min_posterior: float = 0.5) -> DataFrame:
     """Per row: the key, language, posterior, letters, accepted. Evidence columns may be left out."""
     none = F.lit(None).cast("string")
-    rows = docs.select(F.col(key), text.alias("text"), *((none if c is None else c.cast("string")).alias(a) for a, c in (("declared", declared), ("suffix", suffix), ("host", host), ("parent", parent))))
+    rows = docs.select(F.col(key), text.alias("text"), *((none if c is None else F.nullif(c.cast("string"), F.lit(""))).alias(a) for a, c in (("declared", declared), ("suffix", suffix), ("host", host), ("parent", parent))))
     named, table = fit(rows, "text", F.col("declared"), sample_per_language)
     if not named:
         blank = _likelihoods(rows, (named, table), temper)
@@ -146,13 +155,15 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column | None =
     for by, made in (("declared", _trust(scored, "declared", n)), ("suffix", _trust(scored, "suffix", n)), ("host", _priors(scored, n))):
         fused = fused.join(made, by, "left")
     add = lambda i: F.get("text_ll", i) + sum((F.coalesce(F.get(c, i), F.lit(0.0)) for c in ("declared_ll", "suffix_ll", "prior_ll")), F.lit(0.0))
-    fused = fused.select(key, "letters", F.transform(numbers, add).alias("ll"))
+    fused = fused.select(key, "letters", "declared", F.transform(numbers, add).alias("ll"))
     top = F.array_max("ll")
     share = 1.0 / F.aggregate("ll", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    fused = fused.select(key, "letters", F.array_position("ll", top).cast("int").alias("at"), share.alias("posterior"))
-    accepted = (F.col("letters") >= min_letters) & (F.col("posterior") >= min_posterior)
-    language = F.when(accepted, F.element_at(F.array(*[F.lit(x) for x in named]), F.col("at"))).otherwise(UNKNOWN)
-    return fused.select(key, language.alias("language"), F.round("posterior", 6).alias("posterior"), "letters", accepted.alias("accepted"))
+    fused = fused.select(key, "letters", "declared", F.array_position("ll", top).cast("int").alias("at"), share.alias("posterior"))
+    learned = F.element_at(F.array(*[F.lit(x).cast("string") for x in named]), F.col("at"))
+    # None has won: the declared language, unless it is one that would have been known by its text.
+    found = F.coalesce(learned, F.when(~F.col("declared").isin([x for x in named if x is not None]), F.col("declared")))
+    accepted = (F.col("letters") >= min_letters) & (F.col("posterior") >= min_posterior) & found.isNotNull()
+    return fused.select(key, F.when(accepted, found).otherwise(UNKNOWN).alias("language"), F.round("posterior", 6).alias("posterior"), "letters", accepted.alias("accepted"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -160,11 +171,15 @@ def report(docs: DataFrame) -> DataFrame:
     return identify(docs, "doc_id", F.col("text"), declared=F.col("lang"), host=F.col("source"))
 
 
+#: The part of a host that someone registered: two labels, or three under a country's own second level.
+REGISTERED = r"([^.]+\.(?:(?:ac|co|com|edu|gob|gouv|gov|ne|net|or|org)\.[a-z]{2}|[^.]+))$"
+
+
 def pages_report(pages: DataFrame) -> DataFrame:
-    """Over ``pages``: the html element's lang, the address's top-level suffix and host, and the text between tags."""
+    """Over ``pages``: the html element's lang, the address's top-level suffix and host, and the text as operator 10 has it."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    parent = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    declared = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2,3})", 1))
     blank = lambda c: F.nullif(c, F.lit(""))
-    return identify(pages, "page_id", text, declared=declared, suffix=blank(F.regexp_extract(host, r"\.([^.]+)$", 1)), host=blank(host), parent=blank(parent))
+    told = {"declared": declared, "suffix": F.regexp_extract(host, r"\.([^.]+)$", 1), "host": host, "parent": F.regexp_extract(host, REGISTERED, 1)}
+    read = extract(pages.select("page_id", "url", "html", *(blank(c).alias(k) for k, c in told.items())), [*told])
+    return identify(read, "page_id", F.col("text"), **{k: F.col(k) for k in told})
