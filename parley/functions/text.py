@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,16 +14,30 @@ LATIN_TOKEN = r"[A-Za-z0-9_]+(?:[-/:.][A-Za-z0-9_]+)*"
 CONFIRM = "（待確認）"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def counted(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def chars_of(text: Column, characters: str) -> Column:
+    """How many characters of a class there are: what is left without the runs between them, which are fewer."""
+    return F.length(F.regexp_replace(text, f"[^{characters[1:-1]}]+", ""))
+
+
 def estimate_tokens(text: Column) -> Column:
     """max(1, CJK characters + 1.2 per Latin word + a quarter of the rest); 0 for a null or empty text."""
-    cjk = counted(text, CJK)
-    words = counted(text, LATIN_TOKEN)
-    rest = F.length(F.regexp_replace(F.regexp_replace(text, LATIN_TOKEN, ""), CJK, ""))
-    total = cjk + F.floor(words * 12 / 10) + F.floor(rest / 4)
+
+    def of_marked(m: Column) -> Column:
+        words = F.length(m) - F.length(F.translate(m, "\x00", ""))
+        cjk = F.length(m) - F.length(F.regexp_replace(m, CJK, ""))
+        return cjk + F.floor(words * 12 / 10) + F.floor((F.length(m) - words - cjk) / 4)
+
+    # One pass over the text: each Latin word becomes one character, and the rest is short.
+    total = once(F.regexp_replace(F.translate(text, "\x00", " "), LATIN_TOKEN, "\x00"), of_marked)
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")
 
 
@@ -62,9 +78,20 @@ def safe_base_name(name: Column) -> Column:
     return F.regexp_replace(base, r"(?U)[^\p{Alnum}_\- .一-鿿]", "")
 
 
-def cache_signature(*options: Column, none: str = "none") -> Column:
-    """First 16 hex digits of the sha256 of the options, joined by '::'."""
-    return F.left(F.sha2(F.concat_ws("::", *[F.coalesce(o.cast("string"), F.lit(none)) for o in options]), 256), F.lit(16))
+# Recognition options in the order of the signature, with what stands for one that is unset.
+SIGNATURE_OPTIONS = {"backend": "unset", "model": "unset", "revision": "unpinned", "language": "auto", "initial_prompt": "", "beam_size": "default", "vad_enabled": "default", "diarization": "diarization:off"}
+#: Options of which an empty text is unset too.
+EMPTY_IS_UNSET = ("revision", "language", "initial_prompt", "diarization")
+
+
+def cache_signature(**options: Column) -> Column:
+    """P10: first 16 hex digits of the sha256 of the options' values, joined by '::'. Options left out are unset."""
+    unknown = set(options) - set(SIGNATURE_OPTIONS)
+    if unknown:
+        raise ValueError(f"no such options: {sorted(unknown)}")
+    said = lambda name: options.get(name, F.lit(None)).cast("string")
+    values = [F.coalesce(F.nullif(said(n), F.lit("")) if n in EMPTY_IS_UNSET else said(n), F.lit(unset)) for n, unset in SIGNATURE_OPTIONS.items()]
+    return F.left(F.sha2(F.concat_ws("::", *values), 256), F.lit(16))
 
 
 def preview(text: Column, chars: int = 2000) -> Column:
@@ -72,8 +99,9 @@ def preview(text: Column, chars: int = 2000) -> Column:
 
 
 def normalise_headings(text: Column) -> Column:
-    """One space after the marks of a heading; no more than one blank line together."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^(#+)[ \t]*(?=[^#\s])", "$1 "), r"\n{3,}", "\n\n"))
+    """No more than one blank line together; one space after up to three marks of a heading; trimmed."""
+    spaced = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?mdU)^(#{1,3})\s*", "$1 ")
+    return F.regexp_replace(spaced, r"(?U)^\s+|\s+$", "")
 
 
 def action_key(text: Column) -> Column:

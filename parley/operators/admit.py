@@ -31,6 +31,10 @@ def enforce_mode_policy(tasks: DataFrame, templates: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).drop("local_only")
 
 
-def redact_columns(df: DataFrame, keep: set[str]) -> DataFrame:
-    """Only listed columns, in the frame's order."""
-    return df.select(*[c for c in df.columns if c in keep])
+# What shared evidence of an upload may hold.
+EVIDENCE_COLUMNS = ("task_id", "filename", "file_size", "queue_position", "estimated_wait_seconds", "message")
+
+
+def redact_columns(df: DataFrame, keep: tuple[str, ...] = EVIDENCE_COLUMNS) -> DataFrame:
+    """Of the listed columns those that are there, in the list's order."""
+    return df.select(*[c for c in keep if c in df.columns])

@@ -58,10 +58,16 @@ def dominant_speaker(overlaps: DataFrame) -> DataFrame:
 def nearest_turn(segments: DataFrame, turns: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Segments without any overlap get the speaker of the turn nearest to their middle; first turn on ties."""
     lone = segments.join(overlaps.select("meeting_id", "seg_no").distinct(), ["meeting_id", "seg_no"], "left_anti")
-    pairs = lone.select("meeting_id", "seg_no", (F.col("start_ms") + F.col("end_ms")).alias("twice")).join(as_right(turns), "meeting_id")
-    distance = F.least(F.abs(F.col("twice") - 2 * F.col("r_start")), F.abs(F.col("twice") - 2 * F.col("r_end")))
-    found = pairs.groupBy("meeting_id", "seg_no").agg(F.min_by(F.struct("turn_no", "speaker", distance.alias("d")), F.struct(distance, "turn_no")).alias("m"))
-    return found.select("meeting_id", "seg_no", "m.turn_no", "m.speaker", (F.col("m.d") / 2).alias("distance_ms"))
+    # Twice the times, so that middles are whole. The nearest end or start is the last before the middle or the first after.
+    ends = turns.select("meeting_id", F.explode(F.array(2 * F.col("start_ms"), 2 * F.col("end_ms"))).alias("at"), F.struct("turn_no", "speaker").alias("turn"))
+    points = ends.groupBy("meeting_id", "at").agg(F.min("turn").alias("turn")).withColumn("seg_no", F.lit(None).cast(segments.schema["seg_no"].dataType))
+    middles = lone.select("meeting_id", (F.col("start_ms") + F.col("end_ms")).alias("at"), F.lit(None).cast(points.schema["turn"].dataType).alias("turn"), "seg_no")
+    by = W.partitionBy("meeting_id").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.last(F.when(F.col("turn").isNotNull(), F.struct("at", "turn")), ignorenulls=True)
+    laid = points.unionByName(middles).withColumn("before", seen.over(by.orderBy("at", F.asc_nulls_first("seg_no")))).withColumn("after", seen.over(by.orderBy(F.desc("at"), F.desc_nulls_last("seg_no")))).where("seg_no IS NOT NULL")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("d"), F.col(f"{c}.turn").alias("turn")))
+    found = laid.withColumn("m", F.least(near("before"), F.coalesce(near("after"), near("before")))).withColumn("m", F.coalesce("m", near("after"))).where("m IS NOT NULL")
+    return found.select("meeting_id", "seg_no", "m.turn.turn_no", "m.turn.speaker", (F.col("m.d") / 2).alias("distance_ms"))
 
 
 def _allocation(weights: Column, length: Column) -> Column:
@@ -181,7 +187,7 @@ def pattern_interleave(sources: DataFrame, pattern: list[str], n_slots: int, key
 
     sources (key, category, item_no, ...). A category without sources leaves its slots empty.
     """
-    numbered = sources.withColumn("at", F.row_number().over(W.partitionBy(key, "category").orderBy("item_no")) - 1).withColumn("of", F.count("*").over(W.partitionBy(key, "category")))
+    numbered = sources.withColumn("at", (F.row_number().over(W.partitionBy(key, "category").orderBy("item_no")) - 1).cast("long"))
     cycle = F.array(*[F.lit(x) for x in pattern])
     slots = sources.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
     category = F.get(cycle, F.col("slot") % len(pattern))
@@ -190,7 +196,9 @@ def pattern_interleave(sources: DataFrame, pattern: list[str], n_slots: int, key
     per_round = F.create_map(*[F.lit(x) for c in dict.fromkeys(pattern) for x in (c, pattern.count(c))])
     turn = F.floor(F.col("slot") / len(pattern)) * per_round[category] + F.get(F.array(*[F.lit(b) for b in before]), F.col("slot") % len(pattern))
     slots = slots.select(key, "slot", category.alias("category"), turn.cast("long").alias("turn"))
-    return slots.join(numbered, [key, "category"]).where(F.col("turn") % F.col("of") == F.col("at")).drop("turn", "at", "of")
+    sizes = sources.groupBy(key, "category").agg(F.count("*").alias("of"))
+    slots = slots.join(sizes, [key, "category"]).withColumn("at", F.col("turn") % F.col("of")).drop("turn", "of")
+    return slots.join(numbered, [key, "category", "at"]).drop("at")
 
 
 def classify_by_overlap(chunks: DataFrame, manifest: DataFrame, bucket_ms: int | None = BUCKET_MS) -> DataFrame:

@@ -5,12 +5,10 @@ Patterns and vocabularies are parameters (rule tables of bounded size); the defa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.text import CJK, CONFIRM, counted
+from parley.functions.text import CJK, CONFIRM, chars_of, counted, once
 
 # Characters that exist in simplified Chinese only.
 SIMPLIFIED = "为会体们动办务发号启实对开当录总应数术样气没点产监类统网规让议话这进项华质关证长门问间东车贝见页风飞马鸟龙齐语说读写学习经济级红结组织给继续记报确认单资讯电脑络软设备预处调审决书简称属"
@@ -48,6 +46,7 @@ UNFILLED = r"[（(](?:機關及科別|機關科別|民國年|年|月|日|星期|
 FIELD_LINES = [r"^(?:時間|地點|主持人|出席人員|紀\s*錄|散會)\s*[:：]", r"(?:紀錄|彙整表)\s*$"]
 
 SENTENCE_END = r"(?<=[。！？!?\n])"
+# The separators of loops, and how often a unit of one character, or of 2-20, must be repeated.
 SEPARATORS = r"[、，,。\s]*"
 LOOP_SINGLE = rf"(?U)([^\s、，,。])({SEPARATORS}\1)(?:{SEPARATORS}\1){{6,}}"
 LOOP_MULTI = rf"(?U)(\S{{2,20}}?)({SEPARATORS}\1)(?:{SEPARATORS}\1){{2,}}"
@@ -59,11 +58,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def has_any(text: Column, characters: str) -> Column:
     """Whether one of many characters occurs: one lookup a character, where a class of a pattern tries them in turn."""
     return F.translate(text, characters, "") != text
@@ -85,9 +79,9 @@ def language_mix(docs: DataFrame) -> DataFrame:
     """Characters of CJK, Latin and digits with their shares, and whether words are foreign beyond 0.25, 0.15, 0.10."""
     plain = F.regexp_replace("text", r"[#|>*`\-]+", " ")
     words = counted(plain, r"\b[a-zA-Z][A-Za-z0-9_/-]*\b")
-    cjk = counted(plain, CJK)
+    cjk = chars_of(plain, CJK)
     ratio = F.coalesce(F.try_divide(words.cast("double"), (words + cjk).cast("double")), F.lit(0.0))
-    latin, digits, body = counted(F.col("text"), "[A-Za-z]"), counted(F.col("text"), "[0-9]"), counted(F.col("text"), CJK)
+    latin, digits, body = chars_of(F.col("text"), "[A-Za-z]"), chars_of(F.col("text"), "[0-9]"), chars_of(F.col("text"), CJK)
     share = F.coalesce(F.try_divide(body.cast("double"), (body + latin + digits).cast("double")), F.lit(0.0))
     return docs.select("doc_id", body.alias("cjk_chars"), latin.alias("latin_chars"), digits.alias("digit_chars"), F.round(share, 6).alias("cjk_share"), F.round(ratio, 6).alias("foreign_ratio"), (ratio > 0.25).alias("excess"), (ratio > 0.15).alias("above_15"), (ratio > 0.10).alias("above_10"))
 
@@ -185,25 +179,53 @@ def repair_placeholders(docs: DataFrame, token: str = UNFILLED, lines: list[str]
     return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), mended), "\n"))
 
 
-# Wrappers of model outputs.
-WRAPPERS = [r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", r"(?is)^.*</think(?:ing)?>", r"(?i)^\s*```(?:markdown|md)?[ \t]*\n?", r"\n?```\s*$", r"(?i)^\s*(?:sure|okay|certainly|of course|here(?:'s| is))\b[^\n]*\n+"]
+# What models put around a record, in the order in which it goes.
+WRAPPERS = [
+    r"<(?:think|thought|details)\b[^>]*>(?s:.*?)</(?:think|thought|details)>",
+    r"^\s*</?(?:think|thought|details)[^>]*>\s*$",
+    r"^```(?:markdown)?\s*",
+    r"^好的[，,]?\s*我[來来][整幫]理.*?[：:。\n]",
+    r"^以下是.*?會議記錄[：:。\n]",
+    r"^以下是.*?整理結果[：:。\n]",
+    r"^我[來来]為[您你]整理.*?[：:。\n]",
+    r"^根據逐字稿[，,]?\s*",
+    r"^OK[，,]?\s*",
+    r"^Sure[，,]?\s*",
+]
+# What goes once the text is trimmed, and the line at which a record begins.
+CLOSING = [r"\n?```$", r"</?(?:think|thought|details)[^>]*>"]
+ANCHORS = r"^會議名稱[：:]|^#\s"
+#: Letters of any case, lines that end at \n alone, white space of any script.
+LINES_OF = "(?imdU)"
 
 
-def strip_wrappers(docs: DataFrame, wrappers: list[str] | None = None, anchors: str = r"(?m)^(?:#|會議名稱|一、)") -> DataFrame:
+def strip_wrappers(docs: DataFrame, wrappers: list[str] | None = None, anchors: str = ANCHORS) -> DataFrame:
     """Thought tags, fences and chatty openings go, and what stands before the first anchor line; adds ``stripped``."""
-    text = F.col("text")
+    text = stripped(F.coalesce("text", F.lit("")))
     for p in WRAPPERS if wrappers is None else wrappers:
-        text = F.regexp_replace(text, p, "")
-    at = F.regexp_instr(text, F.lit(anchors))
-    cut = stripped(F.when(at > 1, F.substr(text, at.cast("int"))).otherwise(text))
-    return docs.withColumn("stripped", F.length("text") - F.length(cut)).withColumn("text", cut)
+        text = F.regexp_replace(text, LINES_OF + p, "")
+    text = stripped(F.regexp_replace(text, r"(?iU)^\s*```(?:markdown)?\s*", ""))
+    for p in CLOSING:
+        text = F.regexp_replace(text, LINES_OF + p, "")
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+    def cut(t: Column) -> Column:
+        at = F.regexp_instr(t, F.lit("(?mdU)" + anchors))
+        return stripped(F.when(at > 1, F.substr(t, at.cast("int"))).otherwise(t))
+
+    return docs.withColumn("cut", once(text, cut)).withColumn("stripped", F.length("text") - F.length("cut")).withColumn("text", F.col("cut")).drop("cut")
+
+
+# Characters of CJK texts that stand without blanks, and full-width marks (the blank U+3000 isn't one).
+CJK_TEXT = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+CJK_MARK = r"\u2014\u2018\u2019\u201c\u201d\u2026\u3001-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
 
 
 def cjk_spaced(text: Column) -> Column:
     """Blanks become one; none between CJK characters or beside full-width marks."""
-    wide = "[㐀-鿿豈-﫿　-〿＀-￯]"
     one = F.regexp_replace(text, r"(?U)\s+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(one, f"(?<={wide}) (?={wide})", ""), "(?<=[　-〿＀-￯]) | (?=[　-〿＀-￯])", ""))
+    between = F.regexp_replace(one, f"(?<=[{CJK_TEXT}]) (?=[{CJK_TEXT}])", "")
+    return F.trim(F.regexp_replace(between, f" (?=[{CJK_MARK}])|(?<=[{CJK_MARK}]) ", ""))
 
 
 def ensure_structure(docs: DataFrame, headers: list[tuple[str, str]], sections: list[tuple[str, list[str], list[tuple[str, list[str]]]]]) -> DataFrame:

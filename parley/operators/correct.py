@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.folds import fold_rows
 from parley.functions.text import CJK, in_order
 from parley.operators.clean import stripped
 
@@ -26,26 +27,25 @@ def _pieces(docs: DataFrame, max_chars: int) -> DataFrame:
     return tokens.select("doc_id", "p1", "p2", F.posexplode(cuts).alias("p3", "piece"))
 
 
-def pack(rows: DataFrame, key: str, order: list[str], size: str, budget: int, unit: str | None = None) -> DataFrame:
+def pack(rows: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
     """Greedy packing: rows of a key, in order, go to groups whose sizes sum to ``budget`` at most; adds ``pack_no``.
 
-    Only the order's numbers and sizes reach Python; a group of the fold is one key. A row beyond the budget is a group.
+    Only the sizes reach Python, as one stream of sorted rows. A row beyond the budget is a group.
     """
-    slim = rows.select(key, *order, F.col(size).cast("long").alias("size"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        numbers, no, held = [], -1, 0
-        for n in pdf["size"].tolist():
-            if no < 0 or held + n > budget:
+    def start():
+        no, held = -1, 0
+
+        def step(values: tuple) -> tuple:
+            nonlocal no, held
+            if no < 0 or held + values[0] > budget:
                 no, held = no + 1, 0
-            held += n
-            numbers.append(no)
-        return pdf.assign(pack_no=pd.Series(numbers, index=pdf.index, dtype="int32"))
+            held += values[0]
+            return (no,)
+
+        return step
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    packed = slim.groupBy(key).applyInPandas(fold, f"{kinds}, pack_no int").drop("size")
-    return rows.join(packed, [key, *order])
+    return fold_rows(rows, key, order, [size], start, "pack_no int")
 
 
 def segment_for_correction(docs: DataFrame, max_chars: int = 400) -> DataFrame:
@@ -59,13 +59,24 @@ def literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def any_of(forms: list[str]) -> str:
+    """A pattern for the forms as a tree of their beginnings, so that few branches are tried at each position."""
+    if "" in forms:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for f in forms:
+        heads.setdefault(f[0], []).append(f[1:])
+    branches = [literal(c + rest[0]) if len(rest) == 1 else literal(c) + any_of(rest) for c, rest in sorted(heads.items())]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
 def needs_correction(segments: DataFrame, pairs: DataFrame, max_alternatives: int = MAX_ALTERNATIVES) -> DataFrame:
     """K2: segments in which a known wrong form occurs. Few forms are one pattern in the scan; more are joined by the
     substrings of their lengths, without a pairing of all segments with all forms."""
     forms = pairs.where("wrong <> ''").select("wrong").distinct()
     few = forms.limit(max_alternatives + 1).collect()
     if len(few) <= max_alternatives:
-        return segments.where(F.col("text").rlike("|".join(literal(r["wrong"]) for r in sorted(few)))) if few else segments.where(F.lit(False))
+        return segments.where(F.col("text").rlike(any_of([r["wrong"] for r in few]))) if few else segments.where(F.lit(False))
     lengths = sorted(r["n"] for r in forms.select(F.length("wrong").alias("n")).distinct().collect())  # a few whole numbers
     grams = segments.select("doc_id", "seg_no", "text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.length("text") >= F.col("n"))
     grams = grams.select("doc_id", "seg_no", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("wrong"))
@@ -266,6 +277,14 @@ def english_terms(terms: DataFrame) -> DataFrame:
     return terms.where(F.col("term").rlike("[A-Za-z]"))
 
 
+def protected_terms(terms: DataFrame, most: int = MAX_ALTERNATIVES) -> list[str]:
+    """K9 for C6: the terms that keep an English line, as a list of checked size."""
+    rows = english_terms(terms).select("term").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} protected terms")
+    return sorted(r["term"] for r in rows)
+
+
 def circuit_break(results: DataFrame) -> DataFrame:
     """Results (doc_id, seg_no, text, candidate, error): after a document's first stable error (code in capitals),
     later segments keep their source text; the failed one does too."""

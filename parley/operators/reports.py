@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+
+from parley.functions.folds import numbered
 from pyspark.sql import types as T
 
 from parley.functions.text import clock, in_order
@@ -71,10 +73,9 @@ def retention_plan(catalog: DataFrame, policy: DataFrame, today: Column) -> Data
 def queue_report(tasks: DataFrame, concurrency: int = 1, minutes: int = 5, full_at: int = 50, shards: str | None = None) -> DataFrame:
     """Waiting tasks (task_id, created_at; of one queue, or of each ``shards`` value) with place and expected wait."""
     keys = [shards] if shards else []
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("created_at", "task_id"))
-    total = F.count("*").over(W.partitionBy(*keys))
-    wait = F.greatest(F.lit(0), place - concurrency) * minutes * 60
-    return tasks.select(*keys, "task_id", "created_at", place.alias("position"), wait.cast("long").alias("wait_seconds"), (total >= full_at).alias("queue_full"))
+    placed = numbered(tasks.select(*keys, "task_id", "created_at"), keys, ["created_at", "task_id"], "position")
+    wait = F.greatest(F.lit(0), F.col("position") - concurrency) * minutes * 60
+    return placed.select(*keys, "task_id", "created_at", "position", wait.cast("long").alias("wait_seconds"), (F.col("of") >= full_at).alias("queue_full"))
 
 
 def batch_run_report(results: DataFrame) -> DataFrame:

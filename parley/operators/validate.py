@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.functions.text import CJK, CJK_BODY, CONFIRM, action_key, counted, in_order
-from parley.operators.clean import once, stripped
+from parley.functions.text import CJK, CJK_BODY, CONFIRM, action_key, chars_of, counted, dynamic_min_chars, estimate_tokens, in_order, once
+from parley.operators.clean import stripped
 
 MAX_RULES = 5000
 NO_LABELS = "array<string>"
@@ -53,6 +53,13 @@ def length_gate(records: DataFrame, minimum: Column | int = 250) -> DataFrame:
     return records.withColumn("too_short", F.length(stripped(F.coalesce("text", F.lit("")))) < minimum)
 
 
+def length_gate_by_source(records: DataFrame, transcripts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """V3 with M14: adds ``min_chars``, which follows the transcript's tokens, and ``too_short`` against it."""
+    least = transcripts.select(key, dynamic_min_chars(estimate_tokens(F.col("text"))).alias("min_chars"))
+    joined = records.join(least, key, "left").withColumn("min_chars", F.coalesce("min_chars", F.lit(250).cast("long")))
+    return length_gate(joined, F.col("min_chars"))
+
+
 # Traces of a model's reasoning, and rubric phrases that it repeats.
 MARKUP_LEAKS = [r"(?i)<(?:think|thought|details)\b", r"(?i)</(?:think|thought|details)>", r"<[/!]?[A-Za-z][^>]*>", "```"]
 RUBRIC_LEAKS = [
@@ -88,14 +95,15 @@ def action_recall(expected: DataFrame, records: DataFrame, key: str = "doc_id")
     return joined.select(key, F.coalesce(F.size("wanted"), F.lit(0)).alias("n_expected"), F.size(lost).alias("n_missing")).withColumn("n_expected", F.greatest("n_expected", F.lit(0)))
 
 
-CHINESE_DIGITS = "〇零一二三四五六七八九"
-ARABIC_YEAR = r"(\d{2,4})\s*年(?!代)"
-CHINESE_YEAR = r"([〇零一二三四五六七八九十百]{2,6})\s*年(?!代)"
+# Digits with their values, and how years are written.
+CHINESE_DIGITS = {"〇": 0, "○": 0, "零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+ARABIC_YEAR = r"(?<!\d)(\d{2,4})\s*年(?!代)"
+CHINESE_YEAR = r"([〇○零一二三四五六七八九十百兩]{2,4})\s*年(?!代)"
 
 
 def chinese_number(token: Column) -> Column:
     """Digits read one by one, or with tens and hundreds, as text; null where that makes 0."""
-    plain = F.translate(token, CHINESE_DIGITS, "00123456789")
+    plain = F.translate(token, "".join(CHINESE_DIGITS), "".join(str(d) for d in CHINESE_DIGITS.values()))
     digits = F.split(plain, "")
 
     def step(acc: Column, c: Column) -> Column:
@@ -122,8 +130,9 @@ def ungrounded_years(records: DataFrame, transcripts: DataFrame, key: str = "doc
     return joined.select(key, F.explode(F.array_except("told", F.coalesce("said", F.array().cast(NO_LABELS)))).alias("year"))
 
 
-SOURCE_TAG = r"（[^（）]{1,24}?\d{1,2}:\d{2}(?::\d{2})?[^（）]{0,12}?）"
-HEADER_FIELD = r"^(?:時間|地點|主持人|出席人員|紀\s*錄|散會)\s*[:：]"
+# A source tag with a clock time, and the header lines where none is looked for.
+SOURCE_TAG = r"（[^）]{0,24}?\d{1,2}:\d{2}(?::\d{2})?[^）]{0,12}?）"
+HEADER_FIELD = r"^(?:時間|地點|主持人|出席人員|紀錄)[:：]"
 
 
 def source_tag_presence(records: DataFrame, traced: list[str], tag: str = SOURCE_TAG, header: str = HEADER_FIELD) -> DataFrame:
@@ -178,7 +187,7 @@ def section_windows(records: DataFrame, heading: str, boundary: str, cap: int =
 
 # Acceptance limits and markers.
 LIMITS = {"body": 600, "decision": 20, "meaningful": 100, "section": 10, "action": 2, "action_table": 10, "ratio": 0.5, "paragraphs": 15}
-FALLBACK_MARKERS = ["⚠️", "StableServiceError", "Traceback", "summary_failed"]
+FALLBACK_MARKERS = ["StableServiceError", "Traceback", "summary_failed", "⚠️"]
 ACTION_WORDS = ["待辦事項", "辦理事項", "預定事項"]
 DECISION = r"決議(?:事項)?\s*[:：]"
 
@@ -190,19 +199,21 @@ def acceptance_checks(artifacts: DataFrame, rules: DataFrame, titles: dict[str,
     """
     rows, limits = rule_rows(rules), LIMITS | (limits or {})
     text = F.coalesce("text", F.lit(""))
-    n = lambda t: counted(t, body)
-    windows = lambda p: F.transform(F.slice(F.split(text, p), 2, 10_000), lambda w: F.substring(F.get(F.split(w, f"(?m){boundary}"), F.lit(0)), 1, 1200))
+    n = lambda t: chars_of(t, body)
+    # All windows of a text; a window ends at a boundary line, at the next heading, or after 1200 characters.
+    windows = lambda p: F.transform(once(F.split(text, p), lambda parts: F.slice(parts, F.lit(2), F.size(parts))), lambda w: F.substring(F.regexp_extract(w, f"(?s)^(.*?)(?:(?m:{boundary})|\\z)", 1), 1, 1200))
     most = lambda p: F.coalesce(F.array_max(F.transform(windows(p), lambda w: n(w))), F.lit(0))
     plain = F.regexp_replace(text, "[（(]待確認[）)]", "")
     title = reduce(lambda a, kv: F.when(F.col("template_id") == kv[0], F.lit(kv[1])).otherwise(a), titles.items(), F.lit(None).cast("string"))
-    titled = F.exists(F.split(normalised_markdown(text), "\n"), lambda x: F.startswith(stripped(x), title))
-    missing = F.size(_labels(rows, ("required", "extra"), False))
+    starts = F.exists(F.split(normalised_markdown(text), "\n"), lambda x: F.startswith(stripped(x), title))
     lines = F.split(text, r"\r?\n")
     words = "|".join(ACTION_WORDS if actions is None else actions)
     labels = "|".join(r["pattern"] for r in rows if r["kind"] == "extra")
-    acts = F.exists(lines, lambda x: ~x.rlike(r"^\s*\|.*\|\s*$") & x.rlike(f"{words}|{labels}" if labels else words) & (n(F.regexp_replace(x, f"^.*?(?:{words}{'|' + labels if labels else ''})", "")) >= limits["action"]))
+    acts_of = F.exists(lines, lambda x: x.rlike(f"{words}|{labels}" if labels else words) & ~x.rlike(r"^\s*\|.*\|\s*$") & (n(F.regexp_replace(x, f"^.*?(?:{words}{'|' + labels if labels else ''})", "")) >= limits["action"]))
     table_acts = F.exists(lines, lambda x: x.rlike(r"^\s*\|.*\|\s*$") & ~x.rlike(r"^\s*\|[\s:|-]+\|\s*$") & (n(x) >= limits["action_table"]))
-    cjk, other = n(text), counted(text, latin) + counted(text, "[0-9]")
+    # What several checks use is a column first, so it is computed once.
+    measured = artifacts.select("*", n(text).alias("cjk"), (chars_of(text, latin) + chars_of(text, "[0-9]")).alias("other"), most(decision).alias("decided"), n(plain).alias("meaningful"), F.coalesce(starts, F.lit(False)).alias("titled"), F.size(_labels(rows, ("required", "extra"), False)).alias("missing"), acts_of.alias("acts"))
+    cjk, other, decided, meaningful, titled, missing, acts = (F.col(c) for c in ("cjk", "other", "decided", "meaningful", "titled", "missing", "acts"))
     ratio = F.round(F.coalesce(F.try_divide(cjk.cast("double"), (cjk + other).cast("double")), F.lit(0.0)), 6)
     required = [r for r in rows if r["kind"] == "required"]
     real = reduce(lambda a, r: a | ((F.col("template_id") == r["template_id"]) & (most(r["pattern"]) >= limits["section"])), required, F.lit(False))
@@ -210,17 +221,17 @@ def acceptance_checks(artifacts: DataFrame, rules: DataFrame, titles: dict[str,
     verdict = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
     checks = [
         ("not_fallback", verdict(~fallback), fallback.cast("string")),
-        ("formal_title", verdict(F.coalesce(titled, F.lit(False)) | text.rlike(name_field)), F.coalesce(titled, F.lit(False)).cast("string")),
+        ("formal_title", verdict(titled | text.rlike(name_field)), titled.cast("string")),
         ("required_sections", verdict(missing == 0), missing.cast("string")),
-        ("has_decisions", verdict(most(decision) >= limits["decision"]), most(decision).cast("string")),
+        ("has_decisions", verdict(decided >= limits["decision"]), decided.cast("string")),
         ("has_action_items", verdict(acts | table_acts), acts.cast("string")),
         ("min_length", verdict(cjk >= limits["body"]), cjk.cast("string")),
-        ("no_placeholder", verdict(~text.rlike("TODO|XXX") & (n(plain) >= limits["meaningful"]) & real), n(plain).cast("string")),
+        ("no_placeholder", verdict(~text.rlike("TODO|XXX") & (meaningful >= limits["meaningful"]) & real), meaningful.cast("string")),
         ("structure_nonempty", F.when(F.col("kind") != "docx", "SKIP").otherwise(verdict((F.col("paragraphs") >= limits["paragraphs"]) & (F.col("tables") >= F.col("needs_tables")))), F.col("paragraphs").cast("string")),
         ("cjk_ratio", verdict(ratio >= limits["ratio"]), ratio.cast("string")),
     ]
     made = F.array(*[F.struct(F.lit(i).alias("check_id"), s.alias("status"), d.alias("detail")) for i, s, d in checks])
-    return artifacts.select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
+    return measured.select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
 
 
 def verdict(checks: DataFrame) -> DataFrame:

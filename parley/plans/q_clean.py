@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import clean
+from parley.functions.text import normalise_headings
+from parley.operators import clean, correct
 from parley.plans import frames as fr
-from parley.plans import templates
+from parley.plans import q_sources, templates
 from parley.plans.registry import query
 
 #: Latin stand-ins for the rule tables, so that both engines see hits in the given documents.
@@ -111,15 +112,55 @@ def c8_repair_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(clean.repair_placeholders(docs(spark, sf_dir), TOKEN, LINES, "(tbc)"))
 
 
-@query()
+# Openings of model outputs.
+OPENINGS = ["<think>a\nb</think>\n", "```markdown\n", "好的，我來整理如下：\n", "以下是本次會議記錄：", "以下是整理結果。", "我為您整理重點：", "根據逐字稿，", "OK, ", "Sure，", "<details open>\nx\n</details>\n\n\n\n"]
+ENDINGS = ["\n```", "", "\n</details>", "\n\n\n\nend"]
+
+
+def _nested(text: str, patterns: list[str], flags: str) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{flags}{p}', '', 'g')"
+    return text
+
+
+def _chosen(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in texts) + "]"
+
+
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_C9 = rf"""w AS (SELECT doc_id, {_chosen(OPENINGS)}[doc_id % {len(OPENINGS)} + 1] || CASE WHEN doc_id % 3 = 0 THEN '會議名稱：例會' || chr(10) WHEN doc_id % 7 = 0 THEN '# head' || chr(10) ELSE '' END || text || {_chosen(ENDINGS)}[doc_id % {len(ENDINGS)} + 1] AS t FROM documents),
+a AS (SELECT doc_id, t, {_TRIM.format("regexp_replace(" + _nested(_TRIM.format("t"), clean.WRAPPERS, "(?im)") + r", '(?i)^\s*```(?:markdown)?\s*', '')")} AS x FROM w),
+b AS (SELECT doc_id, t, regexp_replace({_nested("x", clean.CLOSING, "(?im)")}, '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM a),
+c AS (SELECT doc_id, t, {_TRIM.format(f"CASE WHEN regexp_matches(x, '(?m){clean.ANCHORS}') THEN substr(x, length(regexp_extract(x, '(?s)^(.*?)(?m:{clean.ANCHORS})', 1)) + 1) ELSE x END")} AS x FROM b)"""
+
+
+@query(f"WITH {_C9} SELECT doc_id, sha256(x) AS text_hash, CAST(length(t) - length(x) AS INT) AS stripped FROM c")
 def c9_strip_generated_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrapped = docs(spark, sf_dir).withColumn("text", F.concat(F.lit("<think>plan</think>\nSure, here it is\n\n```markdown\n"), "text", F.lit("\n```")))
-    return hashed(clean.strip_wrappers(wrapped, anchors=r"(?m)^The\b"), "stripped")
+    pick = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), (F.col("doc_id") % len(texts)).cast("int"))
+    head = F.when(F.col("doc_id") % 3 == 0, "會議名稱：例會\n").when(F.col("doc_id") % 7 == 0, "# head\n").otherwise("")
+    wrapped = docs(spark, sf_dir).withColumn("text", F.concat(pick(OPENINGS), head, "text", pick(ENDINGS)))
+    return hashed(clean.strip_wrappers(wrapped), "stripped")
 
 
-@query()
+#: Latin letters by characters of CJK texts and full-width marks, so that blanks stand between all kinds.
+WIDE_FROM, WIDE_TO = "aeinrsto.,", "會議記錄かナ龍人，。"
+_C10 = rf"regexp_replace(regexp_replace(translate(text, '{WIDE_FROM}', '{WIDE_TO}'), '\s+', ' ', 'g'), ' ?([，。]) ?', '\1', 'g')"
+_WIDE = r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
+_C10 = rf"regexp_replace(regexp_replace({_C10}, '({_WIDE}) +', '\1' || chr(1), 'g'), chr(1) || '({_WIDE})', '\1', 'g')"
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(replace({_C10}, chr(1), ' '), '^\s+|\s+$', '', 'g')) AS text_hash FROM documents")
 def c10_normalise_cjk_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashed(docs(spark, sf_dir).withColumn("text", clean.cjk_spaced(F.col("text"))))
+    wide = docs(spark, sf_dir).withColumn("text", F.translate("text", WIDE_FROM, WIDE_TO))
+    return hashed(wide.withColumn("text", clean.cjk_spaced(F.col("text"))))
+
+
+@query(r"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(T|D|L)', '##\1', 'g'), '(?m)^A', '####A', 'g') || chr(10) || chr(10) || chr(10) AS text FROM documents)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^(#{1,3})\s*', '\1 ', 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM h""")
+def c13_normalise_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with some initials are headings without a space."""
+    headed = F.concat(F.regexp_replace(F.regexp_replace("text", "(?md)^(T|D|L)", "##$1"), "(?md)^A", "####A"), F.lit("\n\n\n"))
+    return hashed(docs(spark, sf_dir).withColumn("text", normalise_headings(headed)))
 
 
 _C11 = r"""t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM {src}),
@@ -143,4 +184,9 @@ def c12_finalise_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c12_finalise_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashed(clean.finalise_records(docs(spark, sf_dir), templates.GENERAL_HEADERS, templates.GENERAL_SECTIONS, ["License"]), "excess")
+    return hashed(clean.finalise_records(docs(spark, sf_dir), templates.GENERAL_HEADERS, templates.GENERAL_SECTIONS, protected(spark, sf_dir)), "excess")
+
+
+def protected(spark: SparkSession, sf_dir: str) -> list[str]:
+    """English terms of one scope's glossary."""
+    return correct.protected_terms(q_sources.s3_read_glossary_terms(spark, sf_dir).where("scope = 'src0'"))

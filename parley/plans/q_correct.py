@@ -146,6 +146,14 @@ def k8_union_glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.union_glossaries(terms.where("scope = 'src0'"), terms.where("scope <> 'src0'"))
 
 
+@query(f"WITH {q_sources.GLOSSARY}, m AS (SELECT scope, ord, CASE WHEN ord % 3 = 0 THEN '第' || ord || '項' WHEN ord % 3 = 1 THEN term || '組' ELSE term END AS term FROM terms) SELECT * FROM m WHERE regexp_matches(term, '[A-Za-z]')")
+def k9_english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third term is in Chinese, every third mixed."""
+    n = F.col("ord").cast("string")
+    term = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("第"), n, F.lit("項"))).when(F.col("ord") % 3 == 1, F.concat("term", F.lit("組"))).otherwise(F.col("term"))
+    return correct.english_terms(q_sources.s3_read_glossary_terms(spark, sf_dir).withColumn("term", term))
+
+
 @query(f"""WITH {_SEGS}, r AS (SELECT *, (doc_id + seg_no) % 11 = 5 AS stable, (doc_id + seg_no) % 4 = 2 AS soft FROM segs), b AS (SELECT *, bool_or(stable) OVER (PARTITION BY doc_id ORDER BY seg_no) AS broken FROM r)
 SELECT doc_id, seg_no, broken, CASE WHEN broken OR stable OR soft THEN length(text) ELSE length(text) + 1 END AS n_final FROM b""")
 def m15_circuit_break(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,11 +99,11 @@ def s6_read_validation_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_manifest(files)
 
 
-@query("""SELECT doc_id AS task_id, 'name' || doc_id || '_' || doc_id AS result_name, length(text) AS n_transcript, sha256(substr(text, 1, 200)) AS record_hash, lang AS template_id FROM documents""")
+@query("""SELECT doc_id AS task_id, 'name' || doc_id || '_' || doc_id AS result_name, length(text) AS n_transcript, sha256(text) AS record_hash, lang AS template_id FROM documents""")
 def s7_write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fr.documents(spark, sf_dir)
     path = store.shared_path(spark, "results")
-    store.write_results(docs.select(F.col("doc_id").alias("task_id"), F.col("lang").alias("template_id"), F.concat(F.lit("/in/name"), "doc_id", F.lit(".mp3")).alias("name"), F.substring("text", 1, 200).alias("record"), F.col("text").alias("transcript")), path)
+    store.write_results(docs.select(F.col("doc_id").alias("task_id"), F.col("lang").alias("template_id"), F.concat(F.lit("/in/name"), "doc_id", F.lit(".mp3")).alias("name"), F.col("text").alias("record"), F.col("text").alias("transcript")), path)
     back = store.read_results(spark, path)
     return back.select("task_id", "result_name", F.length("transcript").cast("long").alias("n_transcript"), F.sha2("record", 256).alias("record_hash"), F.col("template_id").cast("string").alias("template_id"))
 

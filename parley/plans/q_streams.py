@@ -17,9 +17,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").parquet(f"{sf_dir}/events.parquet*")
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", keys: list[str] = ()) -> DataFrame:
     spark = stream.sparkSession
-    return progress.run_to_end(stream, shared_path(spark, "stream"), shared_path(spark, "stream-state"), mode)
+    return progress.run_to_end(stream, shared_path(spark, "stream"), shared_path(spark, "stream-state"), mode, keys)
+
+
+def closed(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stream of events and one row far behind the last of ``rows``, the same as a table: the watermark then passes all
+    sessions, so that in append mode they come out and leave the state. The row has null keys."""
+    spark, path = events.sparkSession, shared_path(events.sparkSession, "stream-end")
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    last.select(*(F.col("ts") if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns)).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path))
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
@@ -53,7 +62,7 @@ def x1_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {fr.TASKS}, e AS (SELECT task_id, min(seq) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS a, max(seq) AS b FROM task_events GROUP BY 1)
 SELECT t.task_id, t.seq, t.ts, t.status, t.progress FROM task_events t JOIN e ON t.task_id = e.task_id AND t.seq = coalesce(e.a, e.b)""")
 def x2_latest_task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(run(progress.latest_task_state(task_stream(spark, sf_dir)), "complete"), "ts")
+    return plain(run(progress.latest_task_state(task_stream(spark, sf_dir)), "update", ["task_id"]), "ts")
 
 
 @query("SELECT DISTINCT event_id AS seq FROM events")
@@ -65,18 +74,19 @@ def x3_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {fr.TASKS}, l AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM task_events), i AS (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS n FROM l)
 SELECT task_id, min(ts) AS first_ts, max(ts) + INTERVAL 6 HOUR AS idle_at, count(*) AS events FROM i GROUP BY task_id, n""")
 def x4_idle_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(run(progress.activity_sessions(task_stream(spark, sf_dir).select("task_id", "ts"), "6 hours", "40 days"), "complete"), "first_ts", "idle_at")
+    events = closed(task_stream(spark, sf_dir).select("task_id", "ts"), fr.task_events(spark, sf_dir))
+    return plain(run(progress.activity_sessions(events, "6 hours", "40 days")).where("task_id IS NOT NULL"), "first_ts", "idle_at")
 
 
 @query(f"WITH {fr.TASKS} SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, status, count(*) AS events, round(avg(progress), 6) AS mean_progress FROM task_events GROUP BY 1, 2")
 def x5_status_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(run(progress.status_throughput(task_stream(spark, sf_dir).select("ts", "status", "progress")), "complete"), "window_start")
+    return plain(run(progress.status_throughput(task_stream(spark, sf_dir).select("ts", "status", "progress"), delay="40 days"), "update", ["window_start", "status"]), "window_start")
 
 
 @query(f"""WITH {fr.TASKS}, w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS window_start, status, progress FROM task_events, range(4) r(k))
 SELECT window_start, status, count(*) AS events, round(avg(progress), 6) AS mean_progress FROM w GROUP BY 1, 2""")
 def x5_status_throughput_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(run(progress.status_throughput(task_stream(spark, sf_dir).select("ts", "status", "progress"), "1 hour", "15 minutes"), "complete"), "window_start")
+    return plain(run(progress.status_throughput(task_stream(spark, sf_dir).select("ts", "status", "progress"), "1 hour", "15 minutes", "40 days"), "update", ["window_start", "status"]), "window_start")
 
 
 @query(f"""WITH {fr.SEG}, p AS (SELECT meeting_id, role AS speaker, start_ms, end_ms FROM seg),
@@ -86,8 +96,9 @@ SELECT meeting_id, speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, co
 def x6_live_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "pieces")
     fr.seg(spark, sf_dir).select("meeting_id", F.col("role").alias("speaker"), F.timestamp_millis("start_ms").alias("ts"), F.timestamp_millis("end_ms").alias("end_ts")).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = run(progress.live_utterances(stream, "9000 milliseconds"), "complete")
+    pieces = spark.read.parquet(path)
+    stream = closed(spark.readStream.schema(pieces.schema).parquet(path), pieces)
+    out = run(progress.live_utterances(stream, "9000 milliseconds")).where("meeting_id IS NOT NULL")
     return out.select("meeting_id", "speaker", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"), "pieces")
 
 
@@ -98,9 +109,9 @@ def x7_stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fr.TASKS}, d AS (SELECT task_id, seq, status, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0 AS seconds FROM task_events WINDOW w AS (PARTITION BY task_id ORDER BY ts, seq)) SELECT * FROM d WHERE seconds IS NOT NULL")
 def x7_stage_durations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(progress.stage_durations_stream(task_stream(spark, sf_dir)))
+    return run(progress.stage_durations_stream(task_stream(spark, sf_dir), delay="40 days"))
 
 
 @query(f"WITH {fr.TASKS} SELECT task_id, seq, progress, max(progress) OVER (PARTITION BY task_id ORDER BY seq) AS shown FROM task_events")
 def x8_monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(progress.monotone_progress_stream(task_stream(spark, sf_dir)))
+    return run(progress.monotone_progress_stream(task_stream(spark, sf_dir), delay="40 days"))

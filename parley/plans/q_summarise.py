@@ -29,26 +29,51 @@ def m2_context_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise.context_plan(docs(spark, sf_dir))
 
 
-@query()
+_M3 = """m0 AS (SELECT doc_id, unnest(range(len(x))) AS p1, unnest(x) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS x FROM documents)),
+m1 AS (SELECT doc_id, p1, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM m0),
+m2 AS (SELECT doc_id, p1, unnest(range(len(x))) AS p2, unnest(x) AS s FROM (SELECT *, CASE WHEN length(line) > 600 THEN string_split(regexp_replace(line, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS x FROM m1 WHERE line <> '')),
+m3 AS (SELECT doc_id, p1, p2, unnest(range(len(x))) AS p3, unnest(x) AS line FROM (SELECT *, CASE WHEN length(s) > 600 THEN list_filter(string_split(regexp_replace(s, '(?s)(.{1,600}\\z)|(.{1,599})[ \\t]|(.{600})', '\\1\\2\\3' || chr(1), 'g'), chr(1)), lambda y: y <> '') ELSE [s] END AS x FROM m2)),
+mm AS (SELECT * FROM m3 WHERE regexp_matches(line, '\\S'))"""
+
+
+@query(f"WITH {_M3} SELECT doc_id, CAST(p1 AS INT) AS p1, CAST(p2 AS INT) AS p2, CAST(p3 AS INT) AS p3, length(line) AS n_chars, sha256(line) AS line_hash FROM mm")
 def m3_paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarise.paragraph_breaks(summarise.raw_lines(docs(spark, sf_dir))).select("doc_id", "p1", "p2", "p3", F.length("line").alias("n_chars"))
+    return summarise.paragraph_breaks(summarise.raw_lines(docs(spark, sf_dir))).select("doc_id", "p1", "p2", "p3", F.length("line").alias("n_chars"), F.sha2("line", 256).alias("line_hash"))
 
 
-@query()
+#: No line of the given documents is beyond BUDGET tokens after M3, so M4 leaves them as they are there.
+_M4 = f"""{_M3}, ml AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) - 1 AS i, line, CAST({estimate_tokens_sql('line')} AS BIGINT) AS tokens FROM mm)"""
+
+
+@query(f"WITH {_M4} SELECT doc_id, CAST(i AS INT) AS line_no, tokens, length(line) AS n_chars, sha256(line) AS line_hash FROM ml")
 def m4_split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarise.chunk_lines(docs(spark, sf_dir), BUDGET).select("doc_id", "line_no", "tokens", F.length("line").alias("n_chars"))
+    return summarise.chunk_lines(docs(spark, sf_dir), BUDGET).select("doc_id", "line_no", "tokens", F.length("line").alias("n_chars"), F.sha2("line", 256).alias("line_hash"))
 
 
-@query()
+#: A step of the recursion is a chunk: its last line is the last that fits, and the next one begins as early as it may.
+_M5 = f"""{_M4}, mp AS (SELECT doc_id, i, tokens + 1 AS n, sum(tokens + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM ml),
+me AS (SELECT doc_id, max(i) AS z FROM mp GROUP BY 1),
+ms AS (SELECT doc_id, 0::BIGINT AS chunk_no, 0::BIGINT AS a, 0::BIGINT AS new FROM me
+  UNION ALL SELECT doc_id, chunk_no + 1, min(s.i), any_value(e.j) + 1 FROM (
+    SELECT m.doc_id, m.chunk_no, m.a, max(p.i) AS j FROM ms m JOIN mp f ON f.doc_id = m.doc_id AND f.i = m.a JOIN mp p ON p.doc_id = m.doc_id AND p.i >= m.new AND (p.i = m.new OR p.upto - f.upto + f.n <= {BUDGET}) GROUP BY 1, 2, 3) e
+  JOIN me USING (doc_id) JOIN mp last ON last.doc_id = e.doc_id AND last.i = e.j JOIN mp next ON next.doc_id = e.doc_id AND next.i = e.j + 1
+  JOIN mp s ON s.doc_id = e.doc_id AND s.i BETWEEN greatest(e.a, e.j - 3) AND e.j + 1 AND (s.i >= e.j OR last.upto - s.upto + s.n <= 150) AND (s.i = e.j + 1 OR next.upto - s.upto + s.n <= {BUDGET})
+  WHERE e.j < me.z GROUP BY 1, 2),
+mc AS (SELECT doc_id, chunk_no, a AS first_line, coalesce(lead(new) OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1, z) AS last_line, new - a AS overlap FROM ms JOIN me USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {_M5} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line, CAST(overlap AS INT) AS overlap FROM mc")
 def m5_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise.pack_chunks(lines(spark, sf_dir), BUDGET)
 
 
-@query("SELECT doc_id, true AS follows, true AS complete FROM documents WHERE regexp_matches(text, '\\S')")
+@query(f"""WITH RECURSIVE {_M5}, mt AS (SELECT c.doc_id, c.chunk_no, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.i), '^\\s+|\\s+$', '', 'g') AS text FROM mc c JOIN ml l ON l.doc_id = c.doc_id AND l.i BETWEEN c.first_line AND c.last_line GROUP BY 1, 2),
+mf AS (SELECT doc_id, count(*) AS n_chunks, bool_and({estimate_tokens_sql('text')} <= {BUDGET} AND text <> '') AS fits FROM mt GROUP BY 1)
+SELECT doc_id, n_chunks, fits, true AS follows, true AS complete, CASE WHEN NOT fits THEN 'CONTEXT_BUDGET_EXCEEDED' END AS error FROM mf""")
 def m6_check_chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     chunks = materialised(summarise.pack_chunks(rows, BUDGET), "chunks")
-    return summarise.check_chunk_coverage(docs(spark, sf_dir), rows, chunks, BUDGET).drop("n_chunks", "fits")
+    return summarise.check_chunk_coverage(docs(spark, sf_dir), rows, chunks, BUDGET)
 
 
 @query("SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE text <> ''")
@@ -82,9 +107,9 @@ def m10_merge_until_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise.merge_until_fit(notes(spark, sf_dir), summarise.first_sentence, 120, 15, 40)
 
 
-@query("""SELECT d.doc_id, coalesce(string_agg(trim(c.text, ' ' || chr(10)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.turn) FILTER (WHERE regexp_matches(c.text, '\\S') AND c.turn % 4 <> 3), '（無筆記）') AS notes FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY 1""")
+@query("""SELECT d.doc_id, coalesce(string_agg(trim(c.text, ' ' || chr(10)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.turn) FILTER (WHERE regexp_matches(c.text, '\\S')), '（無筆記）') AS notes FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY 1""")
 def m11_concat_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarise.concat_notes(notes(spark, sf_dir).where("note_no % 4 <> 3"), docs(spark, sf_dir))
+    return summarise.concat_notes(notes(spark, sf_dir), docs(spark, sf_dir))
 
 
 @query()
@@ -100,12 +125,12 @@ def m13_truncate_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_kept", F.sha2("text", 256).alias("text_hash"))
 
 
-@query("""WITH t AS (SELECT doc_id AS task_id, lang, CASE WHEN doc_id % 3 <> 0 THEN substr(text, 1, 100) END AS record, CASE WHEN doc_id % 6 <> 3 THEN substr(text, 1, 50) END AS transcript, CASE WHEN doc_id % 5 = 0 THEN 'as ' || source END AS preference FROM documents)
+@query("""WITH t AS (SELECT doc_id AS task_id, lang, CASE WHEN doc_id % 3 <> 0 THEN text END AS record, CASE WHEN doc_id % 6 <> 3 THEN text END AS transcript, CASE WHEN doc_id % 5 = 0 THEN 'as ' || source END AS preference FROM documents)
 SELECT task_id, '# ' || lang || chr(10) || chr(10) || CASE WHEN record IS NULL OR NOT regexp_matches(record, '\\S') THEN '⚠️ 會議紀錄產生失敗，以下為逐字稿' || chr(10) || chr(10) || left('reason ' || lang, 200) || chr(10) || chr(10) || coalesce(transcript, '') ELSE record END || CASE WHEN preference IS NOT NULL THEN chr(10) || chr(10) || '> ' || preference ELSE '' END AS result,
   record IS NULL OR NOT regexp_matches(record, '\\S') AS summary_failed FROM t""")
 def m16_assemble_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fr.documents(spark, sf_dir).withColumnRenamed("doc_id", "task_id")
     tasks = d.select("task_id", "lang", F.concat(F.lit("reason "), "lang").alias("error"), F.when(F.col("task_id") % 5 == 0, F.concat(F.lit("as "), "source")).alias("preference"))
-    records = d.where("task_id % 3 <> 0").select("task_id", F.substring("text", 1, 100).alias("record"))
-    transcripts = d.where("task_id % 6 <> 3").select("task_id", F.substring("text", 1, 50).alias("transcript"))
+    records = d.where("task_id % 3 <> 0").select("task_id", F.col("text").alias("record"))
+    transcripts = d.where("task_id % 6 <> 3").select("task_id", F.col("text").alias("transcript"))
     return summarise.assemble_result(tasks, records, transcripts, F.col("lang"))

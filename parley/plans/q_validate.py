@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.text import estimate_tokens_sql
 from parley.operators import validate
 from parley.plans import frames as fr
 from parley.plans import q_sources, templates
@@ -58,6 +59,13 @@ def v3_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.length_gate(records(spark, sf_dir), 500).select("doc_id", "too_short")
 
 
+@query(f"SELECT doc_id, CAST(least(2000, greatest(250, {estimate_tokens_sql('text')} // 15)) AS BIGINT) AS min_chars, length(regexp_replace(short, '^\\s+|\\s+$', '', 'g')) < least(2000, greatest(250, {estimate_tokens_sql('text')} // 15)) AS too_short FROM (SELECT *, regexp_replace(text, '[aeiou]', '', 'g') AS short FROM documents)")
+def v3_length_gate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are the transcripts without their vowels."""
+    docs = records(spark, sf_dir)
+    return validate.length_gate_by_source(docs.withColumn("text", F.regexp_replace("text", "[aeiou]", "")), docs).select("doc_id", "min_chars", "too_short")
+
+
 _LEAKS = {
     "markup_leak": "regexp_matches({t}, '(?i)<(?:think|thought|details)\\b') OR regexp_matches({t}, '(?i)</(?:think|thought|details)>') OR regexp_matches({t}, '<[/!]?[A-Za-z][^>]*>') OR contains({t}, '```')",
     "rubric_leak": "regexp_matches({t}, '(?i)\\bAnalysis of the Transcript\\b|\\bEvaluation Criteria\\b|\\bMeeting (?:Name|Time|Location)\\s*[:：]|\\bLet''?s\\s+(?:infer|name|call|assume)\\b|\\bA suitable name\\b|\\bNot (?:explicitly )?stated\\b|評估標準|法制合規性|權責明確度|意見真實性|\\[請從文本中提取|\\[請填寫')",
@@ -83,15 +91,25 @@ def v4_leakage_flags_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "lower(regexp_replace({}, '[\\s:：,，。；;（）()「」『』【】\\[\\]／/\\\\-]+', '', 'g'))"
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), e AS (SELECT DISTINCT d.doc_id, {_KEY.format('b.text')} AS w FROM documents d CROSS JOIN n JOIN benchmark b ON b.item_id IN (d.doc_id % n, (d.doc_id * 7 + 3) % n)),
-t AS (SELECT doc_id, {_KEY.format('text')} AS t FROM documents)
+_GRAMS = "SELECT {k}, array_to_string(w[g : g + 7], ' ') AS gram, {t} FROM (SELECT *, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS g FROM (SELECT *, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM {s}) WHERE len(w) >= 8)"
+
+
+def grams(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, gram): the runs of eight Latin words of each text, by hash."""
+    words = F.split(F.lower("text"), "[^a-z0-9]+")
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(8)]))
+    return df.withColumn("w", words).where(F.size("w") >= 8).select(key, *more, F.explode(F.array_distinct(runs)).alias("gram"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT d.doc_id, b.item_id FROM ({_GRAMS.format(k='doc_id', t='1 AS x', s='documents')}) d JOIN ({_GRAMS.format(k='item_id', t='1 AS y', s='benchmark')}) b USING (gram)),
+e AS (SELECT DISTINCT p.doc_id, {_KEY.format('b.text')} AS w FROM p JOIN benchmark b USING (item_id)), t AS (SELECT doc_id, {_KEY.format('text')} AS t FROM documents)
 SELECT t.doc_id, CAST(count(w) AS INT) AS n_expected, CAST(count(w) FILTER (WHERE NOT contains(t.t, w)) AS INT) AS n_missing FROM t LEFT JOIN e ON e.doc_id = t.doc_id AND w <> '' GROUP BY 1""")
 def v5_action_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = fr.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("action"))
-    n = items.count()
-    two = F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") * 7 + 3) % n))
-    expected = fr.documents(spark, sf_dir).select("doc_id", F.explode(two).alias("item_id")).join(items, "item_id")
-    return validate.action_recall(expected.select("doc_id", "action"), records(spark, sf_dir))
+    """Expected of a document: the benchmark passages with which it shares eight words in a row."""
+    items = fr.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs = records(spark, sf_dir)
+    wanted = grams(docs, "doc_id").join(grams(items, "item_id"), "gram").select("doc_id", "item_id").distinct()
+    return validate.action_recall(wanted.join(items, "item_id").select("doc_id", F.col("text").alias("action")), docs)
 
 
 @query("""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(\\d{2,4})\\b', 1)) AS year FROM documents), b AS (SELECT doc_id + 1 AS doc_id, unnest(regexp_extract_all(text, '\\b(\\d{2,4})\\b', 1)) AS year FROM documents)
@@ -140,7 +158,7 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.acceptance_checks(artifacts(spark, sf_dir), rules(spark), {"en": "The and", "fr": "Le", "de": "Die"}, boundary="^The", limits=LATIN, body="[A-Za-z]", latin="[_]", markers=["token =", "!!"], actions=["Licensed under"], decision=" the ", name_field=r"(?m)^And")
 
 
-_WINDOWS = """w_{n} AS (SELECT doc_id, max(len(regexp_extract_all(substr(regexp_replace(w, '(?m)^The(?s:.*)$', ''), 1, 1200), '[A-Za-z]'))) AS m FROM (SELECT doc_id, unnest(list_slice(regexp_split_to_array(text, '{p}'), 2, 10000)) AS w FROM documents) GROUP BY 1)"""
+_WINDOWS = """w_{n} AS (SELECT doc_id, max(len(regexp_extract_all(substr(regexp_replace(w, '(?m)^The(?s:.*)$', ''), 1, 1200), '[A-Za-z]'))) AS m FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{p}')[2:]) AS w FROM documents) GROUP BY 1)"""
 _V10 = f"""{_WINDOWS.format(n='d', p=' the ')}, {_WINDOWS.format(n='en2', p=' and then ')}, {_WINDOWS.format(n='fr', p=' le ')}, {_WINDOWS.format(n='de', p=' der ')},
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 la AS (SELECT doc_id, bool_or(starts_with(regexp_replace(regexp_replace(line, '^[ \\t]*[-*•][ \\t]+', ''), '^\\s+', ''), CASE lang WHEN 'en' THEN 'The and' WHEN 'fr' THEN 'Le' WHEN 'de' THEN 'Die' END)) AS titled,
@@ -150,16 +168,17 @@ ms AS (SELECT d.doc_id, count(*) FILTER (WHERE NOT regexp_matches(d.text, r.p))
 b AS (SELECT d.doc_id, d.lang, d.text, coalesce(titled, false) AS titled, named, acts, tacts, paragraphs, CASE WHEN missing IS NULL THEN 0 ELSE missing END AS missing, coalesce(w_d.m, 0) AS dec_m, len(regexp_extract_all(d.text, '[A-Za-z]')) AS n, len(regexp_extract_all(d.text, '[_0-9]')) AS o,
   (lang = 'en' AND (coalesce(w_d.m, 0) >= 20 OR coalesce(w_en2.m, 0) >= 20)) OR (lang = 'fr' AND coalesce(w_fr.m, 0) >= 20) OR (lang = 'de' AND coalesce(w_de.m, 0) >= 20) AS real_one
   FROM documents d JOIN la USING (doc_id) JOIN ms USING (doc_id) LEFT JOIN w_d USING (doc_id) LEFT JOIN w_en2 USING (doc_id) LEFT JOIN w_fr USING (doc_id) LEFT JOIN w_de USING (doc_id)),
-c AS (SELECT doc_id, 'not_fallback' AS check_id, NOT (contains(text, 'token =') OR contains(text, '!!')) AS ok FROM b UNION ALL SELECT doc_id, 'formal_title', titled OR named FROM b UNION ALL SELECT doc_id, 'required_sections', missing = 0 FROM b
-  UNION ALL SELECT doc_id, 'has_decisions', dec_m >= 40 FROM b UNION ALL SELECT doc_id, 'has_action_items', acts OR tacts FROM b UNION ALL SELECT doc_id, 'min_length', n >= 1500 FROM b
-  UNION ALL SELECT doc_id, 'no_placeholder', NOT regexp_matches(text, 'TODO|XXX') AND n >= 300 AND real_one FROM b UNION ALL SELECT doc_id, 'structure_nonempty', CASE WHEN doc_id % 2 = 0 THEN paragraphs >= 5 END FROM b
-  UNION ALL SELECT doc_id, 'cjk_ratio', CASE WHEN n + o = 0 THEN false ELSE round(CAST(n AS DOUBLE) / (n + o), 6) >= 0.98 END FROM b),
-s AS (SELECT doc_id, check_id, CASE WHEN ok THEN 'PASS' WHEN ok IS NULL THEN 'SKIP' ELSE 'FAIL' END AS status FROM c)"""
+q AS (SELECT *, contains(text, 'token =') OR contains(text, '!!') AS fallback, CASE WHEN n + o = 0 THEN 0.0::DOUBLE ELSE round(CAST(n AS DOUBLE) / (n + o), 6) END AS ratio FROM b),
+c AS (SELECT doc_id, 'not_fallback' AS check_id, NOT fallback AS ok, CAST(fallback AS VARCHAR) AS detail FROM q UNION ALL SELECT doc_id, 'formal_title', titled OR named, CAST(titled AS VARCHAR) FROM q UNION ALL SELECT doc_id, 'required_sections', missing = 0, CAST(missing AS VARCHAR) FROM q
+  UNION ALL SELECT doc_id, 'has_decisions', dec_m >= 40, CAST(dec_m AS VARCHAR) FROM q UNION ALL SELECT doc_id, 'has_action_items', acts OR tacts, CAST(acts AS VARCHAR) FROM q UNION ALL SELECT doc_id, 'min_length', n >= 1500, CAST(n AS VARCHAR) FROM q
+  UNION ALL SELECT doc_id, 'no_placeholder', NOT regexp_matches(text, 'TODO|XXX') AND n >= 300 AND real_one, CAST(n AS VARCHAR) FROM q UNION ALL SELECT doc_id, 'structure_nonempty', CASE WHEN doc_id % 2 = 0 THEN paragraphs >= 5 END, CAST(paragraphs AS VARCHAR) FROM q
+  UNION ALL SELECT doc_id, 'cjk_ratio', ratio >= 0.98, CAST(ratio AS VARCHAR) FROM q),
+s AS (SELECT doc_id, check_id, CASE WHEN ok THEN 'PASS' WHEN ok IS NULL THEN 'SKIP' ELSE 'FAIL' END AS status, detail FROM c)"""
 
 
 @query(f"WITH {_RULES}, {_V10} SELECT * FROM s")
 def v10_acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks(spark, sf_dir).drop("detail")
+    return checks(spark, sf_dir)
 
 
 @query(f"WITH {_RULES}, {_V10} SELECT doc_id, CASE WHEN bool_or(status = 'FAIL') THEN 'REJECTED' ELSE 'ACCEPTED' END AS verdict, count(*) FILTER (WHERE status = 'FAIL') AS n_failed FROM s GROUP BY 1")

@@ -1,7 +1,8 @@
 """Progress events of tasks: parsing, latest state, duplicates, idle tasks, rates, live utterances, durations.
 
-Each function takes a batch or a streaming DataFrame where its plan allows both; the stateful ones for streams use
-transformWithStateInPandas or built-in stateful operators, and equal their batch forms on the same rows.
+Each function takes a batch or a streaming DataFrame where its plan allows both; the stateful ones for streams use built-in
+stateful operators or applyInPandasWithState, and equal their batch forms on the same rows. State doesn't only grow: windows
+and sessions go once the watermark has passed them, a task's own state once it has been silent for ``keep``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Keys that may hold a fraction, in order; statuses that end a task.
@@ -39,7 +41,7 @@ def progress_stream(lines: DataFrame) -> DataFrame:
 
 def latest_task_state(events: DataFrame) -> DataFrame:
     """Per task the newest event; once a task has ended, its first terminal event stays. events (task_id, seq, ts,
-    status, progress); works on streams in update or complete mode."""
+    status, progress). On a stream in update mode: a row of state a task, which is what it is for."""
     ended = F.col("status").isin(*TERMINAL)
     pick = F.struct("seq", "ts", "status", "progress")
     found = events.groupBy("task_id").agg(F.min_by(F.when(ended, pick), F.when(ended, F.col("seq"))).alias("end"), F.max_by(pick, "seq").alias("last"))
@@ -85,22 +87,32 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return events.select("task_id", "seq", "status", gap.alias("seconds"))
 
 
-def stage_durations_stream(events: DataFrame) -> DataFrame:
+def _silent_since(state: GroupState, at: int, keep_ms: int) -> None:
+    """State goes when the watermark is past ``at`` (ms) and ``keep``."""
+    state.setTimeoutTimestamp(max(at + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def stage_durations_stream(events: DataFrame, keep_ms: int = 86_400_000, delay: str = "10 minutes") -> DataFrame:
     """X7, stream: as soon as the next event comes; events of a task must come in order (later ones wait in the batch)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
-        before = state.get if state.exists else None
         out = []
-        for seq, ts, status in zip(rows["seq"], rows["ts"], rows["status"], strict=True):
-            at = int(ts.value // 1000)
-            if before is not None:
-                out.append((key[0], before[0], before[1], (at - before[2]) / 1_000_000))
-            before = (int(seq), status, at)
-        state.update(before)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            rows = pd.concat(batches).sort_values(["ts", "seq"])
+            before = state.get if state.exists else None
+            for seq, ts, status in zip(rows["seq"], rows["ts"], rows["status"], strict=True):
+                at = int(ts.value // 1000)
+                if before is not None:
+                    out.append((key[0], before[0], before[1], (at - before[2]) / 1_000_000))
+                before = (int(seq), status, at)
+            state.update(before)
+            _silent_since(state, before[2] // 1000, keep_ms)
         yield pd.DataFrame(out, columns=["task_id", "seq", "status", "seconds"])
 
-    return events.select("task_id", "seq", "ts", "status").groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, status string, seconds double", "seq long, status string, at long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("task_id", "seq", "ts", "status").withWatermark("ts", delay)
+    return rows.groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, status string, seconds double", "seq long, status string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def monotone_progress(events: DataFrame) -> DataFrame:
@@ -108,28 +120,41 @@ def monotone_progress(events: DataFrame) -> DataFrame:
     return events.withColumn("shown", F.max("progress").over(W.partitionBy("task_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
 
 
-def monotone_progress_stream(events: DataFrame) -> DataFrame:
+def monotone_progress_stream(events: DataFrame, keep_ms: int = 86_400_000, delay: str = "10 minutes") -> DataFrame:
     """X8, stream: the running maximum is the task's state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({c: [] for c in ("task_id", "seq", "progress", "shown")})
+            return
         rows = pd.concat(batches).sort_values("seq")
         top = state.get[0] if state.exists else float("-inf")
         shown = rows["progress"].cummax().clip(lower=top)
         state.update((float(max(top, shown.max())),))
+        _silent_since(state, int(rows["ts"].max().value // 1_000_000), keep_ms)
         yield pd.DataFrame({"task_id": key[0], "seq": rows["seq"].to_numpy(), "progress": rows["progress"].to_numpy(), "shown": shown.to_numpy()})
 
-    return events.select("task_id", "seq", "progress").groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, progress double, shown double", "top double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("task_id", "seq", "ts", "progress").withWatermark("ts", delay)
+    return rows.groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, progress double, shown double", "top double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming frame over what is there now and returns its rows, by way of Parquet files."""
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] = ()) -> DataFrame:
+    """Runs a streaming frame over what is there now and returns its rows, by way of Parquet files. In update mode, the
+    last version of each of ``keys``."""
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
     else:
+        # A batch that is run again after a failure writes its own folder again.
         def put(df: DataFrame, batch: int) -> None:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
         writer = stream.writeStream.foreachBatch(put).outputMode(mode)
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    spark = stream.sparkSession
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = F.max_by(F.struct(*stream.columns), "batch").alias("row")
+    return rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(last).select("row.*")
