@@ -156,6 +156,12 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), OTHER, " "))
 
 
+def longest_part(sentence: Column) -> Column:
+    """Of a known sentence with . ! ? : inside, which texts are cut at, the longest part; its identifier stands for it."""
+    parts = F.transform(F.split(sentence, r"[.!?:]\s"), normalised)
+    return F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))["s"]
+
+
 def known_sentences(spark: SparkSession) -> DataFrame:
     """(sentence_id, sentence, open): ours; any table of this shape will do, with sentences as they are written."""
     return spark.createDataFrame(SENTENCES, "sentence_id int, sentence string, open boolean")
@@ -226,7 +232,7 @@ def scan(docs: DataFrame, sentences: DataFrame | None = None, rule_table: DataFr
     """``docs`` (text and others) with licence_ids, licences, licence_kinds and licence_rules: arrays, all but the first sorted."""
     spark = docs.sparkSession
     table = known_sentences(spark) if sentences is None else sentences
-    known = _bounded(table.select("sentence_id", normalised(F.col("sentence")).alias("s"), "open").where("s <> ''"), MAX_SENTENCES, "sentences")
+    known = _bounded(table.select("sentence_id", longest_part(F.col("sentence")).alias("s"), "open").where("s <> ''"), MAX_SENTENCES, "sentences")
     rows = _bounded((rules(spark) if rule_table is None else rule_table).select("rule", "licence", "kind", "ids").where(F.size("ids") > 0), MAX_RULES, "rules")
     sequence = F.concat(F.lit(","), F.array_join(F.transform("licence_ids", lambda x: x.cast("string")), ",,"), F.lit(","))
 
@@ -260,7 +266,8 @@ def oracle() -> str:
     norm = lambda c: f"trim(regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' ')"
     cut = "string_split(regexp_replace(coalesce(text, ''), '[.!?:][ \\t\\r]|\\n', '\\0' || chr(1), 'g'), chr(1))"
     return rf"""
-WITH known AS (SELECT sentence_id, {norm("t")} AS s, more FROM (VALUES {values}) v(sentence_id, t, more)),
+WITH pieces AS (SELECT sentence_id, more, unnest(regexp_split_to_array(t, '[.!?:]\s')) AS part FROM (VALUES {values}) v(sentence_id, t, more)),
+known AS (SELECT sentence_id, arg_max({norm("part")}, (length({norm("part")}), {norm("part")})) AS s, any_value(more) AS more FROM pieces GROUP BY 1),
 rules(rule, licence, kind, pattern) AS (VALUES {rule_values}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 parts AS (SELECT r, place, {norm("part")} AS s, regexp_matches(part, '[.!?:][ \t\r\n]*$') AS ends FROM (SELECT r, generate_subscripts({cut}, 1) AS place, unnest({cut}) AS part FROM docs)),
