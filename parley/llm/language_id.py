@@ -8,9 +8,10 @@ host, smoothed towards the parent domain, that towards all rows.
 
 A language is learned if about ``min_texts`` different texts declare it, however small a share of the table that is; of more
 than ``max_languages`` such languages, those with most texts are. Where the table declares any other, one more column stands
-for all languages that aren't learned: every trigram is as likely as any other in it, which loses against a learned
-language's own trigrams and wins where all of them are strange. A text that falls there gets its declared language, if that
-isn't a learned one, else "und".
+for all languages that aren't learned. A text of ``LETTERS_TO_JUDGE`` letters or more is strange to the best learned language
+if its trigrams are less likely than those of nearly all texts that declare that language (``STRANGE`` deviations below their
+mean). A text that declares a language which isn't learned keeps it unless it is long enough and not strange; one that
+declares nothing is "und" if it is strange; one that declares a learned language is of a learned one.
 
 A text is rejected when it has too few letters to be read at all, or when no language reaches ``min_posterior``.
 
@@ -36,6 +37,7 @@ from .html_text import extract
 LETTERS = byte_table(bytes(range(97, 123)) + bytes(range(128, 256)))
 CELLS = 1 << 16
 UNKNOWN = "und"
+STRANGE, LETTERS_TO_JUDGE = 5.0, 100
 
 
 def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell, owner[middle], letters
 
 
-def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int = 400, min_texts: int = 20, max_languages: int = 200) -> tuple[list[str | None], np.ndarray]:
+def fit(docs: DataFrame, text: str, declared: Column, sample_per_language: int = 400, min_texts: int = 5, max_languages: int = 200) -> tuple[list[str | None], np.ndarray]:
     """(languages, log-likelihood of each cell by language) from a bounded sample of rows that declare one. The last language
     is None, that of all others, if there are others."""
     rows = docs.select(F.col(text).alias("text"), declared.alias("declared")).where("text is not null and declared is not null")
@@ -109,6 +111,23 @@ def _likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], temper: f
     return rows.mapInArrow(scan, schema)
 
 
+def _with_others(scored: DataFrame, named: list[str | None]) -> DataFrame:
+    """Gives the last column, that of all languages not learned, the lead where a text is strange to the best of the others."""
+    scored = written(scored, "language-scored")
+    ours = F.slice("text_ll", 1, len(named) - 1)
+    best, each = F.array_position(ours, F.array_max(ours)).cast("int"), F.array_max(ours) / F.col("letters")
+    own = F.element_at(F.array(*[F.lit(x) for x in named[:-1]]), best)
+    usual = scored.where((F.col("letters") >= LETTERS_TO_JUDGE) & (F.col("declared") == own)).groupBy(best.alias("best")).agg(F.avg(each).alias("mean"), F.coalesce(F.stddev(each), F.lit(0.0)).alias("deviation"))
+    least = {r["best"]: r["mean"] - STRANGE * max(r["deviation"], 0.01 * abs(r["mean"])) for r in usual.collect()}  # a row a language
+    bound = F.element_at(F.array(*[F.lit(least.get(i)).cast("double") for i in range(1, len(named))]), best)
+    strange = (F.col("letters") >= LETTERS_TO_JUDGE) & (each < bound)
+    usual_text = F.coalesce((F.col("letters") >= LETTERS_TO_JUDGE) & (each >= bound), F.lit(False))
+    learned = F.col("declared").isin(named[:-1])
+    wins = F.when(F.col("declared").isNull(), F.coalesce(strange, F.lit(False))).when(learned, False).otherwise(~usual_text)
+    top = F.array_max(ours)
+    return scored.withColumn("text_ll", F.concat(ours, F.array(F.when(wins, top + 20.0).otherwise(top - 20.0))))
+
+
 def _trust(scored: DataFrame, by: str, n: int, weight: float = 20.0) -> DataFrame:
     """(by, log P(value | language) as an array), counted over all rows, smoothed towards the value's overall share."""
     pairs = written(scored.where(F.col(by).isNotNull() & (F.col("best") >= 0)).groupBy(by, "best").agg(F.count("*").alias("n")), f"language-{by}")
@@ -149,6 +168,8 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column | None =
     n = len(named)
     numbers = F.sequence(F.lit(0), F.lit(n - 1))
     scored = _likelihoods(rows, (named, table), temper)
+    if named[-1] is None and n > 1:
+        scored = _with_others(scored, named)
     best = F.when(F.col("letters") >= min_letters, F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1).otherwise(-1)
     scored = written(scored.withColumn("best", best), "language")
     fused = scored
