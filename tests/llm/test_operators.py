@@ -1,6 +1,9 @@
 """Brute-force comparisons and edge cases for the numbered operators."""
 
+import glob
 import hashlib
+import math
+import os
 import random
 import re
 import textwrap
@@ -41,9 +44,19 @@ def odd_rows():
     ]
 
 
+def names_in_code():
+    """Every lower-case name that stands as a text in the code: all columns that an operator may make are among them."""
+    texts = [open(f).read() for f in [*glob.glob(os.path.dirname(license_scan.__file__) + "/*.py"), corpus_pipeline.__file__]]
+    return sorted({x.lower() for t in texts for x in re.findall(r"[\"']([A-Za-z_][A-Za-z0-9_]*)[\"']", t)} - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def clashing(df, own=()):
+    return df.select("*", *(F.lit(7).alias(c) for c in names_in_code() if c not in {x.lower() for x in df.columns} | set(own)))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(odd_rows(), DOCS).withColumn("bits", F.lit(1)).withColumn("key", F.lit("x")).withColumn("hash", F.lit(2)).repartition(3)
+    return clashing(spark.createDataFrame(odd_rows(), DOCS)).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +98,7 @@ def test_language_odd_rows(docs, empty):
 
 
 def test_language_sample_counts_a_copied_text_once(spark):
-    rows = [(i, f"mot{i} der die das und nicht mit von", "de") for i in range(20)] + [(100 + i, "the of and with from that", "en") for i in range(20)]
+    rows = [(i, f"mot{i} der die das und nicht mit von", "de") for i in range(20)] + [(100 + i, f"the of and with from that {i * i}", "en") for i in range(20)]
     one = spark.createDataFrame(rows, "doc_id long, text string, declared string")
     many = one.unionByName(one.where("doc_id = 3").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy"))
     fitted = [language_id.fit(d, "text", F.col("declared"), sample_per_language=10_000) for d in (one, many)]
@@ -93,12 +106,106 @@ def test_language_sample_counts_a_copied_text_once(spark):
 
 
 def test_host_prior_decides_a_short_text(spark):
-    rows = [(i, t, "fr" if "le" in t else "en", s) for i, (t, s) in enumerate([("le la les des une dans pour", "x.fr")] * 60 + [("the of and with from that", "y.org")] * 60)]
+    rows = [(i, f"{t} {i % 30}", "fr" if "le" in t else "en", s) for i, (t, s) in enumerate([("le la les des une dans pour", "x.fr")] * 60 + [("the of and with from that", "y.org")] * 60)]
     rows += [(900, "abcdefgh", None, "x.fr"), (901, "abcdefgh", None, "y.org")]
     found = {r["doc_id"]: r["language"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", F.col("text"), F.col("lang"), host=F.col("source")).collect()}
     assert found[900] == "fr" and found[901] == "en"
 
 
+def brute_language(rows, temper=0.2, weight=20.0):
+    """rows: (key, text, declared, suffix, host, parent); every text is in the sample. To {key: (language, posterior)}."""
+    letters = set(range(97, 123)) | set(range(128, 256))
+
+    def cells(text):
+        b = bytes(x + 32 if 65 <= x <= 90 else x for x in (text or "").encode())
+        b = b" " + bytes(x if x in letters else 32 for x in b) + b"  "
+        return [((int.from_bytes(b[i : i + 3], "big") * 0x9E3779B1) % (1 << 32)) >> 16 for i in range(len(b) - 2) if b[i + 1] != 32]
+
+    told = {(t, d) for _, t, d, *_ in rows if t is not None and d}
+    named = sorted({d for _, d in told})
+    counts = {d: Counter(c for t, e in told if e == d for c in cells(t)) for d in named}
+    log = {d: (lambda c, total: lambda x: math.log((c[x] + 0.5) / total))(c, sum(c.values()) + 0.5 * 65536) for d, c in counts.items()}
+    ll, best = [], []
+    for _, t, *_ in rows:
+        own = cells(t)
+        ll.append([temper * sum(log[d](x) for x in own) for d in named])
+        best.append(max(range(len(named)), key=lambda i: ll[-1][i]) if len(own) >= 8 else None)
+    totals = [0] * len(named)
+
+    def trust(column):
+        seen = [(r[column], b) for r, b in zip(rows, best, strict=True) if r[column] and b is not None]
+        both, values, by = Counter(seen), Counter(v for v, _ in seen), Counter(b for _, b in seen)
+        return lambda v, i: math.log((both[v, i] + weight * values[v] / len(seen)) / (by[i] + weight)) if values[v] else 0.0
+
+    evidence = [trust(2), trust(3)]
+    own, up = {}, {}
+    for r, b in zip(rows, best, strict=True):
+        if r[4] and b is not None:
+            own.setdefault((r[4], r[5]), [0] * len(named))[b] += 1
+            up.setdefault(r[5], [0] * len(named))[b] += 1
+            totals[b] += 1
+    p0 = [(c + weight / len(named)) / (sum(totals) + weight) for c in totals]
+    smooth = lambda c, prior: [(x + weight * p) / (sum(c) + weight) for x, p in zip(c, prior, strict=True)]
+    prior = {h: smooth(c, smooth(up[q], p0)) for (h, q), c in own.items()}
+    out = {}
+    for r, x, b in zip(rows, ll, best, strict=True):
+        x = [v + sum(e(r[c], i) for c, e in zip((2, 3), evidence, strict=True) if r[c]) + (math.log(prior[r[4]][i]) if r[4] in prior else 0.0) for i, v in enumerate(x)]
+        top = max(x)
+        share = 1 / sum(math.exp(v - top) for v in x)
+        out[r[0]] = (named[x.index(top)] if b is not None and share >= 0.5 else "und", share)
+    return out
+
+
+def test_language_brute_force(table):
+    rows = [(r["doc_id"], r["text"], r["lang"], None, r["source"], None) for r in table.collect()]
+    expected = brute_language(rows)
+    for r in language_id.report(table).collect():
+        assert r["language"] == expected[r["doc_id"]][0] and abs(r["posterior"] - expected[r["doc_id"]][1]) < 1e-3
+
+
+def test_page_language_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in html_text.report(pages).collect()}
+    rows = []
+    for r in pages.collect():
+        host = re.match(r"[a-zA-Z]+://([^/:?#]+)", r["url"])[1].lower()
+        lang = re.search(r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2,3})", r["html"])
+        rows.append((r["page_id"], texts[r["page_id"]], lang[1].lower() if lang else None, host.rsplit(".", 1)[1], host, ".".join(host.split(".")[-2:])))
+    expected = brute_language(rows)
+    found = language_id.pages_report(clashing(pages)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["language"] == expected[r["page_id"]][0] and abs(r["posterior"] - expected[r["page_id"]][1]) < 1e-3
+
+
+def test_language_against_wrong_declarations(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    other = F.when(F.col("lang") == "en", "fr").otherwise("en")
+    rows = language_id.report(table.withColumn("lang", F.when(wrong, other).otherwise(F.col("lang")))).join(table.select("doc_id", F.col("lang").alias("true"), wrong.alias("wrong")), "doc_id").where("accepted").collect()
+    misled = [r["language"] == r["true"] for r in rows if r["wrong"]]
+    assert len(misled) > 50 and sum(misled) >= 0.97 * len(misled)
+
+
+def test_language_of_few_rows_and_of_too_few(spark, table):
+    """Thirty texts of one language among many are learned; three of another keep their declaration; a false one doesn't."""
+    made = lambda i, words, n: " ".join(words[(i * 7 + j * j) % len(words)] for j in range(n))
+    rare = "ja nej och att det som på den för med inte är av till han var hade jag men".split()
+    strange = "kurie buvo tačiau nes ašį žmonių dėl įvairių šių tokių ųjų".split()
+    rows = [(10_000 + i, made(i, rare, 40), "sv", "s", 1) for i in range(30)] + [(20_000 + i, made(i, strange, 40), "lt", "s", 1) for i in range(3)] + [(20_010, made(5, strange, 40), None, "s", 1)]
+    english = table.where("lang = 'en' AND length(text) > 200").first()["text"]
+    docs = table.unionByName(table.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(spark.createDataFrame([*rows, (30_000, english, "lt", "s", 1)], DOCS))
+    found = {r["doc_id"]: r for r in language_id.report(docs).collect()}
+    assert all(found[10_000 + i]["language"] == "sv" and found[10_000 + i]["accepted"] for i in range(30))
+    assert all(found[20_000 + i]["language"] == "lt" and found[20_000 + i]["accepted"] for i in range(3))
+    assert found[20_010]["language"] == "und" and found[30_000]["language"] == "en"
+
+
+@pytest.mark.parametrize("host, parent", [("www.a.org", "a.org"), ("x.b.co.uk", "b.co.uk"), ("b.co.uk", "b.co.uk"), ("a.com", "a.com")])
+def test_registered_domain(host, parent):
+    assert re.search(language_id.REGISTERED, host)[1] == parent
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -114,7 +221,7 @@ def brute_decontaminate(docs, items):
             for a in range(len(w) - n + 1):
                 if n and tuple(w[a : a + n]) in spans:
                     hit |= set(range(a, a + n))
-                    names.add(str(name))
+                    names.add("" if name is None else str(name))
         out[(i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))] += 1
     return out
 
@@ -127,14 +234,13 @@ def test_decontaminate_brute_force(spark, limit):
     items = [(i, text(n)) for i, n in enumerate([14, 30, 11, 10, 9, 6, 5, 3, 1, 0])] + [(77, None), (None, text(12)), (1, text(15))]
     items[8] = (8, "zz")
     rows = [(i, " x ".join([text(rng.randrange(30)), rng.choice(items)[1] or "", text(rng.randrange(40))])) for i in range(60)] + [(None, None), (100, ""), (3, "zz zz")]
-    items = [x for x in items if x[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string"), max_broadcast=limit)
     assert Counter(tuple(r) for r in found.collect()) == brute_decontaminate(rows, items)
 
 
 def test_decontaminate_odd_rows(docs, empty, spark):
-    none = spark.createDataFrame([], "item_id long, text string")
+    none = clashing(spark.createDataFrame([], "item_id long, text string"), ["item_id"])
     assert decontaminate.report(docs, none).where("contaminated").count() == 0
     assert decontaminate.report(docs, none).count() == len(odd_rows())
     assert decontaminate.report(empty, none).count() == 0
@@ -143,34 +249,121 @@ def test_decontaminate_odd_rows(docs, empty, spark):
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2024 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+WHOLE = [(MIT, "MIT", "mit-text-whole"), (APACHE, "Apache-2.0", "apache-header-whole"), (BSD, "BSD-2-Clause", "bsd2-text-whole"), (GPL, "GPL-3.0-or-later", "gpl3-header-whole")]
+
+
+def test_license_scan_of_real_texts(spark):
+    """As they stand, and as comments of source files."""
+    marked = lambda text, head, mark, tail: head + "\n".join((mark + x).rstrip() for x in text.split("\n")) + tail
+    forms = [("", "", ""), ("#!/bin/sh\n", "# ", "\nset -e\n"), ("", "// ", "\nint main() {}\n"), ("/*\n", " * ", "\n */\nint x;\n"), ("<!--\n", "", "-->\n<p>"), ("", "-- ", ""), ("", "    ", "")]
+    rows = [(i * 10 + j, marked(text, *form)) for i, (text, _, _) in enumerate(WHOLE) for j, form in enumerate(forms)]
+    found = {r["doc_id"]: r for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, licence, rule) in enumerate(WHOLE):
+        for j in range(len(forms)):
+            assert found[i * 10 + j]["licences"] == licence and rule in found[i * 10 + j]["rules"].split(","), (i, j)
+
+
 def test_license_scan(spark, empty):
-    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
-    one = "* Redistributions of source code must retain the above copyright notice, this list of conditions\n  and the following disclaimer."
-    two = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-    source = one.replace("\n ", "")
+    first, second, third = BSD.split("\n\n")[:3]
     rows = [
         (1, "Some text. Released under the MIT License. More text."),
         (2, "x\nLicensed under the Apache License, Version 2.0.\nreleased UNDER the  MIT licence"),
-        (3, bsd + source.replace("* ", "") + "\n" + two.replace("2. ", "")),
-        (4, two.replace("2. ", "") + "\n" + source.replace("* ", "") + "\n" + bsd),
+        (4, third + "\n" + second + "\n" + first),
         (5, None),
         (6, ""),
         (None, "Licensed under CC BY-NC 4.0."),
+        (7, "Released under the MIT License, see below."),
+        (8, "Released under the MIT Licenses"),
+        (9, "// SPDX-License-Identifier: Apache-2.0\n"),
+        (10, "MIT\n\nApache-2.0"),
+        (3, first),
+        (3, second),
+        (3, third),
+        (11, "Released under the MIT License. Released under the MIT License."),
     ]
-    found = {r["doc_id"]: r for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("sentence", F.lit("y"))).collect()}
-    assert found[1]["licences"] == "MIT" and found[2]["licences"] == "Apache-2.0"
-    assert found[3]["licences"] == "BSD-2-Clause" and found[4]["licences"] == ""
-    assert found[5]["licences"] == found[6]["licences"] == "" and found[None]["kinds"] == "non-commercial"
+    made = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = license_scan.report(made).collect()
+    by_id = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows)
+    assert by_id[1]["licences"] == "MIT" and by_id[2]["licences"] == "Apache-2.0" and by_id[4]["licences"] == ""
+    assert by_id[5]["licences"] == by_id[6]["licences"] == "" and by_id[None]["kinds"] == "non-commercial"
+    assert by_id[7]["licences"] == "MIT" and by_id[8]["licences"] == "" and by_id[9]["rules"] == "apache-spdx" and by_id[10]["licences"] == ""
+    assert all(r["licences"] == "" for r in found if r["doc_id"] == 3) and by_id[11]["sentence_ids"] == "1,1"
     assert license_scan.report(empty).count() == 0
+    assert set(made.columns) - {"licence_ids"} <= set(license_scan.scan(made.drop("licence_ids")).columns)
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_license_scan_wrapped(spark, mark, end):
-    known = dict(license_scan.SENTENCES)
+    known = {i: t for i, t, _ in license_scan.SENTENCES}
 
     def wrapped(ids, width=70):
-        lines = ["Copyright (c) someone", ""] + [x for i in ids for x in [*textwrap.wrap(known[i], width), ""]]
+        lines = ["Copyright (c) someone", ""] + [x for i in ids for x in [*textwrap.wrap(known[i], width, break_on_hyphens=False), ""]]
         return end.join((mark + x).rstrip() for x in lines)
 
     rows = [(n, wrapped(ids)) for n, (_, _, _, ids) in enumerate(license_scan.RULES)]
@@ -178,8 +371,14 @@ def test_license_scan_wrapped(spark, mark, end):
     found = {r["doc_id"]: r for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(rule in found[n]["rules"].split(",") for n, (rule, _, _, _) in enumerate(license_scan.RULES))
     assert found[100]["rules"] == "mit-notice"
-    short = spark.createDataFrame([(1, "mit")], "sentence_id int, sentence string")
-    assert license_scan.found_sentences(spark.createDataFrame([(1, "x\nMIT\ny")], "doc_id long, text string"), short).count() == 1
+
+
+def test_license_tables_of_a_caller(spark):
+    sentences = spark.createDataFrame([(1, "MIT", False), (2, "Be good!", True), (2, "  ", True)], "sentence_id int, sentence string, open boolean")
+    rules = spark.createDataFrame([("r", "good", "k", [2, 1])], "rule string, licence string, kind string, ids array<int>")
+    docs = spark.createDataFrame([(1, "x\nBe good to all\nMIT"), (2, "MIT\nbe good"), (3, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["licence_ids"], r["licences"]) for r in license_scan.scan(docs, sentences, rules).collect()}
+    assert found == {1: ([2, 1], ["good"]), 2: ([1, 2], []), 3: ([], [])}
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
@@ -204,12 +403,27 @@ def test_line_dedup_brute_force(spark):
     rng = random.Random(5)
     pool = [f"line number {i} of the pool é" + " " * (i % 3) for i in range(12)] + ["short", "", "é" * 19, "é" * 20, " \x0b" + "E" * 20, "e" * 20 + "\xa0"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(80)] + [(200, None), (201, ""), (202, rows_long())]
-    for batches, fan_in in ((1, 3), (5, 2)):
-        kept = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=batches, fan_in=fan_in)
+    for batches, fan_in, few in ((1, 3, 1000), (5, 2, 1000), (4, 3, 0)):
+        kept = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=batches, fan_in=fan_in, max_broadcast=few)
         found = kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256))
         assert Counter(tuple(r) for r in found.collect()) == brute_lines(rows)
 
 
+def test_line_runs_hold_totals_and_shuffle_nothing(spark, table):
+    keys = line_dedup.written(line_dedup.line_keys(table, 20), "lines")
+    runs, seen, batch_of = line_dedup.Runs(spark), Counter(), F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    for b in range(4):
+        batch = keys.where(batch_of == b)
+        new = {bytes(r["key"]) for r in runs.add(batch).collect()}
+        own = Counter(bytes(r["key"]) for r in batch.distinct().collect())
+        assert new == set(own) - set(seen)
+        seen += own
+    assert [len(level) for level in runs.levels] == [0, 0, 1]  # a binary counter of four batches
+    assert {bytes(r["key"]): r["n_docs"] for r in runs._read(runs.names()[0]).collect()} == dict(seen)
+    both = runs._read(runs.names()[0], "1").join(runs._read(runs.names()[0], "2").hint("merge"), "key", "full")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
 def rows_long():
     return "\n".join(f"line number {i % 12} of the pool é" for i in range(20000))
 
@@ -219,6 +433,8 @@ def test_line_dedup_odd_rows(docs, empty):
     assert found[6]["n_dropped"] == 2 and found[7]["n_dropped"] == 1 and found[8]["n_dropped"] == 0
     assert found[2]["n_lines"] == found[3]["n_lines"] == 1 and None in found
     assert line_dedup.report(docs).count() == len(odd_rows()) and line_dedup.report(empty).count() == 0
+    shuffled = line_dedup.drop_repeated_lines(docs, max_broadcast=0).collect()
+    assert Counter((r["doc_id"], r["n_dropped"]) for r in shuffled) == Counter((r["doc_id"], r["n_dropped"]) for r in line_dedup.report(docs).collect())
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
@@ -303,6 +519,65 @@ def test_near_copies_at_four_fifths(spark):
     assert len({r["group"] for r in simhash.near_duplicates(made.withColumnRenamed("key", "doc_id")).select(F.col("component_id").alias("group")).collect()}) > 90
 
 
+def test_near_copies_long_lists(spark):
+    """Lists that are keyed anew and cut into blocks lose no link that the plain rule has."""
+    rng = np.random.default_rng(0)
+    n = 1200
+    symbols = rng.integers(0, 6, (n, 16)).astype(np.uint8).view(np.uint64)
+    words = np.zeros((n, 16), np.uint64)
+    words[:, 0] = rng.integers(0, 1 << 26, n).astype(np.uint64)
+    shared = near_copies.tally(symbols[:, None] ^ symbols[None])
+    near = (shared >= near_copies.MIN_SHARED) & (np.bitwise_count(words[:, None, :1] ^ words[None, :, :1]).sum(-1) <= 5)
+    expected = np.arange(n)
+    near_copies.forest(*np.nonzero(np.triu(near, 1)), expected)
+    rows = [(i, 9, *symbols[i].view(np.int64).tolist(), *words[i].view(np.int64).tolist()) for i in range(n)]
+    entries = spark.createDataFrame(rows, "node long, size long, " + ", ".join(f"{c} long" for c in [*near_copies.SYMBOLS, *near_copies.WORDS])).repartition(5)
+    assert 50 < len(set(expected.tolist())) < n - 50
+    for block in (5000, 60, 8):
+        found = near_copies.candidates(entries, max_bits=5, block=block).collect()
+        u, v = (np.array([r[c] for r in found]) for c in ("u", "v"))
+        label = np.arange(n)
+        near_copies.forest(u, v, label)
+        assert near[u, v].all() and (label == expected).all()
+
+
+def jaccard_groups(texts):
+    """{place: first place} of texts joined by pairs of equal sets, or with five-word shingles alike by 0.8."""
+    sets = []
+    for t in texts:
+        w = ascii_words(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, own in enumerate(sets):
+        for j in {j for x in own for j in holders.get(x, ())} | ({j for j in range(i) if not sets[j]} if not own else set()):
+            both = len(own & sets[j])
+            if both >= 0.8 * (len(own) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    return {i: find(i) for i in range(len(root))}
+
+
+def test_near_copies_of_documents(spark):
+    """On sf0.01 the groups are those of all pairs compared."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    expected = jaccard_groups([r["text"] for r in rows])
+    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "key long, text string")
+    found = {r["key"]: r["group"] for r in near_copies.groups(frame).collect()}
+    first = {}
+    for i, r in enumerate(rows):
+        first.setdefault(found[r["doc_id"]], i)
+    assert {i: first[found[r["doc_id"]]] for i, r in enumerate(rows)} == expected
+
+
 def test_repeated_ids_join_nothing(spark):
     texts = [" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "abcd"]
     rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])]
@@ -332,8 +607,6 @@ def test_tokens_equal_the_tokenizer(docs, table, empty):
 
 
 def test_token_file_format(spark, table, tmp_path):
-    import glob
-
     import pyarrow.parquet as pq
 
     token_output.write_tokens(table, f"{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"))
@@ -380,8 +653,28 @@ def test_quality_fm_identity():
         assert abs(r @ machine.w + pairs - got) < 1e-3
 
 
+def test_quality_fm_scores_and_labels(spark):
+    """Scores are the pairwise sum over a text's features; documents with two labels are left out, whatever their order."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    odd = labels.withColumn("quality", 1 - F.col("quality")).where("doc_id % 3 = 0")
+    machines = [quality_fm.fit(docs, x) for x in (labels.where("doc_id % 3 <> 0"), labels.unionByName(odd), odd.unionByName(labels).repartition(5))]
+    for m in machines[1:]:
+        assert np.array_equal(m.w, machines[0].w) and np.array_equal(m.v, machines[0].v)
+    m = machines[0]
+    scored = {r["doc_id"]: r["score"] for r in quality_fm.scores(docs, m).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        owner, cell, value, stats = quality_fm.features([(r["text"] or "").encode()], [r["n_chars"]])
+        x = np.zeros(len(m.w))
+        x[cell] = value
+        x[quality_fm.CELLS :] = m.scaled(stats)[0]
+        on = np.flatnonzero(x)
+        v = m.v[on] * x[on, None]
+        pairs = (np.triu(v @ v.T, 1)).sum()
+        assert abs(1 / (1 + math.exp(-(m.b + x @ m.w + pairs))) - scored[r["doc_id"]]) < 1e-3
+
+
 def test_quality_fm_odd_rows(docs, empty, spark):
-    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, None, 0), (None, 1, 0), (9, 1, None)], "doc_id long, quality int, toxic int")
+    labels = clashing(spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, None, 0), (None, 1, 0), (9, 1, None)], "doc_id long, quality int, toxic int"), ["quality", "toxic"])
     rows = quality_fm.report(docs, labels).collect()
     assert len(rows) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["score"] == 0.5 for r in quality_fm.report(docs, labels.where("false")).collect())
@@ -408,6 +701,59 @@ def test_quality_rules_brute_force(docs, table, empty):
     assert quality_rules.report(empty).count() == 0
 
 
+def brute_kept(rows, min_group=100, width=3.0):
+    """{doc_id: kept} of rows (doc_id, lang, source, text), by sorted buckets of all values of a group."""
+    measures = {}
+    for i, lang, source, text in rows:
+        n, chars, symbols, dup, repeat, failed = brute_rules(text)
+        lines = len([x for x in (text or "").split("\n") if ascii_words(x)])
+        measures[i] = (lang, source, failed, [symbols / chars, dup / lines, repeat / n, chars / n] if n else None)
+    grow = 1.01 / 0.99
+    bucket = lambda x: -math.inf if x <= 0 else math.ceil(math.log(x) / math.log(grow))
+    value = lambda b: 0.0 if b == -math.inf else grow**b * 2 / (grow + 1)
+
+    def quartiles(member):
+        picked = [v[3] for v in measures.values() if v[3] is not None and member(v)]
+        at = lambda k, q: value(sorted(bucket(x[k]) for x in picked)[max(0, math.ceil(q * len(picked)) - 1)])
+        return len(picked), picked and [(at(k, 0.25), at(k, 0.75)) for k in range(4)]
+
+    memo = {}
+    kept = {}
+    for i, (lang, source, failed, m) in measures.items():
+        if m is None:
+            kept[i] = False
+            continue
+        for key, member in ((("own", lang, source), lambda v: v[:2] == (lang, source)), (("lang", lang), lambda v: v[0] == lang), (("all",), lambda v: True)):  # noqa: B023
+            n, q = memo[key] if key in memo else memo.setdefault(key, quartiles(member))
+            if n >= min_group or key == ("all",):
+                break
+        inside = True
+        for x, (a, b), least, both in zip(m, q, (0.02, 0.10, 0.05, 0.40), (False, False, False, True), strict=True):
+            spread = width * max(b - a, least)
+            inside &= x <= b + spread and (not both or x >= a - spread)
+        kept[i] = not failed and inside
+    return kept
+
+
+@pytest.mark.parametrize("min_group", [100, 20, 1])
+def test_quality_rules_verdicts(spark, min_group):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = brute_kept([(r["doc_id"], r["lang"], r["source"], r["text"]) for r in docs.collect()], min_group)
+    found = [{r["doc_id"]: r["kept"] for r in quality_rules.filtered(d, min_group=min_group).collect()} for d in (docs, docs.repartition(7, "n_chars"))]
+    assert found[0] == found[1] == expected
+
+
+def test_quality_sketch_bounds(spark):
+    rng = random.Random(1)
+    values = [rng.lognormvariate(0, 2) if rng.random() < 0.9 else 0.0 for _ in range(20_000)]
+    rows = spark.createDataFrame([("en", "a" if i % 3 else "b", x, 1.0) for i, x in enumerate(values)], "lang string, source string, x double, one double").repartition(9)
+    sketch = rows.groupBy("lang", "source", F.lit("symbols").alias("measure"), quality_rules.bucket_of(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
+    assert sketch.groupBy("source").count().agg(F.max("count")).first()[0] < 1500
+    q = quality_rules.quartiles(sketch, ["lang"]).first()["symbols"]
+    for got, share in ((q["a"], 0.25), (q["b"], 0.75)):
+        assert abs(got - sorted(values)[int(share * len(values)) - 1]) <= 0.0101 * got
+
+
 def test_quality_rules_keep_the_clean(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_rules.report(docs).join(labels, "doc_id").collect()
@@ -453,6 +799,23 @@ def test_mix_report(table, docs, empty):
     assert words == sum(r["taken"] for r in rows)
 
 
+def test_mix_is_near_its_targets(spark):
+    """Each source's words are within four deviations of its draws, and near the target where no document is large in it."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sizes = {}
+    for r in source_mix.with_copies(table).select("source", "mix_size", "mix_source_size", "mix_target", "mix_copies").collect():
+        sizes.setdefault(r["source"], []).append(r)
+    near = 0
+    for rows in sizes.values():
+        target, whole = rows[0]["mix_target"], rows[0]["mix_source_size"]
+        f = target / whole % 1 if whole else 0
+        deviation = math.sqrt(f * (1 - f) * sum(r["mix_size"] ** 2 for r in rows))
+        taken = sum(r["mix_size"] * r["mix_copies"] for r in rows)
+        assert abs(taken - target) <= 4 * deviation + 1e-6 * target
+        near += abs(taken - target) <= 0.1 * target
+    assert near >= 0.7 * len(sizes)
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -468,6 +831,11 @@ def test_mix_report(table, docs, empty):
         ("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>", "a    | bbb\ncccc | d"),
         ("x<span style='display:none'>no</span><i hidden>no</i>y", "xy"),
         ("<head><title>T &lt;</title><style>p{}</style></head><body>v<script>var t='</p>';</script>w", "vw"),
+        ("<table><tr><td colspan=2>over both<tr><td>a<td>b<tr><td>cc<td>d</table>", "over both\na  | b\ncc | d"),
+        ("<table><tr><td rowspan=2>R<td>b<tr><td>c<tr><td>x<td>y</table>", "R | b\n  | c\nx | y"),
+        ("<table><tr><td>你好<td>b<tr><td>abcde<td>d</table>", "你好  | b\nabcde | d"),
+        ("<style>.x{display:none} #y, p.z { visibility:hidden }</style><div class='a x'>no</div><p class=z>no<p id=y>no<p>yes", "yes"),
+        ("<table><tr><td><table><tr><td>in<td>ner</table><td>o</table>", "in | ner | o"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
         ("<!-- x > y -->z<br>w", "z\nw"),
         ("<p title='a>b'>in</p>", "in"),
@@ -502,14 +870,36 @@ def test_html_table(spark):
 
 def test_pipeline(spark, table, docs, empty):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "source_mix", "token_output"]
-    now = table
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, now, SF).cache()
-        assert after.columns == table.columns
-        assert name == "source_mix" or 0 < after.count() <= now.count()
-        now = after
-    by_hand = Counter(r["doc_id"] for r in now.select("doc_id").collect())
-    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == by_hand
-    for frame in (docs.select(*table.columns), empty):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, frame, SF).collect()
+    for frame in (docs, docs.select(*table.columns), empty):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, frame, SF)
+            assert name == "token_output" or rows.columns == frame.columns
+            rows.collect()
+    same = corpus_pipeline.identify_language(spark, docs, SF)
+    assert Counter(map(str, same.collect())) <= Counter(map(str, docs.collect()))
+
+
+def test_pipeline_brute_force(spark, table):
+    """Every stage by hand on a small corpus, against run()."""
+    rows = sorted(table.collect())
+    tongue = brute_language([(r["doc_id"], r["text"], r["lang"], None, r["source"], None) for r in rows])
+    rows = [r for r in rows if tongue[r["doc_id"]][0] != "und"]
+    group = jaccard_groups([r["text"] for r in rows])
+    rows = [r for i, r in enumerate(rows) if group[i] == i]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    dirty = {x[0] for x in brute_decontaminate([(r["doc_id"], r["text"]) for r in rows], items) if x[-1]}
+    rows = [r for r in rows if r["doc_id"] not in dirty]
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += len(ascii_words(r["text"]))
+    target = brute_targets(sizes)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected, start = Counter(), 0
+    for r in rows:
+        rate = target[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+        draw = int(hashlib.md5(f"42:{r['doc_id']}:{r['text'] or ''}".encode()).hexdigest()[:10], 16) / (1 << 40)
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        for _ in range(int(rate) + (draw < rate - int(rate))):
+            expected[(r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+            start += len(ids)
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == expected and len(expected) > 100
