@@ -5,9 +5,11 @@ doc_id, n_tokens and the list ``ids``: numbers of documents ascend, so they are
 and ids go through a dictionary as far as it fits a page. Row groups and pages have set sizes and Spark's writer adds
 column and offset indexes, so a read of doc_id and n_tokens, or of a range of documents, skips the lists' pages.
 
-Words are encoded by the tokenizers library. The vocabulary lower-cases, drops white space and never merges over it, so a
-text's ids are those of its white-space-separated chunks in a row; each worker keeps what chunks it has encoded, up to
-``KEEP`` of them, and starts afresh beyond.
+Words are encoded by the tokenizers library. The vocabulary lower-cases, drops white space and never merges over it, nor over
+the bound between a letter and the signs behind it, so a text's ids are those of its white-space-separated chunks in a row,
+with such signs as chunks of their own. Each worker keeps what chunks it has encoded, up to ``KEEP`` of them, and starts
+afresh beyond. This is so for the normaliser and the split of PLAIN; with a tokenizer file that has others, texts are encoded
+whole.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id all stay and
 are laid in the order of their texts; an empty table gives no rows; other columns are ignored.
@@ -15,7 +17,9 @@ are laid in the order of their texts; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +30,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, written
+from .common import new_path, steps, written
 
-KEEP = 250_000
-TAILS = ".,!?;:%*$#&"
+KEEP = 500_000
+# The normaliser and the split that chunks may be taken by.
+PLAIN = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Signs behind a letter of ASCII, up to the chunk's end: a piece of their own.
+SIGNS = re.compile(rb"(?<=[A-Za-z])[.,!?;:%*$#&]+(?=[\x09-\x0d ]|\Z)")
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
@@ -44,28 +52,27 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.chunks: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.plain = self._is_plain()
+
+    def _is_plain(self) -> bool:
+        told = json.loads(self.tokenizer.to_str())
+        steps_of = lambda k, inner: (told[k] or {}).get(inner, [told[k] or {}])
+        names = [x.get("type") for x in steps_of("normalizer", "normalizers")]
+        splits = [x for x in steps_of("pre_tokenizer", "pretokenizers")]
+        pattern = splits[0].get("pattern", {}).get("Regex") if [x.get("type") for x in splits] == ["Split", "ByteLevel"] else None
+        # Special tokens are found in the text as it is: those that white space or signs could cut, or case could hide, have a "<".
+        return (names, pattern) == PLAIN and told["model"]["type"] == "BPE" and all(t["content"].startswith("<") and not set(t["content"]) & set(" .,!?;:%*$#&") for t in told["added_tokens"])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _core(self, core: str) -> bytes:
-        """A run of letters of ASCII or Latin-1 in lower case: one piece, so the model can have it as it is."""
-        found = self.cores.get(core)
-        if found is None:
-            if len(self.cores) >= KEEP:
-                self.cores.clear()
-            spelled = core if core.isascii() else self.spell(core)[0][0]
-            found = self.cores[core] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return found
-
     def _miss(self, raw: bytes) -> bytes:
         chunk = raw.decode("utf-8", "replace")
-        core = chunk.rstrip(TAILS)
-        # Letters followed by such signs are two pieces; no special token has these signs.
-        if core.isalpha() and max(core) <= "\xff":
-            tail = chunk[len(core) :]
-            ids = self._core(core.lower()) + (self._tail(tail) if tail else b"")
+        if chunk.isalpha() and max(chunk) <= "\xff":
+            # Letters of ASCII or Latin-1 are one piece, so the model can have it as it is.
+            chunk = chunk.lower()
+            spelled = chunk if chunk.isascii() else self.spell(chunk)[0][0]
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
         else:
             ids = self._whole(chunk)
         if len(self.chunks) >= KEEP:
@@ -73,16 +80,16 @@ class ChunkEncoder:
         self.chunks[raw] = ids
         return ids
 
-    def _tail(self, tail: str) -> bytes:
-        found = self.cores.get(tail)
-        if found is None:
-            found = self.cores[tail] = self._whole(tail)
-        return found
-
     def __call__(self, text: bytes) -> bytes:
-        # bytes.split() cuts at ASCII white space only; the rest is the tokenizer's to see.
+        if not self.plain:
+            return self._whole(text.decode("utf-8", "replace"))
+        # Case is folded early, for fewer kinds of chunks, but where a special token may stand, or a mark that the letter
+        # before it is composed with (U+0300 to U+036F).
+        if b"<" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.translate(_LOWER)
         get, miss = self.chunks.get, self._miss
-        return b"".join([get(c) or miss(c) for c in text.split()])
+        # bytes.split() cuts at ASCII white space only; the rest is the tokenizer's to see.
+        return b"".join([get(c) or miss(c) for c in SIGNS.sub(rb" \g<0>", text).split()])
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -99,15 +106,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, row
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [one(x.as_py() or b"") + end for x in texts.slice(at, 256)]
-                sizes = np.fromiter((len(x) // 4 for x in made), np.int32, len(made))
-                values = pa.array(np.frombuffer(b"".join(made), np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
+        for part, texts in steps(batches, "text"):
+            made = [one(x) + end for x in texts]
+            sizes = np.fromiter((len(x) // 4 for x in made), np.int32, len(made))
+            values = pa.array(np.frombuffer(b"".join(made), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     # The sort is by length and hash of equal doc_ids' texts, so the files are the same on every run.
