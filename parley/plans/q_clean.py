@@ -112,7 +112,7 @@ def c8_repair_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(clean.repair_placeholders(docs(spark, sf_dir), TOKEN, LINES, "(tbc)"))
 
 
-# Openings of model outputs.
+#: Openings and endings of model outputs, for records that have them.
 OPENINGS = ["<think>a\nb</think>\n", "```markdown\n", "好的，我來整理如下：\n", "以下是本次會議記錄：", "以下是整理結果。", "我為您整理重點：", "根據逐字稿，", "OK, ", "Sure，", "<details open>\nx\n</details>\n\n\n\n"]
 ENDINGS = ["\n```", "", "\n</details>", "\n\n\n\nend"]
 
