@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,12 +36,16 @@ from .common import new_path, steps, written
 KEEP = 500_000
 # The normaliser and the split that chunks may be taken by.
 PLAIN = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Signs behind a letter of ASCII, up to the chunk's end: a piece of their own.
-SIGNS = re.compile(rb"(?<=[A-Za-z])[.,!?;:%*$#&]+(?=[\x09-\x0d ]|\Z)")
+#: Signs behind a letter of ASCII, up to the chunk's end: a piece of their own. (A set first, which is looked for fast.)
+SIGNS = re.compile(rb"[.,!?;:%*$#&](?<=[A-Za-z].)[.,!?;:%*$#&]*(?=[\x09-\x0d ]|\Z)", re.S)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ChunkEncoder:
     """Ids of a text by its chunks, as bytes of little-endian 32-bit numbers."""
 
@@ -64,17 +69,18 @@ class ChunkEncoder:
         return (names, pattern) == PLAIN and told["model"]["type"] == "BPE" and all(t["content"].startswith("<") and not set(t["content"]) & set(" .,!?;:%*$#&") for t in told["added_tokens"])
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _miss(self, raw: bytes) -> bytes:
-        chunk = raw.decode("utf-8", "replace")
-        if chunk.isalpha() and max(chunk) <= "\xff":
-            # Letters of ASCII or Latin-1 are one piece, so the model can have it as it is.
-            chunk = chunk.lower()
-            spelled = chunk if chunk.isascii() else self.spell(chunk)[0][0]
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = None
+        if raw.isalpha():  # of ASCII
+            spelled = raw.decode().lower()
         else:
-            ids = self._whole(chunk)
+            chunk = raw.decode("utf-8", "replace")
+            if chunk.isalpha() and max(chunk) <= "\xff":
+                spelled = self.spell(chunk.lower())[0][0]
+        # Letters of ASCII or Latin-1 are one piece, so the model can have it as it is.
+        ids = self._whole(chunk) if spelled is None else pack([t.id for t in self.model.tokenize(spelled)])
         if len(self.chunks) >= KEEP:
             self.chunks.clear()
         self.chunks[raw] = ids
