@@ -20,6 +20,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
+    """How many partitions a shuffle of a written table's rows needs: as many as the session's shuffles have, or more where
+    its files' size would make them larger than ``bytes_each``."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(-(-size // bytes_each), 1_000_000))
+
+
 def unique_column(df: DataFrame, stem: str) -> str:
     """A column name that the frame doesn't have yet."""
     taken, name = {c.lower() for c in df.columns}, stem

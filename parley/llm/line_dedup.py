@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, steps, written
+from .common import new_path, partitions_for, steps, written
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -66,7 +66,8 @@ class Runs:
     def __init__(self, spark: SparkSession, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
         #: As many as the shuffle has partitions, unless told: a batch's last shuffle is then by bucket.
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or self.usual
         self.levels: list[list[str]] = [[]]
 
     def _write(self, rows: DataFrame) -> str:
@@ -85,7 +86,7 @@ class Runs:
         """Adds a batch of (doc_id, key), whose doc_ids no earlier batch had. Returns its keys that no run had before."""
         # Counted in two steps, so a key that a third of all rows have is summed before it is shuffled.
         batch = keys.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("top_doc"))
-        rows = self._read(self._write(batch))
+        rows = self._read(self._write(batch if self.buckets == self.usual else batch.repartition(self.buckets, "key")))
         before, top = [], [F.col("top_doc")]
         for n, run in enumerate(self.names()):
             rows = rows.join(self._read(run, str(n)).hint("merge"), "key", "left")
@@ -125,7 +126,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     spark = docs.sparkSession
     lines = written(line_keys(docs, min_chars), "lines")
     batches = batches or max(3, -(-lines.count() // batch_keys))
-    runs = Runs(spark, fan_in)
+    runs = Runs(spark, fan_in, partitions_for(lines))
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     return lines, written(runs.repeated(min_docs), "lines-hot")
