@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.folds import fold_rows
+from parley.functions.folds import fold_rows, numbered
 from parley.functions.text import CJK, in_order
 from parley.operators.clean import stripped
 
@@ -269,7 +269,7 @@ def union_glossaries(global_terms: DataFrame, template_terms: DataFrame) -> Data
     shared = global_terms.select(F.explode(named).alias("scope"), "term", F.col("ord").alias("o"), F.lit(0).alias("side"))
     both = shared.unionByName(template_terms.select("scope", "term", F.col("ord").alias("o"), F.lit(1).alias("side")))
     first = both.groupBy("scope", "term").agg(F.min(F.struct("side", "o")).alias("at"))
-    return first.select("scope", F.row_number().over(W.partitionBy("scope").orderBy("at")).alias("ord"), "term")
+    return numbered(first, ["scope"], ["at"], "ord").select("scope", "ord", "term")
 
 
 def english_terms(terms: DataFrame) -> DataFrame:

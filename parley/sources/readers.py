@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.functions.folds import numbered
+
 # The media types that are taken.
 MEDIA = ("mp3", "wav", "m4a", "mp4", "flac", "ogg", "aac", "wma")
 PAYLOAD = "schema string, language string, duration double, chunks array<struct<start:double,end:double,text:string>>"
@@ -61,8 +63,8 @@ def glossary_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct("file", "line_no")
     terms = cut.where("right <> ''").groupBy("scope", F.col("right").alias("term")).agg(F.min(place).alias("at"))
     pairs = cut.where("wrong <> '' and right <> ''").groupBy("scope", "wrong", "right").agg(F.min(place).alias("at"))
-    numbered = lambda df: df.withColumn("ord", F.row_number().over(W.partitionBy("scope").orderBy("at"))).drop("at")
-    return numbered(terms), numbered(pairs)
+    in_order = lambda df: numbered(df, ["scope"], ["at"], "ord").drop("at", "of")
+    return in_order(terms), in_order(pairs)
 
 
 def read_glossary(spark: SparkSession, path: str, scope: str = "global") -> tuple[DataFrame, DataFrame]:
