@@ -2,8 +2,9 @@
 
 Texts are cut into sentences; a sentence is normalised (A-Z lower-cased, other runs than letters, digits and non-ASCII to
 one space, which takes comment marks and list signs away) and mapped to the identifier of a known licence sentence. Each
-line's part is tried by itself, and the parts of a sentence that is wrapped over lines as one; a notice (``open``) also
-where more words follow it in its sentence. The identifiers found in a text, in its order, form a sequence; a licence rule
+line's part is tried by itself, and the parts of a sentence that is wrapped over lines as one, from its first line and from
+each of its last MAX_LINES lines, as a line without a full stop may stand right before it; a notice (``open``) also where more
+words follow it in its sentence. The identifiers found in a text, in its order, form a sequence; a licence rule
 is an ordered list of identifiers, which the sequence must contain in that order, with other known sentences allowed between.
 
 Both tables are bounded (checked), so they are literals in one expression over a row: no shuffle, and rows that share a
@@ -149,6 +150,8 @@ SENTENCE_END = r"[.!?:][ \t\r\n]*$"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: A caller's tables may have so many rows; they become literals of one expression.
 MAX_SENTENCES, MAX_RULES = 20_000, 5_000
+#: A sentence that doesn't begin with its run of lines has so many lines at most.
+MAX_LINES = 24
 FOUND = "array<struct<place:int,id:int>>"
 
 
@@ -193,7 +196,8 @@ def candidates(text: Column) -> Column:
         def joined(f: Column) -> Column:
             ends = lambda k: F.coalesce(F.get(f, k + 1), F.size(p))
             runs = F.filter(F.transform(f, lambda a, k: F.struct(a.alias("a"), ends(k).alias("b"))), lambda z: z["b"] - z["a"] > 1)
-            return F.transform(runs, lambda z: F.struct(z["a"].alias("place"), said(z["a"], z["b"]).alias("sentence")))
+            starts = lambda z: F.array_distinct(F.concat(F.array(z["a"]), F.sequence(F.greatest(z["a"], z["b"] - MAX_LINES), z["b"] - 2)))
+            return F.flatten(F.transform(runs, lambda z: F.transform(starts(z), lambda i: F.struct(i.alias("place"), said(i, z["b"]).alias("sentence")))))
 
         alone = F.transform(p, lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
         return F.filter(F.concat(alone, let(first, joined)), lambda x: x["sentence"] != "")
@@ -273,7 +277,9 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 parts AS (SELECT r, place, {norm("part")} AS s, regexp_matches(part, '[.!?:][ \t\r\n]*$') AS ends FROM (SELECT r, generate_subscripts({cut}, 1) AS place, unnest({cut}) AS part FROM docs)),
 marked AS (SELECT *, lag(ends, 1, true) OVER w OR lag(s, 1, '') OVER w = '' OR s = '' AS new FROM parts WINDOW w AS (PARTITION BY r ORDER BY place)),
 run AS (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY place) AS run FROM marked),
-said AS (SELECT r, place, s FROM parts UNION ALL SELECT r, min(place), string_agg(s, ' ' ORDER BY place) FROM run GROUP BY r, run HAVING count(*) > 1),
+ends AS (SELECT r, run, min(place) AS a, max(place) AS z FROM run GROUP BY 1, 2 HAVING count(*) > 1),
+starts AS (SELECT r, run, place AS a FROM run JOIN ends USING (r, run) WHERE place = ends.a OR place BETWEEN z - {MAX_LINES - 1} AND z - 1),
+said AS (SELECT r, place, s FROM parts UNION ALL SELECT r, starts.a, string_agg(s, ' ' ORDER BY place) FROM starts JOIN run USING (r, run) WHERE place >= starts.a GROUP BY r, starts.a),
 hit AS (SELECT DISTINCT r, place, sentence_id FROM said JOIN known USING (s) WHERE s <> '' UNION SELECT r, place, sentence_id FROM said JOIN known ON more AND starts_with(said.s, known.s || ' ')),
 found AS (SELECT r, list(sentence_id ORDER BY place, sentence_id) AS ids FROM hit GROUP BY 1),
 hits AS (SELECT f.r, array_to_string(list_sort(list(DISTINCT u.licence)), ',') AS licences, array_to_string(list_sort(list(DISTINCT u.kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT u.rule)), ',') AS rules
