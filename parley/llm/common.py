@@ -23,7 +23,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
     """How many partitions a shuffle of a written table's rows needs: as many as the session's shuffles have, or more where
     its files' size would make them larger than ``bytes_each``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(usual, min(-(-size // bytes_each), 1_000_000))
 
