@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, license_scan, line_dedup, quality_fm, quality_rules, simhash, source_mix, token_output
+from . import decontaminate, html_text, language_id, license_scan, line_dedup, packing, quality_fm, quality_rules, simhash, source_mix, token_links, token_output
 from .common import load
 
 
@@ -50,13 +50,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(load(spark, sf_dir, "pages"))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.report(load(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(load(spark, sf_dir, "documents"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.pages_report(load(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_simhash, op6_token_output, op7_quality_fm, op8_quality_rules, op9_source_mix, op10_html_text, page_language)
+    for f in (op1_language_id, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_simhash, op6_token_output, op7_quality_fm, op8_quality_rules, op9_source_mix, op10_html_text, op11_token_links, op12_packing, page_language)
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.oracle(),
