@@ -4,8 +4,8 @@ Each text, with a space before it, is encoded by both. A token's row in its inci
 matrices are kept as compressed sparse rows built by hand. Row by row (Gustavson), A times the transpose of B counts the bytes
 that two tokens share: its entries are the overlap links. Offsets where tokens of both end cut all tokens into groups, and the
 product of the tokens' group incidences has an entry for each pair of one group: the shared-group links. The report's
-links are overlap links whose ends meet. Both byte-level splits and sentence pieces leave chunks alone (``chunks``), so no group
-goes over a chunk's end: products are made for the unseen chunks of a step, and a text's groups and links are its chunks' in a row.
+links are overlap links whose ends meet. Products are made for the texts of a step together, as no group goes over a text's end.
+Long texts are encoded in parts, cut where neither tokenizer looks over the cut (``chunks``).
 
 How often two ids are linked in all texts is counted per task and summed. Of two tokens that end together one is the end of the
 other, so no more kinds of pairs can come than the vocabularies' tokens have bytes (some hundred thousand), whatever the corpus;
@@ -29,10 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CUT, KEEP, LATIN, ByteLevel, cut, pieces_allow, split_ids
+from .chunks import CUT, ByteLevel, pieces_allow
 from .common import steps, written
 
 MAX_PAIRS = 2_000_000
+#: Bytes of text that are aligned together; a longer text is a step of its own.
+STEP = 1 << 18
+#: Characters that are encoded together.
+PART = 1 << 16
 #: Ones of a matrix that one step of a product goes through.
 BLOCK = 1 << 21
 _aligners: dict[tuple[str, str], "Aligner"] = {}
@@ -110,7 +114,7 @@ class Alignment:
 
 
 class Aligner:
-    """Two tokenizers, and what they give for chunks seen so far."""
+    """Two tokenizers, and the alignment of what they make of texts."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -118,93 +122,85 @@ class Aligner:
         self.a = ByteLevel(a_path, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if x else p.replace("▁", " ").encode() for p, x in zip(pieces, is_byte, strict=True)]
-        self.b_lengths = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.lead = self.b.encode("a")
-        self.by_chunks = self.a.by_chunks and len(self.lead) == 1 and pieces_allow(pieces)
-        self.a_names, self.b_names = [str(i) for i in range(len(self.a.bytes_of))], [str(i) for i in range(len(pieces))]
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.names: list[str] = []
-        #: Per chunk: right (or not), tokens of A, of B, groups; and where its links begin.
-        self.numbers = np.zeros((0, 4), np.int64)
-        self.link_ends = np.zeros(1, np.int64)
-        self.link_a, self.link_b = np.zeros(0, np.int32), np.zeros(0, np.int32)
-
-    def cut(self, text: str) -> list[str]:
-        """The chunks of a text that isn't empty, with a space before it."""
-        if not self.by_chunks:
-            return [" " + text]
-        if text[0].isspace():
-            return CUT.split(" " + text)
-        first, *rest = cut(text)
-        return [" " + first, *rest]
-
-    def b_ids(self, chunk: str) -> bytes:
-        """A chunk's ids of B, which puts a space before each text it is given (but for an empty one)."""
-        ids = self.b.encode("a" + chunk)[1:] if self.by_chunks else self.b.encode(chunk[1:])
-        return np.array(ids, "<i4").tobytes()
-
-    def both(self, chunks: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of A and of B of each of some different chunks."""
-        plain = [c for c in chunks if LATIN.fullmatch(c)] if self.by_chunks else []
-        made: dict[str, bytes] = {}
-        if plain:
-            found = split_ids(np.array(self.b.encode("a" + "".join(plain))[1:], np.int32), self.b_lengths, plain)
-            made = dict(zip(plain, found or (), strict=found is not None))
-        of_a = self.a.of_chunks(chunks) if self.by_chunks else [self.a.ids(c) for c in chunks]
-        return of_a, [made[c] if c in made else self.b_ids(c) for c in chunks]
-
-    def learn(self, chunks: list[str]) -> None:
-        of_a, of_b = self.both(chunks)
-        raw = [c.encode() for c in chunks]
-        flat = lambda parts: np.frombuffer(b"".join(parts), "<i4")
-        joined = lambda ids, table: b"".join([table[i] for i in np.frombuffer(ids, "<i4")])
-        right = np.fromiter((joined(x, self.a.bytes_of) == r and joined(y, self.b_bytes) == r for x, y, r in zip(of_a, of_b, raw, strict=True)), bool, len(chunks))
-        of_a, of_b = [x if ok else b"" for x, ok in zip(of_a, right, strict=True)], [x if ok else b"" for x, ok in zip(of_b, right, strict=True)]
-        ids_a, ids_b = flat(of_a), flat(of_b)
-        found = Alignment(self.a.lengths[ids_a], self.b_lengths[ids_b])
-        # A chunk's end is one of the common ends, so groups and links fall to chunks by it.
-        ends = np.cumsum([len(r) * ok for r, ok in zip(raw, right, strict=True)])
-        upto = np.searchsorted(found.ends, ends, "right")
-        row, column = found.ending_together()
-        links = np.searchsorted(found.end_a[row], ends, "right")
-        a_names, b_names = [self.a_names[i] for i in ids_a.tolist()], [self.b_names[i] for i in ids_b.tolist()]
-        edges = lambda groups: [0, *np.searchsorted(groups, np.arange(found.n_groups), "right").tolist()]
-        a, b = edges(found.group_a), edges(found.group_b)
-        groups = [f"{','.join(a_names[a[i] : a[i + 1]])}|{','.join(b_names[b[i] : b[i + 1]])}" for i in range(found.n_groups)]
-        n_groups = np.diff(np.r_[0, upto])
-        at = [0, *upto.tolist()]
-        self.place.update(zip(chunks, range(len(self.names), len(self.names) + len(chunks)), strict=True))
-        self.names += [";".join(groups[i:j]) for i, j in zip(at, at[1:])]  # noqa: B905
-        sizes = np.array([(len(x) // 4, len(y) // 4) for x, y in zip(of_a, of_b, strict=True)], np.int64).reshape(-1, 2)
-        self.numbers = np.concatenate([self.numbers, np.c_[right, sizes, n_groups]])
-        self.link_ends = np.r_[self.link_ends, self.link_ends[-1] + links]
-        self.link_a, self.link_b = np.r_[self.link_a, ids_a[row]], np.r_[self.link_b, ids_b[column]]
-
-    def align(self, texts: list[bytes]) -> list[tuple]:
-        """n_a, n_b, n_groups, groups_sha256, link_a, link_b of each text."""
-        cuts = [self.cut(t.decode()) if t and _valid(t) else [] for t in texts]
-        if len(self.names) > KEEP or len(self.link_a) > 16 * KEEP:
-            self.clear()
-        new = list(set().union(*cuts).difference(self.place))
-        if new:
-            self.learn(new)
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = [self.a.lengths, np.array([len(x) for x in b_bytes], np.int64)]
+        #: All tokens' bytes in a row, and where each token's begin.
+        self.spelled = [np.frombuffer(b"".join(x), np.uint8) for x in (self.a.bytes_of, b_bytes)]
+        self.spots = [np.cumsum(n) - n for n in self.lengths]
+        # Ids as decimal texts with what may stand behind them.
+        self.names = [{end: np.array([f"{i}{end}" for i in range(len(n))], object) for end in ends} for n, ends in zip(self.lengths, (",|", ",;\n"), strict=True)]
+        self.by_parts = self.a.by_chunks and len(self.b.encode("a")) == 1 and pieces_allow(pieces)
+
+    def parts(self, text: str) -> list[str]:
+        """A text in parts of about PART characters, cut where neither tokenizer's ids depend on the other side."""
+        made, first = [], 0
+        while self.by_parts and len(text) - first > 2 * PART and (m := CUT.search(text, first + PART)):
+            made.append(text[first : m.start()])
+            first = m.start()
+        return [*made, text[first:]]
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and of B of each text; of one that has no tokens, none."""
+        cuts = [self.parts(t.decode()) if t and _valid(t) else [] for t in texts]
+        # B puts a space before each text that isn't empty; behind an "a", a part has none.
+        of_b = iter(self.b.encode([p if i == 0 else "a" + p for parts in cuts for i, p in enumerate(parts)], num_threads=1))
         made = []
-        for chunks in cuts:
-            places = list(map(self.place.__getitem__, chunks))
-            if not places or not (numbers := self.numbers[places])[:, 0].all():
-                made.append((0, 0, 0, "", [], []))
-                continue
-            first, last = self.link_ends[places], self.link_ends[1:][places]
-            per = last - first
-            at = np.repeat(first - np.cumsum(per) + per, per) + np.arange(per.sum())
-            names = ";".join(map(self.names.__getitem__, places))
-            made.append((*numbers[:, 1:].sum(axis=0).tolist(), hashlib.sha256(names.encode()).hexdigest(), self.link_a[at], self.link_b[at]))
-        return made
+        for parts in cuts:
+            a = b"".join(self.a.latin(p if i else " " + p) for i, p in enumerate(parts))
+            b = b"".join(np.array(ids[1:] if i else ids, "<i4").tobytes() for i, ids in zip(range(len(parts)), of_b))  # noqa: B905
+            made.append((a, b))
+        return self._right(texts, made)
+
+    def _right(self, texts: list[bytes], encoded: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """``encoded``, with none for texts whose tokens' bytes aren't theirs."""
+        whole = np.frombuffer(b"".join(b" " + t for t in texts), np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        right = np.array([len(x) > 0 and len(y) > 0 for x, y in encoded], bool)
+        for side in (0, 1):
+            ids = np.frombuffer(b"".join(x[side] for x in encoded), "<i4")
+            per = np.array([len(x[side]) // 4 for x in encoded], np.int64)
+            right &= np.diff(np.r_[0, np.cumsum(self.lengths[side][ids])][np.cumsum(per)], prepend=0) == sizes
+            here = np.repeat(right, sizes)
+            differ = self.bytes_of(side, ids[np.repeat(right, per)]) != whole[here]
+            right[np.repeat(np.arange(len(texts)), sizes)[here][differ]] = False
+        return [x if ok else (b"", b"") for x, ok in zip(encoded, right, strict=True)]
+
+    def bytes_of(self, side: int, ids: np.ndarray) -> np.ndarray:
+        n = self.lengths[side][ids]
+        return self.spelled[side][np.repeat(self.spots[side][ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups and n_links of each text, groups_sha256 of each; and all links' ids in a row."""
+        encoded = self.encode(texts)
+        ids = [np.frombuffer(b"".join(x[side] for x in encoded), "<i4") for side in (0, 1)]
+        found = Alignment(*(n[x] for n, x in zip(self.lengths, ids, strict=True)))
+        # A text's end is a common one, so groups and links are of one text.
+        sizes = np.array([(len(x) // 4, len(y) // 4) for x, y in encoded], np.int64).reshape(-1, 2)
+        ends = np.r_[0, found.end_a][np.cumsum(sizes[:, 0])]
+        row, column = found.ending_together()
+        upto = np.c_[np.searchsorted(found.ends, ends, "right"), np.searchsorted(found.end_a[row], ends, "right")]
+        numbers = np.c_[sizes, np.diff(upto, axis=0, prepend=0)]
+        names = self._groups(found, ids, ends)
+        has = numbers[:, 0] > 0
+        groups = np.full(len(texts), "", object)
+        groups[has] = [hashlib.sha256(x.encode()).hexdigest() for x in names]
+        return numbers, groups.tolist(), ids[0][row], ids[1][column]
+
+    def _groups(self, found: Alignment, ids: list[np.ndarray], ends: np.ndarray) -> list[str]:
+        """The groups of each text that has tokens: those of A and of B in turn, each id with the sign behind it."""
+        if not len(ids[0]):
+            return []
+        a_sign, b_sign = self.names
+        last_a, last_b = (np.diff(g, append=-1) != 0 for g in (found.group_a, found.group_b))
+        of_a = np.where(last_a, a_sign["|"][ids[0]], a_sign[","][ids[0]])
+        of_b = np.where(last_b, b_sign[";"][ids[1]], b_sign[","][ids[1]])
+        closing = np.searchsorted(found.end_b, np.unique(ends[ends > 0]))
+        of_b[closing] = b_sign["\n"][ids[1][closing]]
+        row = np.empty(len(of_a) + len(of_b), object)
+        # Before a token of A stand the B tokens of earlier groups, before one of B the A tokens up to its own.
+        row[np.arange(len(of_a)) + np.searchsorted(found.group_b, found.group_a, "left")] = of_a
+        row[np.arange(len(of_b)) + np.searchsorted(found.group_a, found.group_b, "right")] = of_b
+        return "".join(row.tolist()).split("\n")[:-1]
 
 
 def _valid(text: bytes) -> bool:
@@ -235,17 +231,14 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None) -> Data
     a_path, b_path = paths(a, b)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("row long, n_a long, n_b long, n_groups long, groups_sha256 string, link_a array<int>, link_b array<int>").fields])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = aligner(a_path, b_path)
-        for part, texts in steps(batches, "text"):
-            made = list(zip(*one.align(texts), strict=True))
-            lists = []
-            for links in made[4:]:
-                sizes = np.fromiter(map(len, links), np.int64, len(links))
-                lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(links).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x, t) for x, t in zip(made[:4], kinds, strict=True)), *lists], schema.names)
+        for part, texts in steps(batches, "text", STEP):
+            numbers, groups, *links = one.align(texts)
+            cuts = pa.array(np.r_[0, np.cumsum(numbers[:, 3])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in links]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(numbers[:, i]) for i in range(3)), pa.array(groups, pa.string()), *lists], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -258,15 +251,10 @@ def all_links(docs: DataFrame, a: str | None = None, b: str | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = aligner(a_path, b_path)
-        for part, texts in steps(batches, "text"):
-            for i, text in enumerate(texts):
-                chunks = one.cut(text.decode()) if text and _valid(text) else []
-                kinds = list(dict.fromkeys(chunks))
-                of = dict(zip(kinds, zip(*one.both(kinds), strict=True), strict=True)) if kinds else {}
-                x, y = (np.frombuffer(b"".join([of[c][k] for c in chunks]), "<i4") for k in (0, 1))
-                if b"".join([one.a.bytes_of[j] for j in x]) != b" " + text or b"".join([one.b_bytes[j] for j in y]) != b" " + text:
-                    x = y = np.zeros(0, np.int32)
-                found = Alignment(one.a.lengths[x], one.b_lengths[y])
+        for part, texts in steps(batches, "text", STEP):
+            for i, pair in enumerate(one.encode(texts)):
+                x, y = (np.frombuffer(ids, "<i4") for ids in pair)
+                found = Alignment(one.lengths[0][x], one.lengths[1][y])
                 made = []
                 for links, names in ((found.overlaps(), ("a", "b", "bytes")), (found.shared_groups(), ("a", "b"))):
                     row = np.repeat(np.arange(len(x)), np.diff(links.indptr))

@@ -156,12 +156,13 @@ def test_product_of_random_matrices(monkeypatch):
         assert (dense == a @ b).all()
 
 
-def test_chunks_forget(spark, both, monkeypatch):
-    monkeypatch.setattr(token_links, "KEEP", 20)
-    texts = odd_texts(300, 8)
+def test_long_texts_go_in_parts(both, monkeypatch):
+    monkeypatch.setattr(token_links, "PART", 5)
+    texts = odd_texts(600, 8)
     one = token_links.Aligner(A, B)
-    found = [x for i in range(0, 300, 10) for x in one.align([t.encode() for t in texts[i : i + 10]])]
-    assert [x[:3] for x in found] == [x[:3] for x in brute_alignment(both, texts)]
+    numbers, groups, *_ = one.align([t.encode() for t in texts])
+    expected = brute_alignment(both, texts)
+    assert [(*n, g) for n, g in zip(numbers.tolist(), groups, strict=True)] == [(*x[:4], x[6]) for x in expected]
 
 
 def test_cut_gives_the_text_back():
