@@ -90,10 +90,16 @@ class Alignment:
         #: Tokens of A by bytes, and bytes by tokens of B.
         self.bytes_a = Csr.of(a, every, n)
         self.bytes_b = Csr.of(np.ones(n, np.int64), np.repeat(np.arange(len(b)), b), len(b))
-        both = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        self.n_groups = len(both)
-        self.group_a, self.group_b = np.searchsorted(both, self.end_a), np.searchsorted(both, self.end_b)
-        self.ends = both
+        # Where both end, by offset; and how many such offsets there are up to each.
+        both = np.zeros(n + 1, bool)
+        both[self.end_a] = True
+        meet = both[self.end_b]
+        self.ends = self.end_b[meet]
+        self.n_groups = len(self.ends)
+        both[self.end_a] = False
+        both[self.ends] = True
+        upto = np.cumsum(both, dtype=np.int32)
+        self.group_a, self.group_b = upto[self.end_a - 1], upto[self.end_b - 1]
 
     def overlaps(self) -> Csr:
         """Tokens of A by tokens of B: the bytes that they share."""
@@ -265,6 +271,17 @@ def all_links(docs: DataFrame, a: str | None = None, b: str | None = None) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` links."""
+    for batch in batches:
+        total = np.cumsum(batch.column(batch.schema.get_field_index("link_a")).value_lengths().to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, n, best): how often two ids are linked in all texts, and whether no id of A is linked with b more often."""
 
@@ -277,13 +294,13 @@ def pair_counts(links: DataFrame) -> DataFrame:
             total = np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
             keys[:], counts[:], held = [found], [total], 0
 
-        for batch in batches:
-            flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)]
-            found, n = np.unique(flat[0] << 32 | flat[1], return_counts=True)
+        for batch in _slices(batches):
+            flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1)]
+            found, n = np.unique(flat[0].astype(np.int64) << 32 | flat[1], return_counts=True)
             keys.append(found)
             counts.append(n)
             held += len(found)
-            if held > 1 << 21:
+            if held > 1 << 20:
                 merge()
         merge()
         if len(keys[0]):
@@ -309,10 +326,10 @@ def scored(links: DataFrame, counts: DataFrame, max_pairs: int = MAX_PAIRS) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, best = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             of = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            flat = [of(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b")]
-            at = np.searchsorted(key, flat[0] << 32 | flat[1])
+            flat = [of(c).flatten().to_numpy(zero_copy_only=False) for c in ("link_a", "link_b")]
+            at = np.searchsorted(key, flat[0].astype(np.int64) << 32 | flat[1])
             ends = np.cumsum(of("link_a").value_lengths().to_numpy(zero_copy_only=False))
             made = []
             for values in (np.ones(len(at), np.int64), best[at], n[at]):
