@@ -1,4 +1,5 @@
 """Cleaning of transcripts and records. Every job is an expression over a row's text: no shuffle, whatever the corpus.
+Collapsing loops (C2) is the one that Arrow batches go through; the others are built-in functions.
 
 Patterns and vocabularies are parameters (rule tables of bounded size); the defaults are those of Chinese meeting records.
 """
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions import loops
 from parley.functions.text import CJK, CONFIRM, chars_of, counted, once
 
 # Characters that exist in simplified Chinese only.
@@ -46,12 +48,6 @@ UNFILLED = r"[（(](?:機關及科別|機關科別|民國年|年|月|日|星期|
 FIELD_LINES = [r"^(?:時間|地點|主持人|出席人員|紀\s*錄|散會)\s*[:：]", r"(?:紀錄|彙整表)\s*$"]
 
 SENTENCE_END = r"(?<=[。！？!?\n])"
-# The separators of loops, and how often a unit of one character, or of 2-20, must be repeated.
-SEPARATORS = r"[、，,。\s]*"
-LOOP_SINGLE = rf"(?U)([^\s、，,。])({SEPARATORS}\1)(?:{SEPARATORS}\1){{6,}}"
-LOOP_MULTI = rf"(?U)(\S{{2,20}}?)({SEPARATORS}\1)(?:{SEPARATORS}\1){{2,}}"
-#: A noncharacter that stands behind each collapsed loop until it is counted.
-MARK = "\uffff"
 
 
 def stripped(text: Column) -> Column:
@@ -97,20 +93,11 @@ def remove_boilerplate(docs: DataFrame, patterns: list[str] | None = None, ignor
     return out.withColumn("text", stripped(F.when(F.col("boilerplate_removed") > 0, squeezed).otherwise(F.col("text"))))
 
 
-def _looped(text: Column, pattern: str) -> Column:
-    """(text, n): loops of the pattern collapsed and counted in one pass over the text; a text that has the mark itself
-    takes two."""
-    bare = lambda m: F.replace(m, F.lit(MARK), F.lit(""))
-    one_pass = once(F.regexp_replace(text, pattern, "$1$2" + MARK), lambda m: F.struct(bare(m).alias("text"), (F.length(m) - F.length(bare(m))).alias("n")))
-    two_passes = F.struct(F.regexp_replace(text, pattern, "$1$2").alias("text"), counted(text, pattern).alias("n"))
-    return F.when(text.contains(MARK), two_passes).otherwise(one_pass)
-
-
 def collapse_loops(docs: DataFrame) -> DataFrame:
     """One character eight times or more, or 2-20 characters four times or more, with light separators at most, become
-    two, with the first separator; adds ``loops_collapsed``. Single characters go first."""
-    out = docs.withColumn("single", _looped(F.col("text"), LOOP_SINGLE)).withColumn("multi", _looped(F.col("single.text"), LOOP_MULTI))
-    return out.withColumn("text", F.col("multi.text")).withColumn("loops_collapsed", F.col("single.n") + F.col("multi.n")).drop("single", "multi")
+    two, with the first separator; adds ``loops_collapsed``. Single characters go first. A null text stays null."""
+    out = docs.withColumn("loops", loops.collapsed("text"))
+    return out.withColumn("text", F.col("loops.text")).withColumn("loops_collapsed", F.col("loops.n")).drop("loops")
 
 
 def dedup_consecutive_sentences(docs: DataFrame, min_len: int = 4, ends: str = SENTENCE_END) -> DataFrame:
