@@ -11,6 +11,10 @@ from parley.sources.store import shared_path
 from parley.streaming import progress
 
 
+#: Milliseconds; tasks are remembered beyond the closing row.
+HOUR, YEARS = 3_600_000, 10 * 365 * 86_400_000
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its file or files."""
     kinds = fr.table(spark, sf_dir, "events").schema
@@ -78,6 +82,25 @@ def x4_idle_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(run(progress.activity_sessions(events, "6 hours", "40 days")).where("task_id IS NOT NULL"), "first_ts", "idle_at")
 
 
+#: A task's events in runs without a gap of six hours, these cut after eight.
+_LIMITS = f"""WITH RECURSIVE {fr.TASKS}, l AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM task_events),
+i AS (SELECT task_id, seq, ts, sum(new) OVER (PARTITION BY task_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS n FROM l),
+s AS (SELECT task_id, n, min(ts) AS first_ts FROM i GROUP BY 1, 2 UNION ALL SELECT s.task_id, s.n, min(i.ts) FROM s JOIN i ON i.task_id = s.task_id AND i.n = s.n AND i.ts >= s.first_ts + INTERVAL 8 HOUR GROUP BY 1, 2),
+r AS (SELECT i.task_id, i.n, i.ts, max(s.first_ts) AS first_ts FROM i JOIN s ON s.task_id = i.task_id AND s.n = i.n AND s.first_ts <= i.ts GROUP BY i.task_id, i.n, i.ts, i.seq)
+SELECT task_id, first_ts, least(max(ts) + INTERVAL 6 HOUR, first_ts + INTERVAL 8 HOUR) AS ended_at, CASE WHEN first_ts + INTERVAL 8 HOUR < max(ts) + INTERVAL 6 HOUR THEN 'total' ELSE 'idle' END AS reason, count(*) AS events FROM r GROUP BY task_id, n, first_ts"""
+
+
+@query(_LIMITS)
+def x4_task_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(progress.task_limits(fr.task_events(spark, sf_dir), 6 * HOUR, 8 * HOUR), "first_ts", "ended_at")
+
+
+@query(_LIMITS)
+def x4_task_limits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = closed(task_stream(spark, sf_dir).select("task_id", "seq", "ts"), fr.task_events(spark, sf_dir))
+    return plain(run(progress.task_limits_stream(events, 6 * HOUR, 8 * HOUR, "40 days")), "first_ts", "ended_at")
+
+
 @query(f"WITH {fr.TASKS} SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, status, count(*) AS events, round(avg(progress), 6) AS mean_progress FROM task_events GROUP BY 1, 2")
 def x5_status_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(run(progress.status_throughput(task_stream(spark, sf_dir).select("ts", "status", "progress"), delay="40 days"), "update", ["window_start", "status"]), "window_start")
@@ -109,9 +132,11 @@ def x7_stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fr.TASKS}, d AS (SELECT task_id, seq, status, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0 AS seconds FROM task_events WINDOW w AS (PARTITION BY task_id ORDER BY ts, seq)) SELECT * FROM d WHERE seconds IS NOT NULL")
 def x7_stage_durations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(progress.stage_durations_stream(task_stream(spark, sf_dir), delay="40 days"))
+    events = closed(task_stream(spark, sf_dir).select("task_id", "seq", "ts", "status"), fr.task_events(spark, sf_dir))
+    return run(progress.stage_durations_stream(events, keep_ms=YEARS, delay="40 days"))
 
 
-@query(f"WITH {fr.TASKS} SELECT task_id, seq, progress, max(progress) OVER (PARTITION BY task_id ORDER BY seq) AS shown FROM task_events")
+@query(f"WITH {fr.TASKS} SELECT task_id, seq, progress, max(progress) OVER (PARTITION BY task_id ORDER BY ts, seq) AS shown FROM task_events")
 def x8_monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(progress.monotone_progress_stream(task_stream(spark, sf_dir), delay="40 days"))
+    events = closed(task_stream(spark, sf_dir).select("task_id", "seq", "ts", "progress"), fr.task_events(spark, sf_dir))
+    return run(progress.monotone_progress_stream(events, keep_ms=YEARS, delay="40 days"))
