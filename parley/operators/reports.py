@@ -78,6 +78,38 @@ def queue_report(tasks: DataFrame, concurrency: int = 1, minutes: int = 5, full_
     return placed.select(*keys, "task_id", "created_at", "position", wait.cast("long").alias("wait_seconds"), (F.col("of") >= full_at).alias("queue_full"))
 
 
+#: Statuses of tasks at work.
+AT_WORK = ("transcribing", "summarizing", "processing")
+
+
+def queue_states(events: DataFrame, times: list[str]) -> DataFrame:
+    """A6, as of: (as_of, task_id, status, since): each task's last status before each of a few times. events (task_id, seq, ts,
+    status). One shuffle by task, whatever the number of times; a task without an event before a time has no row."""
+    last = [F.max_by(F.when(F.col("ts") < F.lit(t).cast("timestamp"), F.struct("status", "ts")), F.when(F.col("ts") < F.lit(t).cast("timestamp"), F.struct("ts", "seq"))) for t in times]
+    each = events.groupBy("task_id").agg(F.array(*[F.struct(F.lit(t).cast("timestamp").alias("as_of"), x.alias("last")) for t, x in zip(times, last, strict=True)]).alias("states"))
+    found = each.select("task_id", F.explode("states").alias("s")).where("s.last is not null")
+    return found.select("s.as_of", "task_id", "s.last.status", F.col("s.last.ts").alias("since"))
+
+
+def queue_counts(states: DataFrame) -> DataFrame:
+    """(as_of, status, tasks), and all tasks of a time under a null status."""
+    counts = states.groupBy("as_of", "status").agg(F.count("*").alias("tasks"))
+    return counts.unionByName(counts.groupBy("as_of").agg(F.lit(None).cast("string").alias("status"), F.sum("tasks").alias("tasks")))
+
+
+def queue_status(states: DataFrame, concurrency: int = 1, minutes: int = 5, full_at: int = 50, queued: str = "queued", at_work: tuple[str, ...] = AT_WORK) -> DataFrame:
+    """Per time how many tasks wait and are at work, what the next one would wait, and whether the queue is full."""
+    n = F.count_if(F.col("status") == queued)
+    wait = F.greatest(F.lit(0), n + 1 - concurrency) * minutes * 60
+    return states.groupBy("as_of").agg(n.alias("total_queued"), F.count_if(F.col("status").isin(*at_work)).alias("processing_count"), wait.cast("long").alias("estimated_wait_seconds"), (n >= full_at).alias("queue_full"))
+
+
+def queue_places(states: DataFrame, concurrency: int = 1, minutes: int = 5, full_at: int = 50, queued: str = "queued") -> DataFrame:
+    """Of each time's waiting tasks the place and the expected wait, first come first."""
+    waiting = states.where(F.col("status") == queued).select("as_of", "task_id", F.col("since").alias("created_at"))
+    return queue_report(waiting, concurrency, minutes, full_at, "as_of")
+
+
 def batch_run_report(results: DataFrame) -> DataFrame:
     """Results (run, ok, seconds, audio_seconds, chars_in, chars_out): per run counts, total time, speed, compression.
     A result without output counts as failed."""
@@ -101,3 +133,33 @@ def throughput_report(calls: DataFrame, alarm: float = 5.0) -> DataFrame:
         F.count_if(rate < alarm).alias("slow_calls"),
         F.round(F.max("load_ns") / 1e9, 4).alias("max_load_seconds"),
     )
+
+
+def real_time_factors(calls: DataFrame) -> DataFrame:
+    """Adds ``real_time_factor``: elapsed_ms by duration_ms; null without a duration above 0."""
+    return calls.withColumn("real_time_factor", F.when(F.col("duration_ms") > 0, F.round(F.col("elapsed_ms") / F.col("duration_ms"), 4)))
+
+
+def real_time_report(calls: DataFrame) -> DataFrame:
+    """Per provider and in all (null): calls with a duration, hours of audio, and the factor over all their time."""
+    timed = real_time_factors(calls).where("real_time_factor is not null")
+    totals = timed.groupBy("provider").agg(F.count("*").alias("calls"), F.sum("elapsed_ms").alias("elapsed"), F.sum("duration_ms").alias("duration"), F.max("real_time_factor").alias("worst"))
+    # The few providers' sums are rolled up, not the calls.
+    rolled = totals.rollup("provider").agg(*(F.sum(c).alias(c) for c in ("calls", "elapsed", "duration")), F.max("worst").alias("worst_factor"), F.grouping("provider").alias("all"))
+    return rolled.select(F.col("provider"), (F.col("all") == 1).alias("all_providers"), "calls", F.round(F.col("duration") / 3_600_000, 4).alias("audio_hours"), F.round(F.col("elapsed") / F.col("duration"), 4).alias("real_time_factor"), "worst_factor")
+
+
+#: Size of a quantile sketch: its ranks are right within 0.7 % (99 of 100 times, at 400).
+SKETCH_SIZE = 400
+
+
+def call_sketches(calls: DataFrame, value: Column, *keys: str) -> DataFrame:
+    """(keys, calls, sketch): a mergeable sketch of a value, of bounded size, per group; to be kept and merged later."""
+    return calls.select(*keys, value.cast("double").alias("value")).where("value is not null").groupBy(*keys).agg(F.count("*").alias("calls"), F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.95), by: str = "provider") -> DataFrame:
+    """Sketches merged per ``by`` and over all (null, all_<by>): calls, and an array of the values at ``ranks``."""
+    each = sketches.groupBy(by).agg(F.sum("calls").alias("calls"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    rolled = each.rollup(by).agg(F.sum("calls").alias("calls"), F.kll_merge_agg_double("sketch").alias("sketch"), F.grouping(by).alias("all"))
+    return rolled.select(by, (F.col("all") == 1).alias(f"all_{by}s"), "calls", F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(r)) for r in ranks]).alias("percentiles"))

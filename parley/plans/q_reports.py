@@ -96,3 +96,63 @@ SELECT provider, count(*) AS calls, round(sum(eval_count) / (sum(eval_ns) / 1e9)
 def a8_throughput_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = fr.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("provider"), F.col("l_quantity").alias("eval_count"), (F.round("l_extendedprice", 0) * 1_000_000).alias("eval_ns"), (F.round(F.col("l_discount") * 100, 0) * 10_000_000).alias("load_ns"))
     return reports.throughput_report(calls, alarm=1.0)
+
+
+#: Times as of which the queue is looked at.
+TIMES = ["2024-01-05 00:00:00", "2024-01-12 06:30:00", "2024-01-20 12:00:00"]
+_STATES = f"""{fr.TASKS}, t(as_of) AS (VALUES {", ".join(f"(TIMESTAMP '{t}')" for t in TIMES)}),
+states AS (SELECT as_of, task_id, arg_max(status, (ts, seq)) AS status, max(ts) AS since FROM task_events JOIN t ON ts < as_of GROUP BY 1, 2)"""
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.queue_states(fr.task_events(spark, sf_dir), TIMES)
+
+
+def without_zone(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query(f"WITH {_STATES} SELECT as_of, status, count(*) AS tasks FROM states GROUP BY GROUPING SETS ((as_of, status), (as_of))")
+def a6_queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_zone(reports.queue_counts(states(spark, sf_dir)), "as_of")
+
+
+@query(f"WITH {_STATES}, n AS (SELECT as_of, count(*) FILTER (WHERE status = 'queued') AS q, count(*) FILTER (WHERE status IN ('transcribing', 'summarizing')) AS w FROM states GROUP BY 1) SELECT as_of, q AS total_queued, w AS processing_count, CAST(greatest(0, q + 1 - 3) * 300 AS BIGINT) AS estimated_wait_seconds, q >= 50 AS queue_full FROM n")
+def a6_queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_zone(reports.queue_status(states(spark, sf_dir), concurrency=3), "as_of")
+
+
+@query(f"""WITH {_STATES}, n AS (SELECT as_of, task_id, since AS created_at, row_number() OVER (PARTITION BY as_of ORDER BY since, task_id) AS p, count(*) OVER (PARTITION BY as_of) AS n FROM states WHERE status = 'queued')
+SELECT as_of, task_id, created_at, CAST(p AS INT) AS position, CAST(greatest(0, p - 3) * 300 AS BIGINT) AS wait_seconds, n >= 50 AS queue_full FROM n""")
+def a6_queue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_zone(reports.queue_places(states(spark, sf_dir), concurrency=3), "as_of", "created_at")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as calls: a minute of audio a unit, some without any."""
+    audio = F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_quantity") * 60_000).cast("long")
+    return fr.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("provider"), F.col("l_shipdate").alias("day"), F.round("l_extendedprice", 0).cast("long").alias("elapsed_ms"), audio.alias("duration_ms"))
+
+
+_CALLS = "c AS (SELECT l_returnflag AS provider, CAST(round(l_extendedprice, 0) AS BIGINT) AS e, CAST(l_quantity * 60000 AS BIGINT) AS d FROM lineitem WHERE l_linenumber <> 7)"
+
+
+@query(f"""WITH {_CALLS} SELECT provider, grouping(provider) = 1 AS all_providers, count(*) AS calls, round(sum(d) / 3600000.0, 4) AS audio_hours, round(CAST(sum(e) AS DOUBLE) / sum(d), 4) AS real_time_factor, max(round(CAST(e AS DOUBLE) / d, 4)) AS worst_factor FROM c GROUP BY ROLLUP (provider)""")
+def a8_real_time_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.real_time_report(calls(spark, sf_dir))
+
+
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per provider and day, merged."""
+    return reports.sketch_percentiles(reports.call_sketches(calls(spark, sf_dir), F.try_divide(F.col("elapsed_ms"), F.col("duration_ms")), "provider", "day"))
+
+
+@query(f"WITH {_CALLS} SELECT provider, grouping(provider) = 1 AS all_providers, count(*) AS calls, true AS median_within, true AS p95_within FROM c GROUP BY ROLLUP (provider)")
+def a8_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the merged sketches' values have ranks within 0.02 of those asked for, counted over all calls."""
+    found = percentiles(spark, sf_dir)
+    factor = F.col("elapsed_ms") / F.col("duration_ms")
+    rated = calls(spark, sf_dir).where("duration_ms > 0").select(F.explode(F.array(F.struct("provider", F.lit(False).alias("all_providers")), F.struct(F.lit(None).cast("string").alias("provider"), F.lit(True).alias("all_providers")))).alias("k"), factor.alias("f"))
+    own = (F.col("k.all_providers") == F.col("all_providers")) & F.col("k.provider").eqNullSafe(F.col("provider"))
+    near = lambda i, r: (F.avg((F.col("f") < F.get("percentiles", F.lit(i))).cast("double")) <= r + 0.02) & (F.avg((F.col("f") <= F.get("percentiles", F.lit(i))).cast("double")) >= r - 0.02)
+    return rated.join(found, own).groupBy("provider", "all_providers", "calls").agg(near(0, 0.5).alias("median_within"), near(1, 0.95).alias("p95_within"))
