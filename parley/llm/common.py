@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,18 @@ def partitions_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
     return max(usual, min(-(-size // bytes_each), 1_000_000))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """While it lasts, queries that run send Arrow batches of fewer rows: for rows that hold long lists or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def unique_column(df: DataFrame, stem: str) -> str:
     """A column name that the frame doesn't have yet."""
     taken, name = {c.lower() for c in df.columns}, stem

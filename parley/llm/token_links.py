@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import CUT, ByteLevel, pieces_allow
-from .common import steps, written
+from .common import small_batches, steps, written
 
 MAX_PAIRS = 2_000_000
 #: Bytes of text that are aligned together; a longer text is a step of its own.
@@ -340,6 +340,7 @@ def scored(links: DataFrame, counts: DataFrame, max_pairs: int = MAX_PAIRS) -> D
 
 
 def report(docs: DataFrame, a: str | None = None, b: str | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    links = written(aligned(docs, a, b), "token-links")
-    counts = written(pair_counts(links), "token-link-counts")
-    return scored(links, counts, max_pairs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    with small_batches(docs.sparkSession):
+        links = written(aligned(docs, a, b), "token-links")
+        counts = written(pair_counts(links), "token-link-counts")
+        return written(scored(links, counts, max_pairs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "token-links-report")
