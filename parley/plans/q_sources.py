@@ -132,6 +132,26 @@ def s8_write_transcript_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.append_store(results, stored(spark, sf_dir)[1])
 
 
+def laid_out(spark: SparkSession, sf_dir: str) -> str:
+    """The store of ``stored`` as a table of buckets, appended in two batches, the second of them twice."""
+    path, kept = store.shared_path(spark, "store"), stored(spark, sf_dir)[1]
+    half = F.substring("hash", 2, 1) < "8"
+    store.append_batch(kept.where(half), path, "1")
+    for _ in range(2):
+        store.append_batch(kept, path, "2")
+    return path
+
+
+@query(f"WITH {_STORE} SELECT hash, signature, bool_or(labelled) AS labelled, min(transcript) AS transcript, substr(hash, 1, 2) AS bucket, CASE WHEN substr(hash, 2, 1) < '8' THEN '1' ELSE '2' END AS batch FROM store GROUP BY 1, 2")
+def s8_append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.open_store(spark, laid_out(spark, sf_dir))
+
+
+@query(f"WITH {_STORE}, k AS (SELECT hash, max(transcript) AS transcript FROM store WHERE signature = '{UNLABELLED}' GROUP BY 1) SELECT hash, file_id, transcript, transcript IS NOT NULL AS hit FROM files LEFT JOIN k USING (hash)")
+def j6_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.lookup(stored(spark, sf_dir)[0], laid_out(spark, sf_dir), UNLABELLED, UNLABELLED)
+
+
 @query("""SELECT lang, '{"lang":"' || lang || '","documents":' || count(*) || ',"chars":' || CAST(sum(n_chars) AS BIGINT) || '}' AS value FROM documents GROUP BY 1""")
 def s9_write_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.shared_path(spark, "report")

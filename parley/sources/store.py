@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import safe_base_name
@@ -60,6 +60,49 @@ def append_store(results: DataFrame, store: DataFrame) -> DataFrame:
     return new.join(store.select("hash", "signature"), ["hash", "signature"], "left_anti")
 
 
+#: How many hexadecimal digits of a hash name its bucket: 16 to that power at most.
+BUCKET_DIGITS = 2
+STORED = "hash string, signature string, labelled boolean, transcript string"
+
+
+def bucket_of(value: Column) -> Column:
+    return F.substring(value, 1, BUCKET_DIGITS)
+
+
+def create_store(spark: SparkSession, path: str) -> None:
+    """An empty store at ``path``, or nothing where one is."""
+    spark.createDataFrame([], f"{STORED}, bucket string, batch string").write.mode("ignore").partitionBy("bucket", "batch").parquet(path)
+
+
+def open_store(spark: SparkSession, path: str, buckets: list[str] | None = None) -> DataFrame:
+    """The store's rows with their bucket and batch; of some buckets, only these folders are read."""
+    rows = spark.read.schema(f"{STORED}, bucket string, batch string").parquet(path)
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+
+def buckets_of(hashed: DataFrame) -> list[str]:
+    """The buckets that the hashes fall in: 256 names at most."""
+    return sorted(r[0] for r in hashed.where(F.col("hash").rlike(HASH)).select(bucket_of(F.col("hash"))).distinct().collect())
+
+
+def append_batch(results: DataFrame, path: str, batch: str) -> None:
+    """Adds what the store lacks of ``results`` (hash, signature, labelled, transcript) as files of their own.
+
+    A batch's files lie in bucket=../batch=.. and no other batch's are touched. The same batch again, after a failure or
+    by mistake, replaces its own files by the same rows, as it is compared with the other batches only."""
+    spark = results.sparkSession
+    create_store(spark, path)
+    others = open_store(spark, path, buckets_of(results)).where(F.col("batch") != batch)
+    new = append_store(results, others).withColumn("bucket", bucket_of(F.col("hash"))).withColumn("batch", F.lit(batch))
+    # Each bucket's rows in one task: a file a bucket.
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def lookup(files: DataFrame, path: str, signature: str, unlabelled: str) -> DataFrame:
+    """J6 on a laid-out store: as ``split_cached``, reading only the buckets of the files' hashes."""
+    return split_cached(files, open_store(files.sparkSession, path, buckets_of(files)), signature, unlabelled)
+
+
 def write_validation_report(report: DataFrame, path: str) -> None:
     """One JSON line per row."""
     report.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
