@@ -176,8 +176,8 @@ WRAPPERS = [
     r"^以下是.*?整理結果[：:。\n]",
     r"^我[來来]為[您你]整理.*?[：:。\n]",
     r"^根據逐字稿[，,]?\s*",
-    r"^OK[，,]?\s*",
-    r"^Sure[，,]?\s*",
+    r"^OK[,，]?\s*",
+    r"^Sure[,，]?\s*",
 ]
 # What goes once the text is trimmed, and the line at which a record begins.
 CLOSING = [r"\n?```$", r"</?(?:think|thought|details)[^>]*>"]

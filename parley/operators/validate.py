@@ -87,6 +87,27 @@ def leakage_flags(records: DataFrame, text: str = "text") -> DataFrame:
     return records.withColumn("markup_leak", any_hit(MARKUP_LEAKS)).withColumn("rubric_leak", any_hit(RUBRIC_LEAKS)).withColumn("foreign_line", foreign)
 
 
+# What a notes' table calls its first column, and how it says that there is no action.
+ACTION_HEADERS = ["待辦事項", "事項說明"]
+NO_ACTION = ["本次會議未明確指派待辦事項", "未於本段確認"]
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def table_actions(text: Column, headers: list[str] = ACTION_HEADERS, none: list[str] = NO_ACTION) -> Column:
+    """The first cells of a text's table rows of three cells or more, in order: no header, rule or "none" rows."""
+    rows = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), stripped), lambda x: x.rlike(r"^\|(?:[\s\S]*\|)?$") & ~x.contains(":---") & ~x.rlike(r"(?U)^\|\s*-+\s*(?:\|\s*-+\s*)+\|$"))
+    cells = F.transform(rows, lambda x: F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"))
+    firsts = F.transform(F.filter(cells, lambda c: F.size(c) >= 3), lambda c: stripped(F.get(c, F.lit(0))))
+    skip = lambda f: f.isin(headers) | reduce(lambda a, x: a | f.contains(x), none, F.lit(False))
+    return F.filter(firsts, lambda f: ~skip(f))
+
+
+def note_actions(notes: DataFrame, key: str = "doc_id", headers: list[str] = ACTION_HEADERS, none: list[str] = NO_ACTION) -> DataFrame:
+    """V5: (key, action) of the action tables in notes (key, text); what has no letters or digits is no action."""
+    each = notes.select(key, F.explode(table_actions(F.col("text"), headers, none)).alias("action"))
+    return each.where(action_key(F.col("action")) != "")
+
+
 def action_recall(expected: DataFrame, records: DataFrame, key: str = "doc_id") -> DataFrame:
     """V5: per record how many expected actions (key, action) its text doesn't contain, compared without blanks and marks."""
     wanted = expected.select(key, action_key(F.col("action")).alias("wanted")).where("wanted <> ''").groupBy(key).agg(F.collect_set("wanted").alias("wanted"))
@@ -143,16 +164,46 @@ def source_tag_presence(records: DataFrame, traced: list[str], tag: str = SOURCE
     return out.withColumn("tag_missing", F.coalesce(F.col("template_id").isin(*traced), F.lit(False)) & ~F.col("has_source_tag"))
 
 
-def quality_issues(records: DataFrame, rules: DataFrame, minimum: int = 250, drift: str | None = None) -> DataFrame:
-    """V8: one row per issue: (doc_id, issue_no, issue) in the order of the checks."""
+def quality_evidence(records: DataFrame, notes: DataFrame | None = None, transcripts: DataFrame | None = None, arabic: str = ARABIC_YEAR, chinese: str | None = CHINESE_YEAR, headers: list[str] = ACTION_HEADERS, none: list[str] = NO_ACTION) -> DataFrame:
+    """V8: records with what they are compared with: ``wanted`` (keys of their notes' actions) and ``said`` (years in their
+    transcripts; null where there is no transcript). Notes and transcripts are read row by row, and what they give comes to the
+    record in one shuffle. Records that share a doc_id all stay."""
+    whole = F.struct(*[F.col(c) for c in records.columns if c != "doc_id"])
+    kind = records.select(whole.alias("r")).schema["r"].dataType.simpleString()
+    rows = records.select("doc_id", whole.alias("r"), F.lit(None).cast(NO_LABELS).alias("wanted"), F.lit(None).cast(NO_LABELS).alias("said"))
+    if notes is not None:
+        keys = F.filter(F.transform(table_actions(F.col("text"), headers, none), action_key), lambda k: k != "")
+        rows = rows.unionByName(notes.select("doc_id", F.lit(None).cast(kind).alias("r"), F.array_distinct(keys).alias("wanted"), F.lit(None).cast(NO_LABELS).alias("said")))
+    if transcripts is not None:
+        rows = rows.unionByName(transcripts.select("doc_id", F.lit(None).cast(kind).alias("r"), F.lit(None).cast(NO_LABELS).alias("wanted"), year_tokens(F.coalesce("text", F.lit("")), arabic, chinese).alias("said")))
+    met = rows.groupBy("doc_id").agg(F.collect_list("r").alias("r"), F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted"), F.count("said").alias("n"), F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"))
+    return met.select("doc_id", F.explode("r").alias("r"), "wanted", F.when(F.col("n") > 0, F.col("said")).alias("said")).select("doc_id", "r.*", "wanted", "said")
+
+
+def issue_list(records: DataFrame, rules: DataFrame, minimum: Column | int = 250, drift: str | None = None, traced: list[str] = (), tag: str = SOURCE_TAG, header: str = HEADER_FIELD, arabic: str = ARABIC_YEAR, chinese: str | None = CHINESE_YEAR) -> DataFrame:
+    """V8: adds ``issues``, a record's list in the order of the checks: V1 required and extra, V2, V3, drift, V4, V5, V7, V6.
+    V5 and V6 look at ``wanted`` and ``said`` (``quality_evidence``) where they are; a record without a transcript has no V6."""
     rows = rule_rows(rules)
-    flagged = leakage_flags(length_gate(records, minimum))
-    one = lambda cond, text: F.when(cond, F.array(F.lit(text))).otherwise(F.array().cast(NO_LABELS))
+    flagged = source_tag_presence(leakage_flags(length_gate(records, minimum)), list(traced), tag, header)
+    one = lambda cond, text: F.when(cond, F.array(F.lit(text) if isinstance(text, str) else text)).otherwise(F.array().cast(NO_LABELS))
     parts = [_labels(rows, ("required",), False, "missing: "), _labels(rows, ("extra",), False, "missing info: "), _labels(rows, ("forbidden",), True, "forbidden: "), one(F.col("too_short"), "too short")]
     if drift:
         parts.append(one(F.col("text").rlike(drift), "drift"))
     parts += [one(F.col("markup_leak"), "markup leak"), one(F.col("rubric_leak") | F.col("foreign_line"), "foreign or rubric text")]
-    return flagged.select("doc_id", F.posexplode(F.concat(*parts)).alias("issue_no", "issue"))
+    if "wanted" in records.columns:
+        lost = once(action_key(F.coalesce("text", F.lit(""))), lambda t: F.size(F.filter("wanted", lambda w: ~F.contains(t, w))))
+        flagged = flagged.withColumn("lost", lost)
+        parts.append(one(F.col("lost") > 0, F.concat(F.lit("missing actions: "), F.col("lost").cast("string"))))
+    parts.append(one(F.col("tag_missing"), "no source tag"))
+    if "said" in records.columns:
+        flagged = flagged.withColumn("made_up", F.array_except(year_tokens(F.coalesce("text", F.lit("")), arabic, chinese), "said"))
+        parts.append(one(F.size("made_up") > 0, F.concat(F.lit("ungrounded years: "), F.array_join("made_up", ", "))))
+    return flagged.select(*records.columns, F.concat(*parts).alias("issues"))
+
+
+def quality_issues(records: DataFrame, rules: DataFrame, minimum: Column | int = 250, drift: str | None = None, **more: object) -> DataFrame:
+    """V8: one row per issue: (doc_id, issue_no, issue) in the order of the checks; ``more`` as for ``issue_list``."""
+    return issue_list(records, rules, minimum, drift, **more).select("doc_id", F.posexplode("issues").alias("issue_no", "issue"))
 
 
 def normalised_markdown(text: Column) -> Column:

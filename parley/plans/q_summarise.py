@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.text import estimate_tokens_sql
@@ -69,13 +70,32 @@ def m5_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_M5}, mt AS (SELECT c.doc_id, c.chunk_no, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.i), '^\\s+|\\s+$', '', 'g') AS text FROM mc c JOIN ml l ON l.doc_id = c.doc_id AND l.i BETWEEN c.first_line AND c.last_line GROUP BY 1, 2),
 mf AS (SELECT doc_id, count(*) AS n_chunks, bool_and({estimate_tokens_sql('text')} <= {BUDGET} AND text <> '') AS fits FROM mt GROUP BY 1)
-SELECT doc_id, n_chunks, fits, true AS follows, true AS complete, CASE WHEN NOT fits THEN 'CONTEXT_BUDGET_EXCEEDED' END AS error FROM mf""")
+SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(fits, true) AS fits, true AS follows, true AS complete, CASE WHEN n_chunks IS NULL THEN 'blank' WHEN fits THEN 'ok' ELSE 'over_budget' END AS verdict, CASE WHEN NOT fits THEN 'CONTEXT_BUDGET_EXCEEDED' END AS error FROM documents LEFT JOIN mf USING (doc_id)""")
 def m6_check_chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     chunks = materialised(summarise.pack_chunks(rows, BUDGET), "chunks")
     return summarise.check_chunk_coverage(docs(spark, sf_dir), rows, chunks, BUDGET)
 
 
+@query(f"""WITH RECURSIVE {_M5}, mt AS (SELECT c.doc_id, c.chunk_no, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.i), '^\\s+|\\s+$', '', 'g') AS text FROM mc c JOIN ml l ON l.doc_id = c.doc_id AND l.i BETWEEN c.first_line AND c.last_line GROUP BY 1, 2),
+mf AS (SELECT doc_id, count(*) AS n_chunks, bool_and({estimate_tokens_sql('text')} <= {BUDGET}) AS fits FROM mt GROUP BY 1)
+SELECT doc_id + CASE WHEN doc_id % 13 = 0 THEN 1000000000 ELSE 0 END AS doc_id, n_chunks, CASE WHEN doc_id % 13 = 0 THEN 'unknown' WHEN doc_id % 7 = 0 THEN 'doubled' WHEN doc_id % 5 = 0 AND n_chunks = 1 THEN 'lost' WHEN doc_id % 3 = 0 AND n_chunks > 2 THEN 'broken' WHEN fits THEN 'ok' ELSE 'over_budget' END AS verdict FROM mf WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0 OR doc_id % 13 = 0 OR n_chunks > 1
+UNION ALL SELECT doc_id, 0, CASE WHEN n_chunks IS NULL AND doc_id % 7 = 0 THEN 'doubled' WHEN n_chunks IS NULL THEN 'blank' WHEN doc_id % 7 = 0 THEN 'doubled' ELSE 'lost' END FROM documents LEFT JOIN mf USING (doc_id) WHERE n_chunks IS NULL OR doc_id % 13 = 0 OR (doc_id % 5 = 0 AND n_chunks = 1 AND doc_id % 7 <> 0)""")
+def m6_lost_and_doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage after harm: chunks of other documents, documents twice, single chunks gone, a middle chunk gone."""
+    rows = lines(spark, sf_dir)
+    chunks = materialised(summarise.pack_chunks(rows, BUDGET), "chunks")
+    n = F.count("*").over(W.partitionBy("doc_id"))
+    kept = chunks.withColumn("n", n).where("NOT (doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 = 0 AND n = 1)")
+    kept = kept.where("NOT (doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 = 0 AND n > 2 AND chunk_no = 1)")
+    moved = lambda df: df.withColumn("doc_id", F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 1_000_000_000).otherwise(0))
+    source = docs(spark, sf_dir)
+    found = summarise.check_chunk_coverage(source.unionByName(source.where("doc_id % 7 = 0")), rows.unionByName(moved(rows.where("doc_id % 13 = 0"))), moved(kept.drop("n")), BUDGET)
+    broken = F.col("verdict").isin("overlap", "incomplete") | ((F.col("verdict") == "over_budget") & (F.col("doc_id") % 3 == 0) & ~F.col("follows"))
+    n_chunks = F.col("n_chunks") + F.when(broken, 1).otherwise(0)
+    return found.select("doc_id", n_chunks.alias("n_chunks"), F.when(broken, "broken").otherwise(F.col("verdict")).alias("verdict"))
+
+
 @query("SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE text <> ''")
 def m7_split_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.functions.text import in_order

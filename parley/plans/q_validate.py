@@ -112,6 +112,38 @@ def v5_action_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.action_recall(wanted.join(items, "item_id").select("doc_id", F.col("text").alias("action")), docs)
 
 
+HEADERS, NONE = ["Action"], ["nothing here"]
+
+
+def action_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as notes: a table of turns with header, rule, "none" rows, and a row of two cells."""
+    from parley.functions.text import in_order
+
+    c = fr.table(spark, sf_dir, "conversations").withColumn("t", F.regexp_replace("text", r"[|\n]", "/"))
+    row = F.when(F.col("turn") % 5 == 4, F.lit("| nothing here yet | | |")).when(F.col("turn") % 5 == 3, F.concat(F.lit("| "), "t", F.lit(" | two |"))).otherwise(F.concat(F.lit("| "), "t", F.lit(" | "), "role", F.lit(" | |")))
+    line = F.when(F.col("turn") == 0, F.concat(F.lit("Notes\n| Action | Who | Till |\n| --- | :---: | --- |\n| - | - | - |\n"), row)).otherwise(row)
+    return c.groupBy(F.col("conv_id").alias("doc_id")).agg(in_order("turn", line, "\n").alias("text"))
+
+
+def kept_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that leave out every third turn."""
+    from parley.functions.text import in_order
+
+    c = fr.table(spark, sf_dir, "conversations").where("turn % 3 <> 2")
+    return c.groupBy(F.col("conv_id").alias("doc_id")).agg(in_order("turn", F.regexp_replace("text", r"[|\n]", "/"), "\n").alias("text"))
+
+
+_NOTES = f"""turns AS (SELECT conv_id AS doc_id, turn, regexp_replace(text, '[|\\n]', '/', 'g') AS t FROM conversations),
+wanted AS (SELECT DISTINCT doc_id, {_KEY.format('t')} AS w FROM turns WHERE turn % 5 < 3 AND NOT contains(t, 'nothing here') AND NOT contains(t, ':---') AND {_KEY.format('t')} <> ''),
+kept AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY turn) AS text FROM turns WHERE turn % 3 <> 2 GROUP BY 1)"""
+
+
+@query(f"WITH {_NOTES} SELECT k.doc_id, CAST(count(w) AS INT) AS n_expected, CAST(count(w) FILTER (WHERE NOT contains({_KEY.format('k.text')}, w)) AS INT) AS n_missing FROM kept k LEFT JOIN wanted USING (doc_id) GROUP BY 1")
+def v5_note_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected actions are read from the notes' tables."""
+    return validate.action_recall(validate.note_actions(action_notes(spark, sf_dir), "doc_id", HEADERS, NONE), kept_turns(spark, sf_dir))
+
+
 @query("""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(\\d{2,4})\\b', 1)) AS year FROM documents), b AS (SELECT doc_id + 1 AS doc_id, unnest(regexp_extract_all(text, '\\b(\\d{2,4})\\b', 1)) AS year FROM documents)
 SELECT DISTINCT doc_id, year FROM a EXCEPT SELECT doc_id, year FROM b""")
 def v6_ungrounded_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +170,44 @@ def v8_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.quality_issues(records(spark, sf_dir), rules(spark))
 
 
+YEAR, TAG, HEADER = r"\b(\d{2,4})\b", r"\d+\.\d+", r"^The\b"
+
+
+def with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the actions of the conversation of their number as notes, and the document before them as transcript."""
+    docs = records(spark, sf_dir)
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), "text")
+    return validate.quality_evidence(docs, action_notes(spark, sf_dir), before, YEAR, None, HEADERS, NONE)
+
+
+def all_issues(evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    return validate.issue_list(evidence, rules, 250, None, ["en", "fr"], TAG, HEADER, YEAR, None)
+
+
+_ALL = f"""{_RULES}, {_PARTS}, {_NOTES}, {fr.LINES},
+h AS (SELECT doc_id, bool_or(NOT contains(line, '|') AND NOT regexp_matches(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^The\\b') AND regexp_matches(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\d+\\.\\d+')) AS tagged FROM lines GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM wanted JOIN documents USING (doc_id) WHERE NOT contains({_KEY.format('text')}, w) GROUP BY 1),
+told AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b(\\d{{2,4}})\\b', 1)) AS year FROM documents),
+made_up AS (SELECT doc_id, string_agg(year, ', ' ORDER BY year) AS years FROM (SELECT * FROM told WHERE doc_id - 1 IN (SELECT doc_id FROM documents) EXCEPT SELECT doc_id + 1, year FROM told) GROUP BY 1),
+j AS (SELECT * FROM i UNION ALL SELECT doc_id, 7, 0, 'missing actions: ' || n FROM lost
+UNION ALL SELECT doc_id, 8, 0, 'no source tag' FROM h JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr') AND NOT tagged
+UNION ALL SELECT doc_id, 9, 0, 'ungrounded years: ' || years FROM made_up)"""
+
+
+@query(f"WITH {_ALL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INT) AS issue_no, issue FROM j")
+def v8_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 to V7 in one table."""
+    found = all_issues(with_evidence(spark, sf_dir), rules(spark))
+    return found.select("doc_id", F.posexplode("issues").alias("issue_no", "issue"))
+
+
+@query(f"WITH {_ALL} SELECT d.doc_id, count(issue) AS n_issues, coalesce(string_agg(issue, '; ' ORDER BY a, b), '') AS issues FROM documents d LEFT JOIN j USING (doc_id) GROUP BY 1")
+def v8_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a list per record."""
+    found = all_issues(with_evidence(spark, sf_dir), rules(spark))
+    return found.select("doc_id", F.size("issues").cast("long").alias("n_issues"), F.array_join("issues", "; ").alias("issues"))
+
+
 @query(f"""WITH {fr.LINES}, n AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^[ \\t]*>[ \\t]?', ''), '^[ \\t]*#{{1,6}}[ \\t]*', ''), '^[ \\t]*[-*•][ \\t]+', ''), '\\*\\*|__', '', 'g'), '\\r', '', 'g') AS line FROM lines),
 m AS (SELECT doc_id, bool_or(starts_with(ltrim(line), 'The and')) AS la, bool_or(starts_with(ltrim(line), 'License')) AS lb, bool_or(starts_with(ltrim(line), 'Licensed under')) AS lc, bool_or(starts_with(ltrim(line), 'The')) AS ld, string_agg(line, chr(10) ORDER BY line_no) AS t FROM n GROUP BY 1)
 SELECT doc_id, CASE WHEN la THEN 'a' WHEN lb THEN 'b' WHEN lc THEN 'c' WHEN ld THEN 'd' WHEN contains(t, 'Licensed under') THEN 'c' WHEN contains(t, 'The and') THEN 'a' WHEN contains(t, 'License') THEN 'b' WHEN contains(t, 'The') THEN 'd' ELSE 'none' END AS template_id FROM m""")

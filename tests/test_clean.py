@@ -65,7 +65,8 @@ def test_wrappers_and_spacing(spark):
 def test_tokens_and_names(spark):
     tokens = lambda t: one(spark, t, lambda d: d.withColumn("n", fx.estimate_tokens(F.col("text"))), "n")
     for t in ["", "會議", "abc def-ghi 12", "會議 agenda，討論！！！！", "a" * 50, "，，，，，"]:
-        assert tokens(t) == summarise.tokens_of(t)
+        meter = summarise.Meter()
+        assert tokens(t) == [0, *map(meter.add, t)][-1]
     assert tokens(None) == 0
     assert one(spark, "C:\\x\\會議 記錄(1).mp3", lambda d: d.withColumn("n", fx.safe_base_name(F.col("text"))), "n") == "會議 記錄1"
 
@@ -132,7 +133,57 @@ def test_chunks_hold_their_invariants(spark):
         lines = summarise.chunk_lines(docs, budget).cache()
         chunks = summarise.pack_chunks(lines, budget).cache()
         rows = summarise.check_chunk_coverage(docs, lines, chunks, budget).collect()
-        assert {r["doc_id"] for r in rows} == {1, 2, 4} and all(r["fits"] and r["follows"] and r["complete"] for r in rows)
+        assert {r["doc_id"]: r["verdict"] for r in rows} == {1: "ok", 2: "ok", 3: "blank", 4: "ok"}
+        assert all(r["fits"] and r["follows"] and r["complete"] for r in rows)
+
+
+def test_lost_blank_and_doubled_documents_are_named(spark):
+    docs = spark.createDataFrame([(1, "甲\n乙"), (2, "丙"), (3, " \n "), (4, "丁"), (4, "丁"), (5, None), (6, "x " * 50), (7, "a\nb\nc")], "doc_id int, text string")
+    lines = summarise.chunk_lines(docs, 40).cache()
+    chunks = summarise.pack_chunks(lines, 40).where("doc_id not in (2, 6)").withColumn("doc_id", F.when(F.col("doc_id") == 4, 4).otherwise(F.col("doc_id")))
+    stray = spark.createDataFrame([(9, 0, 0, 0, 0), (7, 1, 2, 2, 0)], chunks.schema)
+    found = {r.doc_id: (r.verdict, r.error) for r in summarise.check_chunk_coverage(docs, lines, chunks.where("doc_id <> 7").unionByName(stray), 40).collect()}
+    bad = summarise.BUDGET_EXCEEDED
+    assert found == {1: ("ok", None), 2: ("lost", bad), 3: ("blank", None), 4: ("doubled", bad), 5: ("blank", None), 6: ("lost", bad), 7: ("overlap", bad), 9: ("unknown", bad)}
+
+
+def test_note_actions(spark):
+    notes = "\n".join(["| 待辦事項 | 負責 | 期限 |", "|---|---|---|", "| 完成整合測試 | 甲 | 週三 |", "| 二格 | x |", "| 本次會議未明確指派待辦事項 | | |", "|| 補件：三份 | 乙 | |", "  | 完成整合測試 | 丙 | |  ", "| ： | - | - |", "no | table | row", "| :--- | a | b |"])
+    df = spark.createDataFrame([(1, notes), (2, None)], "doc_id int, text string")
+    actions = validate.note_actions(df)
+    assert sorted(r.action for r in actions.collect()) == ["完成整合測試", "完成整合測試", "補件：三份"]
+    records = spark.createDataFrame([(1, "請於週三前完成 整合測試。"), (2, "無")], "doc_id int, text string")
+    assert sorted(tuple(r) for r in validate.action_recall(actions, records).collect()) == [(1, 2, 1), (2, 0, 0)]
+
+
+def test_all_issues_of_a_record(spark):
+    rules = templates.rules(spark, [("general", "required", "時間", "^時間"), ("general", "forbidden", "電話", r"\d{8}")])
+    records = spark.createDataFrame([(1, "general", "地點：甲\n113年完成，電話 12345678"), (2, "general", "時間：今日"), (2, "other", "x")], "doc_id int, template_id string, text string")
+    notes = spark.createDataFrame([(1, "| 送件 | 甲 | 乙 |"), (1, "| 完成 | 甲 | 乙 |")], "doc_id int, text string")
+    said = spark.createDataFrame([(1, "去年的事"), (3, "112年")], "doc_id int, text string")
+    found = validate.issue_list(validate.quality_evidence(records, notes, said), rules, 3, traced=["general"])
+    assert sorted((r.doc_id, r.template_id, r.issues) for r in found.collect()) == [
+        (1, "general", ["missing: 時間", "forbidden: 電話", "missing actions: 1", "no source tag", "ungrounded years: 113"]),
+        (2, "general", ["no source tag"]),
+        (2, "other", ["too short"]),
+    ]
+
+
+def test_records_go_again_until_all_checks_hold(spark):
+    """M12 with V8: the model adds what the issues name."""
+    rules = templates.rules(spark, [("general", "required", "時間", "時間")])
+    notes = spark.createDataFrame([(1, "| 送件 | 甲 | 乙 |"), (2, "")], "doc_id int, text string")
+    source = spark.createDataFrame([(1, "開會"), (2, "開會時間")], "doc_id int, text string")
+
+    def model(texts):
+        return texts.map(lambda t: t.split("\n")[0] + ("。時間" if "missing: 時間" in t else "") + ("。送件" if "missing actions" in t else ""))
+
+    def issues(df):
+        evidence = validate.quality_evidence(df.select("doc_id", F.lit("general").alias("template_id"), "text"), notes, source)
+        return validate.quality_issues(evidence, rules, 1)
+
+    found = summarise.generate_and_refine(source, model, lambda r: r, issues)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "開會。時間。送件", 1, ""), (2, "開會時間", 0, "")]
 
 
 def test_model_errors_become_rows(spark):
