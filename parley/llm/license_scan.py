@@ -2,10 +2,15 @@
 
 Texts are cut into sentences; a sentence is normalised (A-Z lower-cased, other runs than letters, digits and non-ASCII to
 one space, which takes comment marks and list signs away) and mapped to the identifier of a known licence sentence. Each
-line's part is tried by itself, and the parts of a sentence that is wrapped over lines as one, from its first line and from
-each of its last MAX_LINES lines, as a line without a full stop may stand right before it; a notice (``open``) also where more
-words follow it in its sentence. The identifiers found in a text, in its order, form a sequence; a licence rule
-is an ordered list of identifiers, which the sequence must contain in that order, with other known sentences allowed between.
+line's part is tried by itself, and the parts of a sentence that is wrapped over lines as one: from each line on from which
+to the sentence's end there are as many words as a known sentence has, as a line without a full stop may stand right before
+it. A notice (``open``) is also found where more words follow it in its sentence. Names behind an SPDX marker count on the
+marker's own line: all of an expression with OR and AND, not the exception behind WITH. The identifiers found in a text, in its
+order, form a sequence; a licence rule is an ordered list of identifiers, which the sequence must contain in that order, with
+other known sentences allowed between. A rule's identifiers are taken before those of rules that are a part of it, which
+then need identifiers of their own; rules of WEAK kinds hold only where no other does.
+
+Texts that lack all of a few words, of which every known sentence has one, aren't cut at all.
 
 Both tables are bounded (checked), so they are literals in one expression over a row: no shuffle, and rows that share a
 doc_id never mix.
@@ -72,21 +77,35 @@ SENTENCES = [
     (48, "Licensed under CC BY-ND 4.0", True),
     (49, "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", False),
     (50, "SPDX-License-Identifier:", False),
-    (51, "MIT", False),
-    (52, "Apache-2.0", False),
-    (53, "GPL-2.0-only", False),
-    (54, "GPL-2.0-or-later", False),
-    (55, "GPL-3.0-only", False),
-    (56, "GPL-3.0-or-later", False),
-    (57, "BSD-2-Clause", False),
-    (58, "BSD-3-Clause", False),
-    (59, "MPL-2.0", False),
-    (60, "CC0-1.0", False),
-    (61, "ISC", False),
-    (62, "LGPL-2.1-or-later", False),
-    (63, "AGPL-3.0-or-later", False),
     (64, "All rights reserved.", True),
 ]
+# Names of licences behind the SPDX marker (identifier, name), those of the short form in the last lines.
+NAMES = [
+    (51, "MIT"),
+    (52, "Apache-2.0"),
+    (53, "GPL-2.0-only"),
+    (54, "GPL-2.0-or-later"),
+    (55, "GPL-3.0-only"),
+    (56, "GPL-3.0-or-later"),
+    (57, "BSD-2-Clause"),
+    (58, "BSD-3-Clause"),
+    (59, "MPL-2.0"),
+    (60, "CC0-1.0"),
+    (61, "ISC"),
+    (62, "LGPL-2.1-or-later"),
+    (63, "AGPL-3.0-or-later"),
+    (65, "Zlib"),
+    (66, "BSL-1.0"),
+    (67, "Unlicense"),
+    (68, "CC-BY-4.0"),
+    (69, "CC-BY-SA-4.0"),
+    (53, "GPL-2.0"),
+    (54, "GPL-2.0+"),
+    (55, "GPL-3.0"),
+    (56, "GPL-3.0+"),
+    (62, "LGPL-2.1+"),
+    (63, "AGPL-3.0+"),
+]
 # Fixed values: (rule, licence, kind, identifiers in order).
 RULES = [
     ("mit-notice", "MIT", "permissive", [1]),
@@ -130,12 +149,18 @@ RULES = [
     ("bsd2-text", "BSD-2-Clause", "permissive", [12, 13, 14]),
     ("bsd2-text-whole", "BSD-2-Clause", "permissive", [12, 13, 14, 34]),
     ("bsd3-text", "BSD-3-Clause", "permissive", [12, 13, 14, 15]),
+    ("bsd3-text-whole", "BSD-3-Clause", "permissive", [12, 13, 14, 15, 34]),
     ("bsd2-spdx", "BSD-2-Clause", "permissive", [50, 57]),
     ("bsd3-spdx", "BSD-3-Clause", "permissive", [50, 58]),
     ("isc-text", "ISC", "permissive", [16]),
     ("isc-text-whole", "ISC", "permissive", [16, 35]),
     ("isc-spdx", "ISC", "permissive", [50, 61]),
     ("zlib-text", "Zlib", "permissive", [37, 38]),
+    ("zlib-spdx", "Zlib", "permissive", [50, 65]),
+    ("boost-spdx", "BSL-1.0", "permissive", [50, 66]),
+    ("unlicense-spdx", "Unlicense", "public-domain", [50, 67]),
+    ("cc-by-spdx", "CC-BY-4.0", "permissive", [50, 68]),
+    ("cc-by-sa-spdx", "CC-BY-SA-4.0", "copyleft", [50, 69]),
     ("boost-notice", "BSL-1.0", "permissive", [40]),
     ("boost-text", "BSL-1.0", "permissive", [39]),
     ("unlicense-text", "Unlicense", "public-domain", [17]),
@@ -150,8 +175,13 @@ SENTENCE_END = r"[.!?:][ \t\r\n]*$"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: A caller's tables may have so many rows; they become literals of one expression.
 MAX_SENTENCES, MAX_RULES = 20_000, 5_000
-#: A sentence that doesn't begin with its run of lines has so many lines at most.
-MAX_LINES = 24
+#: Kinds of rules that say nothing beside another licence.
+WEAK = ("all-rights-reserved",)
+#: A text is looked for so many words before it is cut; tables that need more do without.
+MAX_GATE = 48
+#: The marker's part, cut behind its colon; a name is looked up under this sign, which no sentence has.
+MARKER, MARKER_END, NAME = "spdx license identifier", r":[ \t]$", "spdx:"
+NAME_SPLIT, NO_NAME = r"[^a-z0-9.+-]+", ("", "or", "and")
 FOUND = "array<struct<place:int,id:int>>"
 
 
@@ -182,31 +212,58 @@ def _bounded(table: DataFrame, most: int, what: str) -> list:
     return sorted(rows)
 
 
-def candidates(text: Column) -> Column:
-    """(place, sentence normalised) of a text's parts and of its sentences that go over several parts."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), PART_END, "$0\x01")
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    parts = F.transform(F.split(marked, "\x01"), lambda x: F.struct(normalised(x).alias("sentence"), x.rlike(SENTENCE_END).alias("ends")))
+def gate_words(sentences: list[str]) -> list[str]:
+    """A few words of which each sentence has one: again and again the one that most of the rest have."""
+    left, words = [set(x.split(" ")) for x in sentences], []
+    while left:
+        counts: dict[str, int] = {}
+        for ws in left:
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+        words.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        left = [ws for ws in left if words[-1] not in ws]
+    return words
 
-    def wrapped(p: Column) -> Column:
-        apart = lambda i: F.get(p, i - 1)["ends"] | (F.get(p, i - 1)["sentence"] == "") | (F.get(p, i)["sentence"] == "")
-        first = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | apart(i))
-        said = lambda a, b: F.array_join(F.transform(F.slice(p, a + 1, b - a), lambda x: x["sentence"]), " ")
 
-        def joined(f: Column) -> Column:
-            ends = lambda k: F.coalesce(F.get(f, k + 1), F.size(p))
-            runs = F.filter(F.transform(f, lambda a, k: F.struct(a.alias("a"), ends(k).alias("b"))), lambda z: z["b"] - z["a"] > 1)
-            starts = lambda z: F.array_distinct(F.concat(F.array(z["a"]), F.sequence(F.greatest(z["a"], z["b"] - MAX_LINES), z["b"] - 2)))
-            return F.flatten(F.transform(runs, lambda z: F.transform(starts(z), lambda i: F.struct(i.alias("place"), said(i, z["b"]).alias("sentence")))))
+def parts_of(text: Column) -> Column:
+    """Of each part of a text: its sentence normalised, how many words that has, whether a sentence ends with it, and itself."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), PART_END, "$0\x01")
+    return F.transform(F.transform(F.split(marked, "\x01"), lambda x: F.struct(normalised(x).alias("sentence"), x.alias("raw"))), lambda x: F.struct(x["sentence"].alias("sentence"), F.when(x["sentence"] == "", 0).otherwise(F.size(F.split(x["sentence"], " "))).alias("n"), x["raw"].rlike(SENTENCE_END).alias("ends"), x["raw"].alias("raw")))
+
 
-        alone = F.transform(p, lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
-        return F.filter(F.concat(alone, let(first, joined)), lambda x: x["sentence"] != "")
+def candidates(p: Column, lengths: list[int], first_words: list[str], open_words: int) -> tuple[Column, Column]:
+    """(place, sentence normalised) of parts (``parts_of``): those that a known sentence may be, and those that a notice may begin.
 
-    return let(parts, wrapped)
+    ``lengths``: how many words known sentences have; ``first_words``, ``open_words``: how notices begin, and words of the longest."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    of = lambda i: F.get(p, i)
+    apart = lambda i: of(i - 1)["ends"] | (of(i - 1)["n"] == 0) | (of(i)["n"] == 0)
+    first = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | apart(i))
+    said = lambda a, b: F.array_join(F.transform(F.slice(p, a + 1, b - a), lambda x: x["sentence"]), " ")
+    ends = lambda f, k: F.coalesce(F.get(f, k + 1), F.size(p))
+    runs = let(first, lambda f: F.filter(F.transform(f, lambda a, k: F.struct(a.alias("a"), ends(f, k).alias("b"))), lambda z: z["b"] - z["a"] > 1))
+    words = lambda a, b: F.aggregate(F.slice(p, a + 1, b - a), F.lit(0), lambda n, x: n + x["n"])
+    # Each line of a run has a word at least.
+    near = lambda z: F.sequence(F.greatest(z["a"], z["b"] - max(lengths)), z["b"] - 2)
+    starts = lambda z: F.filter(near(z), lambda i: words(i, z["b"]).isin(lengths))
+    wrapped = F.flatten(F.transform(runs, lambda z: F.transform(F.when(z["b"] - max(lengths) <= z["b"] - 2, starts(z)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("place"), said(i, z["b"]).alias("sentence")))))
+    alone = F.transform(p, lambda x, i: F.struct(i.alias("place"), x["sentence"].alias("sentence")))
+    # Names behind a marker on its line; what stands behind WITH is an exception.
+    marked = lambda i: (i > 0) & (of(i - 1)["sentence"] == MARKER) & of(i - 1)["raw"].rlike(MARKER_END)
+    tokens = lambda x: F.filter(F.split(F.translate(x["raw"], UPPER, LOWER), NAME_SPLIT), lambda t: ~t.isin(*NO_NAME))
+    names = lambda ts, i: F.transform(F.filter(ts, lambda t, j: (t != "with") & ((j == 0) | (F.get(ts, j - 1) != "with"))), lambda t: F.struct(i.alias("place"), F.concat(F.lit(NAME), t).alias("sentence")))
+    named = F.flatten(F.transform(p, lambda x, i: F.when(F.coalesce(marked(i), F.lit(False)), let(tokens(x), lambda ts: names(ts, i))).otherwise(F.array().cast("array<struct<place:int,sentence:string>>"))))
+    begins = lambda i: F.substring_index(of(i)["sentence"], " ", 1).isin(first_words)
+    opening = lambda z: F.transform(F.filter(F.sequence(z["a"], z["b"] - 2), begins), lambda i: F.struct(i.alias("place"), said(i, F.least(z["b"], i + open_words + 1)).alias("sentence")))
+    openings = F.concat(alone, F.flatten(F.transform(runs, opening))) if first_words else F.array().cast("array<struct<place:int,sentence:string>>")
+    return F.concat(F.filter(F.concat(alone, wrapped), lambda x: x["sentence"] != ""), named), openings
 
 
 def sentence_ids(text: Column, sentences: list) -> Column:
     """The identifiers of a text's known sentences, in its order. sentences: rows (sentence_id, sentence normalised, open)."""
+    nothing = F.array().cast("array<int>")
+    if not sentences:
+        return F.transform(F.array().cast(FOUND), lambda x: x["id"])
     exact: dict[str, list[int]] = {}
     for i, s, _ in sentences:
         exact.setdefault(s, []).append(i)
@@ -214,6 +271,9 @@ def sentence_ids(text: Column, sentences: list) -> Column:
     for i, s, more in sentences:
         if more:
             notices.setdefault(len(s), {}).setdefault(s, []).append(i)
+    plain = [s for s in exact if not s.startswith(NAME)]
+    opens = [s for _, s, more in sentences if more]
+    lengths = sorted({len(s.split(" ")) for s in plain} or {0})
 
     def of(place: Column, sentence: Column, known: dict[str, list[int]]) -> Column:
         # Most sentences are known to no one: a hash lookup sets them aside before the map is searched.
@@ -221,39 +281,71 @@ def sentence_ids(text: Column, sentences: list) -> Column:
         each = F.transform(F.split(ids[sentence], ","), lambda i: F.struct(place.alias("place"), i.cast("int").alias("id")))
         return F.when(sentence.isin(sorted(known)), each).otherwise(F.array().cast(FOUND))
 
-    def found(x: Column) -> Column:
-        hits = [of(x["place"], x["sentence"], exact)]
-        for n, known in sorted(notices.items()):
-            more = F.substring(x["sentence"], n + 1, 1) == " "
-            hits.append(F.when(more, of(x["place"], F.left(x["sentence"], F.lit(n)), known)).otherwise(F.array().cast(FOUND)))
+    def begun(x: Column) -> Column:
+        hits = [F.when(F.substring(x["sentence"], n + 1, 1) == " ", of(x["place"], F.left(x["sentence"], F.lit(n)), known)).otherwise(F.array().cast(FOUND)) for n, known in sorted(notices.items())]
         return F.concat(*hits)
 
-    all_found = F.flatten(F.transform(candidates(text), found)) if sentences else F.array().cast(FOUND)
-    return F.transform(F.array_sort(F.array_distinct(all_found)), lambda x: x["id"])
+    def found(p: Column) -> Column:
+        whole, openings = candidates(p, lengths, sorted({s.split(" ")[0] for s in opens}), max((len(s.split(" ")) for s in opens), default=0))
+        hits = F.flatten(F.transform(whole, lambda x: of(x["place"], x["sentence"], exact)))
+        if opens:
+            hits = F.concat(hits, F.flatten(F.transform(openings, begun)))
+        return F.transform(F.array_sort(F.array_distinct(hits)), lambda x: x["id"])
 
+    ids = F.get(F.transform(F.array(parts_of(text)), found), F.lit(0))
+    gate = gate_words([*plain, *([MARKER] if len(plain) < len(exact) else [])])
+    if len(gate) > MAX_GATE:
+        return ids
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    open_gate = F.get(F.transform(F.array(lower), lambda t: F.greatest(*[F.contains(t, F.lit(w)) for w in gate], F.lit(False))), F.lit(0))
+    return F.when(open_gate, ids).otherwise(nothing)
 
-def scan(docs: DataFrame, sentences: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
+
+def is_part(short: list[int], long: list[int]) -> bool:
+    """Whether one list is in another, in its order, and shorter."""
+    rest = iter(long)
+    return len(short) < len(long) and all(x in rest for x in short)
+
+
+def taken_before(rows: list) -> list[tuple]:
+    """(rule, the longer rules that it is a part of, longest first) of each of some rules."""
+    return [(r, sorted((x for x in rows if is_part(r["ids"], x["ids"])), key=lambda x: (-len(x["ids"]), x["rule"]))) for r in rows]
+
+
+def scan(docs: DataFrame, sentences: DataFrame | None = None, rule_table: DataFrame | None = None, names: list[tuple[int, str]] | None = None, weak: tuple[str, ...] = WEAK) -> DataFrame:
     """``docs`` (text and others) with licence_ids, licences, licence_kinds and licence_rules: arrays, all but the first sorted."""
     spark = docs.sparkSession
     table = known_sentences(spark) if sentences is None else sentences
     known = _bounded(table.select("sentence_id", longest_part(F.col("sentence")).alias("s"), "open").where("s <> ''"), MAX_SENTENCES, "sentences")
+    known = [*known, *((i, NAME + n.lower(), False) for i, n in (NAMES if names is None else names))]
     rows = _bounded((rules(spark) if rule_table is None else rule_table).select("rule", "licence", "kind", "ids").where(F.size("ids") > 0), MAX_RULES, "rules")
     sequence = F.concat(F.lit(","), F.array_join(F.transform("licence_ids", lambda x: x.cast("string")), ",,"), F.lit(","))
+    kind = "array<struct<rule:string,licence:string,kind:string>>"
 
     def hits(s: Column) -> Column:
-        tried = [F.when(s.rlike(pattern(r["ids"])), F.struct(*[F.lit(r[c]).alias(c) for c in ("rule", "licence", "kind")])) for r in rows]
-        return F.array_compact(F.array(*tried)) if tried else F.array().cast("array<struct<rule:string,licence:string,kind:string>>")
+        tried = []
+        for r, longer in taken_before(rows):
+            rest = s
+            for x in longer:
+                rest = F.regexp_replace(rest, pattern(x["ids"]), "".join(f"${i}" for i in range(1, len(x["ids"]))))
+            there = s.rlike(pattern(r["ids"]))
+            tried.append(F.when(there & rest.rlike(pattern(r["ids"])) if longer else there, F.struct(*[F.lit(r[c]).alias(c) for c in ("rule", "licence", "kind")])))
+        return F.array_compact(F.array(*tried)) if tried else F.array().cast(kind)
+
+    def strongest(found: Column) -> Column:
+        strong = F.filter(found, lambda x: ~x["kind"].isin(*weak))
+        return F.when(F.size(strong) > 0, strong).otherwise(found)
 
     found = docs.withColumn("licence_ids", sentence_ids(F.col("text"), known))
-    hit = F.when(F.size("licence_ids") > 0, F.get(F.transform(F.array(sequence), hits), F.lit(0)))
+    hit = F.when(F.size("licence_ids") > 0, F.get(F.transform(F.transform(F.array(sequence), hits), strongest), F.lit(0)))
     found = found.withColumn("licences", hit)
     sorted_of = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x[c]))), F.array().cast("array<string>"))
     return found.withColumn("licence_kinds", sorted_of("kind")).withColumn("licence_rules", sorted_of("rule")).withColumn("licences", sorted_of("licence"))
 
 
 def pattern(ids: list[int]) -> str:
-    """Over the identifiers of a text, each with a comma on both sides."""
-    return "(.*)".join(f",{i}," for i in ids)
+    """Over the identifiers of a text, each with a comma on both sides; what stands between them is kept in groups."""
+    return "(.*?)".join(f",{i}," for i in ids)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -266,23 +358,39 @@ def report(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB."""
     values = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {str(more).lower()})" for i, t, more in SENTENCES)
-    rule_values = ", ".join(f"('{r}', '{n}', '{k}', '{pattern(ids)}')" for r, n, k, ids in RULES)
+    names = ", ".join(f"({i}, '{n.lower()}')" for i, n in NAMES)
     norm = lambda c: f"trim(regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' ')"
     cut = "string_split(regexp_replace(coalesce(text, ''), '[.!?:][ \\t\\r]|\\n', '\\0' || chr(1), 'g'), chr(1))"
+
+    def held(r: dict, longer: list) -> str:
+        rest = "q"
+        for x in longer:
+            rest = f"regexp_replace({rest}, '{pattern(x['ids'])}', '{''.join(chr(92) + str(i) for i in range(1, len(x['ids'])))}', 'g')"
+        return f"SELECT r, '{r['rule']}' AS rule, '{r['licence']}' AS licence, '{r['kind']}' AS kind FROM found WHERE regexp_matches(q, '{pattern(r['ids'])}') AND regexp_matches({rest}, '{pattern(r['ids'])}')"
+
+    rows = [dict(zip(("rule", "licence", "kind", "ids"), r, strict=True)) for r in RULES]
+    held_rules = " UNION ALL ".join(held(r, longer) for r, longer in taken_before(rows))
+    listed = lambda c: f"array_to_string(list_sort(list(DISTINCT {c})), ',')"
+    weak = ", ".join(f"'{k}'" for k in WEAK)
     return rf"""
 WITH pieces AS (SELECT sentence_id, more, unnest(regexp_split_to_array(t, '[.!?:]\s')) AS part FROM (VALUES {values}) v(sentence_id, t, more)),
 known AS (SELECT sentence_id, arg_max({norm("part")}, (length({norm("part")}), {norm("part")})) AS s, any_value(more) AS more FROM pieces GROUP BY 1),
-rules(rule, licence, kind, pattern) AS (VALUES {rule_values}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-parts AS (SELECT r, place, {norm("part")} AS s, regexp_matches(part, '[.!?:][ \t\r\n]*$') AS ends FROM (SELECT r, generate_subscripts({cut}, 1) AS place, unnest({cut}) AS part FROM docs)),
-marked AS (SELECT *, lag(ends, 1, true) OVER w OR lag(s, 1, '') OVER w = '' OR s = '' AS new FROM parts WINDOW w AS (PARTITION BY r ORDER BY place)),
+parts AS (SELECT r, place, part, {norm("part")} AS s, CASE WHEN {norm("part")} = '' THEN 0 ELSE len(string_split({norm("part")}, ' ')) END AS n, regexp_matches(part, '[.!?:][ \t\r\n]*$') AS ends FROM (SELECT r, generate_subscripts({cut}, 1) AS place, unnest({cut}) AS part FROM docs)),
+marked AS (SELECT *, lag(ends, 1, true) OVER w OR lag(s, 1, '') OVER w = '' OR s = '' AS new, lag(s) OVER w = '{MARKER}' AND regexp_matches(lag(part) OVER w, ':[ \t]$') AS named FROM parts WINDOW w AS (PARTITION BY r ORDER BY place)),
 run AS (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY place) AS run FROM marked),
-ends AS (SELECT r, run, min(place) AS a, max(place) AS z FROM run GROUP BY 1, 2 HAVING count(*) > 1),
-starts AS (SELECT r, run, place AS a FROM run JOIN ends USING (r, run) WHERE place = ends.a OR place BETWEEN z - {MAX_LINES - 1} AND z - 1),
-said AS (SELECT r, place, s FROM parts UNION ALL SELECT r, starts.a, string_agg(s, ' ' ORDER BY place) FROM starts JOIN run USING (r, run) WHERE place >= starts.a GROUP BY r, starts.a),
-hit AS (SELECT DISTINCT r, place, sentence_id FROM said JOIN known USING (s) WHERE s <> '' UNION SELECT r, place, sentence_id FROM said JOIN known ON more AND starts_with(said.s, known.s || ' ')),
-found AS (SELECT r, list(sentence_id ORDER BY place, sentence_id) AS ids FROM hit GROUP BY 1),
-hits AS (SELECT f.r, array_to_string(list_sort(list(DISTINCT u.licence)), ',') AS licences, array_to_string(list_sort(list(DISTINCT u.kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT u.rule)), ',') AS rules
-  FROM found f JOIN rules u ON regexp_matches(',' || array_to_string(f.ids, ',,') || ',', u.pattern) GROUP BY 1)
+sized AS (SELECT *, sum(n) OVER (PARTITION BY r, run ORDER BY place DESC) AS upto, max(place) OVER (PARTITION BY r, run) AS z FROM run),
+wrapped AS (SELECT a.r, a.place, string_agg(b.s, ' ' ORDER BY b.place) AS s FROM sized a JOIN sized b ON a.r = b.r AND a.run = b.run AND b.place >= a.place WHERE a.place < a.z AND a.upto IN (SELECT len(string_split(s, ' ')) FROM known) GROUP BY 1, 2),
+opening AS (SELECT a.r, a.place, string_agg(b.s, ' ' ORDER BY b.place) AS s FROM sized a JOIN sized b ON a.r = b.r AND a.run = b.run AND b.place BETWEEN a.place AND a.place + (SELECT max(len(string_split(s, ' '))) FROM known WHERE more)
+  WHERE a.place < a.z AND string_split(a.s, ' ')[1] IN (SELECT string_split(s, ' ')[1] FROM known WHERE more) GROUP BY 1, 2),
+tokens AS (SELECT r, place, unnest(range(len(t))) AS j, unnest(t) AS t FROM (SELECT r, place, list_filter(regexp_split_to_array(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9.+-]+'), lambda x: x NOT IN ('', 'or', 'and')) AS t FROM marked WHERE named)),
+names AS (SELECT r, place, t, lag(t, 1, '') OVER (PARTITION BY r, place ORDER BY j) AS before FROM tokens),
+hit AS (SELECT DISTINCT r, place, sentence_id FROM (SELECT r, place, s FROM parts UNION ALL FROM wrapped) w JOIN known USING (s) WHERE s <> ''
+  UNION SELECT r, place, sentence_id FROM (SELECT r, place, s FROM parts UNION ALL FROM opening) w JOIN known k ON k.more AND starts_with(w.s, k.s || ' ')
+  UNION SELECT r, place, i FROM names JOIN (VALUES {names}) v(i, name) ON t = name WHERE before <> 'with'),
+found AS (SELECT r, list(sentence_id ORDER BY place, sentence_id) AS ids, ',' || array_to_string(list(sentence_id ORDER BY place, sentence_id), ',,') || ',' AS q FROM hit GROUP BY 1),
+held AS ({held_rules}),
+strong AS (SELECT *, bool_or(kind NOT IN ({weak})) OVER (PARTITION BY r) AS others FROM held),
+hits AS (SELECT r, {listed("licence")} AS licences, {listed("kind")} AS kinds, {listed("rule")} AS rules FROM strong WHERE NOT others OR kind NOT IN ({weak}) GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(f.ids, ','), '') AS sentence_ids, coalesce(h.licences, '') AS licences, coalesce(h.kinds, '') AS kinds, coalesce(h.rules, '') AS rules
 FROM docs d LEFT JOIN found f USING (r) LEFT JOIN hits h USING (r)"""

@@ -363,7 +363,9 @@ def test_license_scan_wrapped(spark, mark, end):
     known = {i: t for i, t, _ in license_scan.SENTENCES}
 
     def wrapped(ids, width=70):
-        lines = ["Copyright (c) someone", ""] + [x for i in ids for x in [*textwrap.wrap(known[i], width, break_on_hyphens=False), ""]]
+        names = dict(reversed(license_scan.NAMES))
+        texts = [f"{known[50]} {names[ids[1]]}"] if ids[0] == 50 else [known[i] for i in ids]
+        lines = ["Copyright (c) someone", ""] + [x for t in texts for x in [*textwrap.wrap(t, width, break_on_hyphens=False), ""]]
         return end.join((mark + x).rstrip() for x in lines)
 
     rows = [(n, wrapped(ids)) for n, (_, _, _, ids) in enumerate(license_scan.RULES)]
@@ -373,6 +375,46 @@ def test_license_scan_wrapped(spark, mark, end):
     assert found[100]["rules"] == "mit-notice"
 
 
+def said(spark, texts):
+    rows = license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: (r["licences"], r["rules"]) for r in rows}
+
+
+def test_license_rules_take_their_sentences_before_parts_of_them(spark):
+    known = {i: t for i, t, _ in license_scan.SENTENCES}
+    lines = lambda *ids: "\n".join(known[i] for i in ids)
+    three, two = lines(12, 13, 14, 15, 34), lines(12, 13, 14, 34)
+    reserved = "Copyright (c) 2020, A. All rights reserved.\n\n"
+    found = said(spark, [three, reserved + three, two, three + "\n\n" + two, lines(12, 13, 14, 15), reserved, "All rights reserved. Released under the MIT License.", lines(12, 13, 14, 12, 13, 14, 15)])
+    assert found[0] == found[1] == ("BSD-3-Clause", "bsd3-text-whole")
+    assert found[2] == ("BSD-2-Clause", "bsd2-text-whole")
+    assert found[3] == ("BSD-2-Clause,BSD-3-Clause", "bsd2-text-whole,bsd3-text-whole")
+    assert found[4] == ("BSD-3-Clause", "bsd3-text")
+    assert found[5] == ("proprietary", "reserved-notice")
+    assert found[6] == ("MIT", "mit-notice")
+    assert found[7][0] in ("BSD-2-Clause,BSD-3-Clause", "BSD-3-Clause")
+
+
+def test_license_names_behind_the_marker(spark):
+    mark = "SPDX-License-Identifier:"
+    found = said(spark, [f"// {mark} MIT OR Apache-2.0", f"# {mark} (MIT AND GPL-2.0+)", f"{mark} GPL-2.0-only WITH MIT\nMIT", f"{mark} Apache-2.0 WITH LLVM-exception OR ISC", f"{mark}\nMIT", f"{mark} Nothing-1.0\nMIT", f"/* {mark} bsd-3-clause */ int x;"])
+    assert [found[i][0] for i in range(7)] == ["Apache-2.0,MIT", "GPL-2.0-or-later,MIT", "GPL-2.0-only", "Apache-2.0,ISC", "", "", "BSD-3-Clause"]
+
+
+def test_license_sentences_over_any_number_of_lines(spark):
+    """At one word a line, behind a line that isn't theirs, and a notice at any line of a long run."""
+    known = {i: t for i, t, _ in license_scan.SENTENCES}
+    grant, rest = (known[i].replace(" ", "\n") for i in (2, 3))
+    run = "\n".join(f"line {i} of a list" for i in range(3000))
+    found = said(spark, [f"foo bar\n{grant}\nfoo\n{rest}", f"{run}\nReleased under\nthe MIT License\nand more\n{run}", f"{run}\n{grant}\n{run}\n\n{rest}"])
+    assert found == {0: ("MIT", "mit-text"), 1: ("MIT", "mit-notice"), 2: ("MIT", "mit-text")}
+
+
+def test_license_gate_leaves_no_sentence_out():
+    words = license_scan.gate_words(["a b", "b c", "d", "e d", "f"])
+    assert words == ["b", "d", "f"]
+
+
 def test_license_tables_of_a_caller(spark):
     sentences = spark.createDataFrame([(1, "MIT", False), (2, "Be good!", True), (2, "  ", True)], "sentence_id int, sentence string, open boolean")
     rules = spark.createDataFrame([("r", "good", "k", [2, 1])], "rule string, licence string, kind string, ids array<int>")
