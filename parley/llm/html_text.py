@@ -4,6 +4,10 @@ A tag scanner feeds a tree builder that supplies implied tags (a paragraph ends
 item, a cell at the next cell or row, and so on). What the visibility rules leave is laid out: blocks stand apart, list
 items carry marks and indents, preformatted text keeps its spaces, and the cells of a table are aligned in columns.
 
+Visibility follows the page's style elements, wherever they stand, and style attributes (``styles``): rules for screens, later
+ones and those of more specific selectors win, display and visibility are set both ways. Nothing of an element without
+display shows; of a hidden one what is visible again does.
+
 Defined results: a null or empty page has empty text and title; broken or unclosed tags are closed at the end; a lone "<"
 is text; repeated rows each get a row; an empty table gives no rows; other columns are ignored.
 """
@@ -21,19 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import steps
+from .styles import Element, Sheet
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption td th".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section".split())
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption li dd dt".split())
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?([.#][\w-]+)?")
+#: What an svg element holds that isn't drawn.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
 SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?\s*(\d{1,4})", re.I)
 #: A start tag closes these open elements, but not beyond the given ones.
 IMPLIED = {
@@ -104,16 +108,15 @@ class Page:
     """Builds and lays out one page."""
 
     def __init__(self) -> None:
-        #: Open elements: (name, hidden, what it opened).
-        self.open: list[tuple[str, bool, str]] = []
+        #: Open elements: (name, without display, what it opened, whether its text is hidden, itself for selectors).
+        self.open: list[tuple[str, bool, str, bool, Element | None]] = []
+        self.sheet = Sheet()
         #: How many of each name are open, so that most searches among the open elements needn't begin.
         self.names: Counter[str] = Counter()
         self.flows = [Flow()]
         #: Rows of cells: (text, columns, rows).
         self.tables: list[list[list[tuple[str, int, int]]]] = []
         self.spans: list[tuple[int, int]] = []
-        #: (element or "", class or id or "") that a style element hides.
-        self.hides: set[tuple[str, str]] = set()
         self.lists: list[list] = []
         self.pre = 0
         self.hidden = 0
@@ -140,42 +143,35 @@ class Page:
             return
         if name in BLOCKS:
             self._break(name)
-        if name == "hr" and not self.hidden:
+        if name == "hr" and not self.hidden and not any(self._look(name, attributes)[:2]):
             self.flows[-1].parts.append("---")
             self._break("hr")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             return
-        hidden = name == "head" or bool(attributes) and self._unseen(attributes) or bool(self.hides) and self._ruled_out(name, attributes)
+        hidden, unseen, element = self._look(name, attributes)
         opened = ""
         self.hidden += hidden
         if not self.hidden:
             opened = self._open(name, attributes)
-        self.open.append((name, hidden, opened))
+            if name == "text" and self.names["svg"]:
+                self.flows[-1].end_line()
+        self.open.append((name, hidden, opened, unseen, element))
         self.names[name] += 1
 
-    def _style(self, body: str) -> None:
-        for selectors, rules in RULE.findall(body):
-            if HIDDEN_STYLE.search(rules):
-                for s in selectors.split(","):
-                    if (m := SELECTOR.fullmatch(s.strip())) and m[0]:
-                        self.hides.add(((m[1] or "").lower(), m[2] or ""))
-
-    def _ruled_out(self, name: str, attributes: str) -> bool:
-        marks = [""]
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            marks += ["#" + value] if key == "id" else ["." + c for c in value.split()] if key == "class" else []
-        return any((n, mark) in self.hides for mark in marks for n in (name, ""))
-
-    @staticmethod
-    def _unseen(attributes: str) -> bool:
-        for m in ATTRIBUTE.finditer(attributes):
-            key = m[1].lower()
-            if key == "hidden" and (m[2] or m[3] or m[4] or "").lower() != "until-found" or key == "style" and HIDDEN_STYLE.search(html.unescape(m[2] or m[3] or m[4] or "")):
-                return True
-        return False
-
-    def _since(self, name: str) -> Iterator[tuple[str, bool, str]]:
+    def _look(self, name: str, attributes: str) -> tuple[bool, bool, Element | None]:
+        """(whether the element is without display, whether its text is hidden, the element where there are rules)."""
+        unseen = bool(self.open) and self.open[-1][3]
+        if not attributes and not self.sheet.rules:
+            return name == "head" or name in UNDRAWN and self.names["svg"] > 0, unseen, None
+        given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(attributes)))}
+        element = Element(name, given, next((x[4] for x in reversed(self.open) if x[4]), None)) if self.sheet.rules else None
+        display, visibility = self.sheet.look(element, given)
+        if display is None:
+            display = "hidden" not in given or given["hidden"].lower() == "until-found"
+        undrawn = name == "head" or name in UNDRAWN and self.names["svg"] > 0
+        return undrawn or not display, unseen if visibility is None else not visibility, element
+
+    def _since(self, name: str) -> Iterator[tuple]:
         for x in reversed(self.open):
             if x[0] == name:
                 return
@@ -254,12 +250,14 @@ class Page:
         return False
 
     def _pop(self) -> None:
-        name, hidden, opened = self.open.pop()
+        name, hidden, opened, *_ = self.open.pop()
         self.names[name] -= 1
         if not self.hidden and name in BLOCKS and opened not in ("cell", "table"):
             if opened == "pre":
                 self.flows[-1].end_line(bool("".join(self.flows[-1].parts).strip()))
             self._break(name)
+        if not self.hidden and name == "text" and self.names["svg"]:
+            self.flows[-1].end_line()
         if opened == "pre":
             self.pre -= 1
         elif opened == "list":
@@ -324,11 +322,12 @@ class Page:
     def text(self, data: str) -> None:
         if data.strip(" \t\n\r\f"):
             self._end_head()
-        if not self.hidden and data:
+        if not self.hidden and data and not (self.open and self.open[-1][3]):
             self.flows[-1].add(html.unescape(data) if "&" in data else data, self.pre > 0)
 
     def render(self, source: str) -> str:
         at = 0
+        self.sheet.read_page(source)
         while m := TAG.search(source, at):
             if m.start() > at:
                 self.text(source[at : m.start()])
@@ -346,11 +345,9 @@ class Page:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 body = source[at : close.start()] if close else source[at:]
                 at = close.end() if close else len(source)
-                if name == "title" and not self.title:
+                if name == "title" and not self.title and not self.names["svg"]:
                     self.title = SPACE.sub(" ", html.unescape(body)).strip()
-                elif name == "style":
-                    self._style(body)
-                elif name == "textarea" and not self._unseen(attributes):
+                elif name == "textarea" and not any(self._look(name, attributes)[:2]):
                     self.text(body)
                 continue
             self.start(name, attributes)
