@@ -213,8 +213,12 @@ def _bounded(table: DataFrame, most: int, what: str) -> list:
 
 
 def gate_words(sentences: list[str]) -> list[str]:
-    """A few words of which each sentence has one: again and again the one that most of the rest have."""
-    left, words = [set(x.split(" ")) for x in sentences], []
+    """A few words of which each sentence has one: again and again the one that most of the rest have. Of words, a sentence
+    offers those of six letters or more, or else its longest, as short ones stand in all texts."""
+    left, words = [], []
+    for x in sentences:
+        ws = set(x.split(" "))
+        left.append({w for w in ws if len(w) >= min(6, max(map(len, ws)))})
     while left:
         counts: dict[str, int] = {}
         for ws in left:
