@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -60,6 +61,9 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary")
 
 
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class Runs:
     """Levelled runs of (key, n_docs, top_doc), each a bucketed and sorted table whose files lie in the shared folder."""
 
@@ -69,12 +73,32 @@ class Runs:
         self.usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = buckets or self.usual
         self.levels: list[list[str]] = [[]]
+        self.made: list[str] = []
+
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """While it lasts, scans of runs count on the order of their buckets, of which each is one file: tasks write a bucket
+        each, or some whole ones. So merges sort nothing."""
+        usual = self.spark.conf.get(ORDERED)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(ORDERED, usual)
 
     def _write(self, rows: DataFrame) -> str:
         name, path = f"lines_run_{uuid.uuid4().hex}", new_path(self.spark, "lines-run")
-        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        self.made.append(name)
+        with self._in_order():
+            rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
         return name
 
+    def drop(self) -> None:
+        """Takes the runs' names out of the session's catalog; what was read from them before can still be used."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.made, self.levels = [], [[]]
+
     def _read(self, name: str, tag: str = "") -> DataFrame:
         table = self.spark.table(name)
         return table.withColumnsRenamed({"n_docs": f"n_docs{tag}", "top_doc": f"top_doc{tag}"})
@@ -127,9 +151,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     lines = written(line_keys(docs, min_chars), "lines")
     batches = batches or max(3, -(-lines.count() // batch_keys))
     runs = Runs(spark, fan_in, partitions_for(lines))
-    for b in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    return lines, written(runs.repeated(min_docs), "lines-hot")
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        return lines, written(runs.repeated(min_docs), "lines-hot")
+    finally:
+        runs.drop()
 
 
 def _rebuilt(rows: DataFrame, min_chars: int, away: Callable[[], Callable[[int | None, list | None], object]]) -> DataFrame:
