@@ -12,7 +12,7 @@ afresh beyond. This is so for the normaliser and the split of PLAIN; with a toke
 whole.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id all stay and
-are laid in the order of their texts; an empty table gives no rows; other columns are ignored.
+are laid in the order of their texts' hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, steps, written
+from .common import new_path, partitions_for, steps, written
 
 KEEP = 500_000
 # The normaliser and the split that chunks may be taken by.
@@ -120,8 +120,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, row
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    # The sort is by length and hash of equal doc_ids' texts, so the files are the same on every run.
-    ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
+    # Texts of equal (or no) doc_ids go by their hash and length: no range has all of them, and files are the same on every run.
+    order = [F.col("doc_id"), F.xxhash64("text"), F.length("text")]
+    n = partitions_for(docs)
+    many = n > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (docs.repartitionByRange(n, *order) if many else docs.repartitionByRange(*order)).sortWithinPartitions(*order)
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "compression": "zstd", "parquet.page.write-checksum.enabled": "true"}
     ordered.mapInArrow(encode, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(out)
 
