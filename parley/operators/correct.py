@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.folds import fold_rows, numbered
+from parley.functions.automaton import contains_any
 from parley.functions.text import CJK, in_order
 from parley.operators.clean import stripped
 
@@ -70,13 +71,19 @@ def any_of(forms: list[str]) -> str:
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
-def needs_correction(segments: DataFrame, pairs: DataFrame, max_alternatives: int = MAX_ALTERNATIVES) -> DataFrame:
-    """K2: segments in which a known wrong form occurs. Few forms are one pattern in the scan; more are joined by the
-    substrings of their lengths, without a pairing of all segments with all forms."""
+#: Forms of so many characters in all are sent to the workers as an automaton.
+MAX_AUTOMATON = 2_000_000
+
+
+def needs_correction(segments: DataFrame, pairs: DataFrame, max_alternatives: int = MAX_ALTERNATIVES, max_automaton: int = MAX_AUTOMATON) -> DataFrame:
+    """K2: segments in which a known wrong form occurs. Few forms are one pattern in the scan; more are an automaton that each
+    text is run through once; a table too large for that is joined with the substrings of its forms' lengths."""
     forms = pairs.where("wrong <> ''").select("wrong").distinct()
     few = forms.limit(max_alternatives + 1).collect()
     if len(few) <= max_alternatives:
         return segments.where(F.col("text").rlike(any_of([r["wrong"] for r in few]))) if few else segments.where(F.lit(False))
+    if forms.agg(F.sum(F.length("wrong"))).first()[0] <= max_automaton:
+        return segments.where(contains_any(segments.sparkSession, [r["wrong"] for r in forms.collect()])(F.col("text")))
     lengths = sorted(r["n"] for r in forms.select(F.length("wrong").alias("n")).distinct().collect())  # a few whole numbers
     grams = segments.select("doc_id", "seg_no", "text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.length("text") >= F.col("n"))
     grams = grams.select("doc_id", "seg_no", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("wrong"))

@@ -11,6 +11,7 @@ from parley.plans import frames as fr
 from parley.plans import q_sources, templates
 from parley.plans.registry import query
 from parley.sources import readers
+from parley.sources.store import materialised
 
 #: (template, kind, label, pattern), safe for both regular-expression dialects.
 RULES = [
@@ -94,6 +95,10 @@ _KEY = "lower(regexp_replace({}, '[\\s:：,，。；;（）()「」『』【】\
 _GRAMS = "SELECT {k}, array_to_string(w[g : g + 7], ' ') AS gram, {t} FROM (SELECT *, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS g FROM (SELECT *, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM {s}) WHERE len(w) >= 8)"
 
 
+#: Up to so many grams of passages (two numbers each) are sent to the tasks; the documents' grams then stay where they are.
+MOST_GRAMS = 1_000_000
+
+
 def grams(df: DataFrame, key: str, *more: str) -> DataFrame:
     """(key, gram): the runs of eight Latin words of each text, by hash."""
     words = F.split(F.lower("text"), "[^a-z0-9]+")
@@ -108,7 +113,10 @@ def v5_action_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected of a document: the benchmark passages with which it shares eight words in a row."""
     items = fr.table(spark, sf_dir, "benchmark").select("item_id", "text")
     docs = records(spark, sf_dir)
-    wanted = grams(docs, "doc_id").join(grams(items, "item_id"), "gram").select("doc_id", "item_id").distinct()
+    few = materialised(grams(items, "item_id"), "item-grams")
+    if few.count() <= MOST_GRAMS:
+        few = F.broadcast(few)
+    wanted = grams(docs, "doc_id").join(few, "gram").select("doc_id", "item_id").distinct()
     return validate.action_recall(wanted.join(items, "item_id").select("doc_id", F.col("text").alias("action")), docs)
 
 

@@ -122,8 +122,22 @@ def test_homophones_and_gate(spark):
 def test_many_wrong_forms_are_joined(spark):
     segments = spark.createDataFrame([(1, 0, "甲乙丙"), (1, 1, "丁"), (2, 0, "戊己")], "doc_id int, seg_no int, text string")
     pairs = spark.createDataFrame([("乙丙", "x"), ("己", "x"), ("庚", "x")], "wrong string, right string")
-    for limit in (2000, 1):
-        assert sorted((r[0], r[1]) for r in correct.needs_correction(segments, pairs, limit).collect()) == [(1, 0), (2, 0)]
+    for limits in ((2000, 0), (1, 100), (1, 0)):
+        assert sorted((r[0], r[1]) for r in correct.needs_correction(segments, pairs, *limits).collect()) == [(1, 0), (2, 0)]
+
+
+def test_fifty_thousand_forms(spark):
+    """An automaton, against the pattern of the same forms; nothing is exploded."""
+    segments = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.lit(0).alias("seg_no"), "text").unionByName(spark.createDataFrame([(-1, 0, None), (-2, 0, "")], "doc_id long, seg_no int, text string"))
+    words = sorted({w for r in segments.where("doc_id >= 0").collect() for w in r.text.split()})
+    wrong = words[::97] + [f"no such form {i}" for i in range(50_000)]
+    pairs = spark.createDataFrame([(w, "x") for w in wrong], "wrong string, right string")
+    found = correct.needs_correction(segments, pairs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    assert "Generate" not in plan
+    by_pattern = correct.needs_correction(segments, pairs.where("wrong not like 'no such%'"))
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in by_pattern.collect()) != []
 
 
 def test_chunks_hold_their_invariants(spark):
