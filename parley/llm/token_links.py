@@ -33,7 +33,7 @@ from .chunks import CUT, ByteLevel, pieces_allow
 from .common import small_batches, steps, written
 
 MAX_PAIRS = 2_000_000
-#: Bytes of text that are aligned together; a longer text is a step of its own.
+#: Bytes of text that are aligned together; a longer text is a step of its own, and goes part by part.
 STEP = 1 << 18
 #: Characters that are encoded together.
 PART = 1 << 16
@@ -177,7 +177,33 @@ class Aligner:
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups and n_links of each text, groups_sha256 of each; and all links' ids in a row."""
-        encoded = self.encode(texts)
+        if len(texts) == 1 and len(texts[0]) > 2 * PART and self.by_parts and _valid(texts[0]):
+            return self._align_long(texts[0].decode())
+        numbers, names, a, b = self._aligned(self.encode(texts))
+        groups = np.full(len(texts), "", object)
+        groups[numbers[:, 0] > 0] = [hashlib.sha256(x.encode()).hexdigest() for x in names]
+        return numbers, groups.tolist(), a, b
+
+    def _align_long(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """One text, part by part: no group goes over the end of one."""
+        total, groups, links = np.zeros((1, 4), np.int64), hashlib.sha256(), []
+        for i, part in enumerate(self.parts(text)):
+            pair = self._ids_of(i, part)
+            if any(self.bytes_of(side, np.frombuffer(x, "<i4")).tobytes() != ("" if i else " ").encode() + part.encode() for side, x in enumerate(pair)):
+                return np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int32), np.zeros(0, np.int32)
+            numbers, names, *own = self._aligned([pair])
+            total += numbers
+            groups.update((";" if i else "").encode() + names[0].encode())
+            links.append(own)
+        return total, [groups.hexdigest()], *(np.concatenate(x) for x in zip(*links, strict=True))
+
+    def _ids_of(self, i: int, part: str) -> tuple[bytes, bytes]:
+        """Ids of A and of B of a text's part number ``i``."""
+        ids = self.b.encode("a" + part)[1:] if i else self.b.encode(part)
+        return self.a.latin(part if i else " " + part), np.array(ids, "<i4").tobytes()
+
+    def _aligned(self, encoded: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups and n_links of each text; the groups of those that have tokens; all links' ids in a row."""
         ids = [np.frombuffer(b"".join(x[side] for x in encoded), "<i4") for side in (0, 1)]
         found = Alignment(*(n[x] for n, x in zip(self.lengths, ids, strict=True)))
         # A text's end is a common one, so groups and links are of one text.
@@ -186,11 +212,7 @@ class Aligner:
         row, column = found.ending_together()
         upto = np.c_[np.searchsorted(found.ends, ends, "right"), np.searchsorted(found.end_a[row], ends, "right")]
         numbers = np.c_[sizes, np.diff(upto, axis=0, prepend=0)]
-        names = self._groups(found, ids, ends)
-        has = numbers[:, 0] > 0
-        groups = np.full(len(texts), "", object)
-        groups[has] = [hashlib.sha256(x.encode()).hexdigest() for x in names]
-        return numbers, groups.tolist(), ids[0][row], ids[1][column]
+        return numbers, self._groups(found, ids, ends), ids[0][row], ids[1][column]
 
     def _groups(self, found: Alignment, ids: list[np.ndarray], ends: np.ndarray) -> list[str]:
         """The groups of each text that has tokens: those of A and of B in turn, each id with the sign behind it."""

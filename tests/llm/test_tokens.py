@@ -163,6 +163,11 @@ def test_long_texts_go_in_parts(both, monkeypatch):
     numbers, groups, *_ = one.align([t.encode() for t in texts])
     expected = brute_alignment(both, texts)
     assert [(*n, g) for n, g in zip(numbers.tolist(), groups, strict=True)] == [(*x[:4], x[6]) for x in expected]
+    # A text of many parts by itself.
+    for text, x in zip(texts[:200], expected, strict=False):
+        n, g, a, b = one.align([text.encode()])
+        assert (*n[0].tolist(), g[0]) == (*x[:4], x[6])
+        assert len(a) == len(b) == x[3]
 
 
 def test_cut_gives_the_text_back():
