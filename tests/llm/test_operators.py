@@ -963,6 +963,13 @@ def test_pipeline(spark, table, docs, empty):
     assert Counter(map(str, same.collect())) <= Counter(map(str, docs.collect()))
 
 
+def test_row_keys_of_columns_with_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1), array(map(1, 2))), (1, map('a', 2), array(map(1, 2))), (1, map('a', 1), array(map(1, 3))), (1, null, null), (1, map('a', 1), array(map(1, 2))) AS t(doc_id, m, n)")
+    keys = [r[0] for r in df.select(corpus_pipeline.row_key(df)).collect()]
+    assert len(set(keys)) == 4
+    assert keys[0] == keys[4]
+
+
 def test_pipeline_brute_force(spark, table):
     """Every stage by hand on a small corpus, against run()."""
     rows = sorted(table.collect())
