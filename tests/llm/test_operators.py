@@ -636,6 +636,60 @@ def test_near_copies_of_documents(spark):
     assert {i: first[found[r["doc_id"]]] for i, r in enumerate(rows)} == expected
 
 
+def test_near_copies_lose_no_pair(spark):
+    """Pairs just at 0.8 are joined and those just below aren't, whatever their fingerprints say."""
+    rng = random.Random(11)
+    rows, expected = [], []
+    for n in range(1500):
+        size = (14, 40, 94)[n % 3]
+        words = [f"w{rng.randrange(10**7)}" for _ in range(size)]
+        gone = (size - 4) // 5 + (n % 2)  # this many of its shingles lack in the copy: 0.8 or just above, or just below
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[gone:]))]
+        expected.append(n % 2 == 0)
+    found = {r["key"]: r["group"] for r in near_copies.groups(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert [found[2 * n] == found[2 * n + 1] for n in range(1500)] == expected
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_copies_of_large_groups(spark, block):
+    """Variants of one text, some within 0.8 of a few others only, and texts that share most of a passage."""
+    rng = random.Random(5)
+    base, texts = [f"b{i}" for i in range(90)], []
+    for n in range(240):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice((1, 1, 2, 3, 4))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for n in range(120):
+        own = [f"y{rng.randrange(10**6)}" for _ in range(rng.choice((3, 12, 18, 20, 24, 30)))]
+        texts.append(" ".join([f"p{i}" for i in range(70)] + own))
+    expected = jaccard_groups(texts)
+    made = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = {r["key"]: r["group"] for r in near_copies.groups(made, block=block).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(found[i], i)
+    assert {i: first[found[i]] for i in range(len(texts))} == expected
+    assert 20 < len(set(expected.values())) < 340
+
+
+def test_near_copies_group_gives_few_pairs(spark):
+    """What leaves the tasks grows with a group's size, not its square: two pairs a text and order, and few once joined."""
+    rng = random.Random(6)
+    texts = []
+    for n in range(3000):
+        words = [f"b{i}" for i in range(100)]
+        words[rng.randrange(100)] = f"x{n}"
+        texts.append(" ".join(words))
+    made = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    entries = near_copies.fingerprints(made, 5, 0.8).cache()
+    near = near_copies.neighbours(entries).cache()
+    assert 2900 < near.count() <= 2 * 3000
+    joined = near_copies.components(near)
+    assert near_copies.candidates(entries, joined=joined).count() < 3000
+    assert near_copies.missed(entries, joined, 0.8, 512, 0).count() < 3000
+
+
 def test_repeated_ids_join_nothing(spark):
     texts = [" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "abcd"]
     rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])]
