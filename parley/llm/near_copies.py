@@ -18,10 +18,12 @@ nearest first.
 
 The bytes miss some pairs that are alike, and a forest's pair that is refused may have stood for one that isn't. So the last
 step (``missed``) is exact: in any common order of shingles, sets that are alike share one among their first n - ceil(0.8 n) + 1.
-Rare ones come first, by counts over a bounded sample (an order only: every set is indexed, and any order is exact). A pair
-is refused if its sizes and places in the list, or 1024 parity bits (256 of them in the lists of frequent shingles), which
-differ no more often than the sets, leave it no way to be alike; all others are compared. Where a list has too many the nearest leave first, and the step is
-repeated on those lists with more until a round left none behind.
+Rare ones come first, by counts over a bounded sample (an order only: every set is indexed, and any order is exact). Large
+sets are dealt over ``pieces`` by their shingles' hashes; if sets are alike, so are the two sets' shares of some piece, as the
+whole ratio is a mean of the pieces'. Only lists that join groups get their pieces' 1024 parity bits. A pair is refused in
+its task if sizes, places in the list or these bits, which differ no more often than the sets, leave it no way to be alike;
+all others are compared. Where a list has too many the nearest leave first, and the step is repeated on those lists with more
+until a round left none behind.
 
 Defined results: texts with equal sets of shingles are one node; texts that are null or have no words are one group; rows
 that share a key must have one text; other columns are ignored.
@@ -58,12 +60,12 @@ SYMBOLS, WORDS = ["s0", "s1"], [f"w{i}" for i in range(VOTES // 64)]
 CARRIED = WORDS[:2]
 #: Parity bits: bit b says whether an odd number of the set's shingles fall to b.
 PARITY = [f"k{i}" for i in range(16)]
-#: Of frequent shingles a posting carries so many words, to which the others are added.
-FOLDED = 4
 #: Shingles that LEAST_COUNT of about SAMPLE texts hold are frequent; of those the MAX_FREQUENT most frequent are known.
 SAMPLE, LEAST_COUNT, MAX_FREQUENT = 20_000, 8, 200_000
-#: A hash of a shingle has so many bits; the next one marks it as frequent.
+#: A hash of a shingle has so many bits; the next one marks it as frequent, those above are a level.
 HASH_BITS = 44
+#: Sets of more shingles are dealt over pieces of 256 to 1024, which the parity bits suffice for.
+PIECE = 1024
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
@@ -130,8 +132,35 @@ def prints(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def parity(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Of each text 1024 parity bits as 16 words: two sets' differ in no more bits than there are shingles in one of them only."""
     n, bits = len(first) - 1, 64 * len(PARITY)
-    at = np.repeat(np.arange(n), np.diff(first)) * bits + (mixed(hashes) >> np.uint64(54)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
+    owner, bit = np.repeat(np.arange(n), np.diff(first)), (mixed(hashes) >> np.uint64(54)).astype(np.int64)
+    made = np.zeros((n, len(PARITY)), np.uint64)
+    for a in range(0, n, 1024):  # so many texts' counts are held at once
+        b = min(n, a + 1024)
+        own = slice(first[a], first[b])
+        odd = np.bincount((owner[own] - a) * bits + bit[own], minlength=(b - a) * bits) & 1
+        made[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, bits), axis=1, bitorder="little").view(np.uint64)
+    return made
+
+
+def pieces(first: np.ndarray, hashes: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each piece, its level and number, where it begins, one more than pieces; hashes, each piece's in order).
+
+    At level k a set is dealt over 4^k pieces by its shingles' hashes. A set has the levels of all sizes from its own to that
+    of the largest set that may be alike, so two alike have one in common: that of the larger."""
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    level = lambda n: np.searchsorted(PIECE * 4 ** np.arange(16), n)
+    low, high = level(sizes), level(sizes * ratio.denominator // ratio.numerator)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for k in range(high.max(initial=-1) + 1):
+        at = np.flatnonzero(((low <= k) & (k <= high))[owner])
+        number = ((mixed(hashes[at]) >> np.uint64(20)) & np.uint64(4**k - 1)).astype(np.int64)
+        held.append((owner[at], k << 32 | number, hashes[at]))
+    owner, piece, dealt = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((dealt, piece, owner))
+    owner, piece, dealt = owner[order], piece[order], dealt[order]
+    begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])][: len(owner)])
+    return owner[begin], piece[begin], np.r_[begin, len(owner)], dealt
 
 
 def prefixes(first: np.ndarray, hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +192,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def fingerprints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(key, node, size, symbols, carried words, parity bits, prefix) of each row."""
+    """(key, node, size, symbols, carried words, parity bits, pieces, their parity bits) of each row."""
     names = ["node", "size", *SYMBOLS, *CARRIED, *PARITY]
     ratio = _ratio(similarity)
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
@@ -172,13 +201,25 @@ def fingerprints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch, texts in steps(batches, "text"):
             first, hashes = shingles(texts, shingle)
             node, size, symbols, bits = prints(first, hashes)
-            made = [node, size.astype(np.uint64), *symbols.T, *bits.T[: len(CARRIED)], *parity(first, hashes).T]
+            made = [node, size, *symbols.T, *bits.T[: len(CARRIED)], *parity(first, hashes).T]
+            made = [batch.column(0), *(_longs(x) for x in made)]
+            text, piece, first, hashes = pieces(first, hashes, ratio)
             begin, prefix = prefixes(first, hashes, *known.value, ratio)
-            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(prefix.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made), lists], ["key", *names, "prefix"])
+            # A level's lists are its own.
+            prefix |= np.repeat((piece >> 32).astype(np.uint64) << np.uint64(HASH_BITS + 1), np.diff(begin))
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), _longs(prefix))
+            of_texts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+            for columns in ({"piece": _longs(piece), "size": _longs(np.diff(first)), "prefix": lists}, dict(zip(["piece", *PARITY], map(_longs, [piece, *parity(first, hashes).T]), strict=True))):
+                made.append(pa.ListArray.from_arrays(of_texts, pa.StructArray.from_arrays([*columns.values()], [*columns])))
+            yield pa.RecordBatch.from_arrays(made, ["key", *names, "pieces", "bits"])
+
+    longs = lambda names: ", ".join(f"{c}: long" for c in names)
+    schema = f"{longs(['key', *names])}, pieces: array<struct<piece: long, size: long, prefix: array<long>>>, bits: array<struct<{longs(['piece', *PARITY])}>>"
+    return docs.select("key", "text").mapInArrow(scan, schema)
+
 
-    fields = [T.StructField(c, T.LongType()) for c in ["key", *names]]
-    return docs.select("key", "text").mapInArrow(scan, T.StructType([*fields, T.StructField("prefix", T.ArrayType(T.LongType()))]))
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).astype(np.int64, copy=False) if x.dtype != np.uint64 else np.ascontiguousarray(x).view(np.int64))
 
 
 def _ratio(similarity: float) -> Fraction:
@@ -333,6 +374,11 @@ def _further(pair: Column) -> Column:
     return F.transform(F.slice(rest, 1, POSITIONS - 3), lambda p: (p + 1) * (1 << 8) + byte(p))
 
 
+def _small(joined: DataFrame | None) -> DataFrame | None:
+    """To be sent to all tasks where it has few rows, so the other side of a join isn't shuffled."""
+    return F.broadcast(joined) if joined is not None and joined.count() <= MAX_BROADCAST_NODES else joined
+
+
 def _grouped(entries: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Entries with the group (node, component) that they are in so far."""
     if joined is None:
@@ -366,7 +412,7 @@ def candidates(entries: DataFrame, max_bits: int = 34, block: int = 1024, joined
     # Pair of positions, a byte for the third position and 16 bits below: list = pair << 32 | third << 16 | the two bytes.
     keys = F.array(*[F.struct(F.lit(t).alias("pair"), (_symbol(a) * (1 << 8) + _symbol(b)).alias("bytes")) for t, (a, b) in enumerate(PAIRS)])
     columns = ["node", "group", *SYMBOLS, *CARRIED]
-    posted = _grouped(entries, joined).select(F.inline(keys), *columns)
+    posted = _grouped(entries, _small(joined)).select(F.inline(keys), *columns)
     # There are 35 x 16384 such lists at most, so this table is small whatever the corpus.
     sizes = written(posted.groupBy("pair", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > block).select("pair", "bytes", F.lit(True).alias("long")), "near-long")
     marked = posted.join(F.broadcast(sizes), ["pair", "bytes"], "left")
@@ -387,27 +433,37 @@ def candidates(entries: DataFrame, max_bits: int = 34, block: int = 1024, joined
 
 def missed(rows: DataFrame, joined: DataFrame, similarity: float, block: int, again: int, lists: DataFrame | None = None) -> DataFrame:
     """(u, v, behind), u < v: pairs of nodes that aren't joined and may be alike; ``behind`` is their list if that has more, of
-    all lists or of ``lists`` (behind). Rows: node, size, parity bits, prefix; rows of one node are equal."""
-    mask = (1 << HASH_BITS) - 1
-    folded = [reduce(Column.bitwiseXOR, [F.col(c) for c in PARITY[i::FOLDED]]).alias(f"f{i}") for i in range(FOLDED)]
-    few = [f"f{i}" for i in range(FOLDED)]
-    rows, shingles_ = rows.where("size > 0"), F.posexplode("prefix").alias("place", "shingle")
+    all lists or of ``lists`` (behind). Rows: node, size, pieces, their parity bits; rows of one node are equal."""
+    mark, rows, exploded = 1 << HASH_BITS, rows.where("size > 0"), F.posexplode("prefix").alias("place", "shingle")
+    often, list_ = F.col("shingle").bitwiseAND(F.lit(mark)) != 0, F.col("shingle").bitwiseAND(F.lit(~mark))
+    joined = _small(joined)
+    placed = rows.select("node", F.inline("pieces")).select("node", "piece", "size", exploded)
+    if lists is not None:
+        placed = placed.withColumn("behind", list_).join(lists, "behind", "left_semi")
+    known = _grouped(placed.where(often).dropDuplicates(["node", "shingle"]), joined)
     if lists is None:
-        held = rows.select("node", "size", *folded, "prefix").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", *few, "prefix")))
-        posted = _grouped(held, joined).select("node", "group", "size", *few, shingles_)
+        held = _grouped(rows.select("node", "pieces"), joined).select("node", "group", F.inline("pieces"))
+        others = held.select("node", "group", "piece", "size", exploded).where(~often)
     else:
-        held = rows.select("node", "size", *folded, shingles_).withColumn("behind", F.col("shingle").bitwiseAND(F.lit(mask)))
-        posted = _grouped(held.join(lists, "behind", "left_semi").drop("behind").dropDuplicates(["node", "place"]), joined)
-    often = F.col("shingle") > mask
-    posted = posted.select(F.col("shingle").bitwiseAND(F.lit(mask)).alias("list"), often.alias("often"), "node", "group", "size", F.col("place").cast("long"), *(F.when(often, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in few))
-    # MAX_FREQUENT rows at most.
-    blocks = F.ceil(F.count("*") / block).cast("int")
-    sizes = written(posted.where("often").groupBy("list").agg(blocks.alias("blocks")).where("blocks > 1").select(F.col("list").alias("of_list"), "blocks"), "near-frequent")
-    dealt = posted.join(F.broadcast(sizes), F.col("often") & (F.col("list") == F.col("of_list")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        others = _grouped(placed.where(~often), joined)
+    posted = lambda found: found.select(list_.alias("list"), "node", "group", "piece", "size", F.col("place").cast("long"))
+    # Lists of one group give no pairs; they are nearly all. Of frequent shingles there are MAX_FREQUENT lists a level at most.
+    blocks, several = F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("group") < F.max("group")
+    sizes = written(posted(known).groupBy("list").agg(blocks, several.alias("several")).where("several").select("list", "blocks"), "near-frequent")
+    # Nor do sets of which none in the list is within the ratio: the next in size would be.
+    ratio, within = _ratio(similarity), W.partitionBy("list")
+    by_size = within.orderBy("size", "node")
+    near = lambda less, more: less * ratio.denominator >= more * ratio.numerator
+    shared = posted(others).withColumn("before", F.lag("node").over(by_size)).where("before IS NULL OR before <> node")
+    shared = shared.withColumns({"low": F.min("group").over(within), "high": F.max("group").over(within), "less": F.lag("size").over(by_size), "more": F.lead("size").over(by_size)})
+    shared = shared.where((F.col("low") < F.col("high")) & (near(F.col("less"), F.col("size")) | near(F.col("size"), F.col("more")))).drop("before", "low", "high", "less", "more")
+    shared = posted(known).join(F.broadcast(sizes), "list").unionByName(shared.withColumn("blocks", F.lit(1)))
+    bits = rows.groupBy("node").agg(F.first("bits").alias("bits")).select("node", F.inline("bits"))
+    dealt = shared.join(bits, ["node", "piece"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("list", F.least("own", "other").cast("long").alias("one"), F.greatest("own", "other").cast("long").alias("two"), "node", "group", F.col("own").cast("long"), "size", "place", *few)
+    units = dealt.select("list", F.least("own", "other").cast("long").alias("one"), F.greatest("own", "other").cast("long").alias("two"), "node", "group", F.col("own").cast("long"), "size", "place", *PARITY)
     units = units.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two", "size", "node")
-    return units.mapInArrow(_missed_of_units(_ratio(similarity), again), "u long, v long, behind long")
+    return units.mapInArrow(_missed_of_units(ratio, again), "u long, v long, behind long")
 
 
 def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:

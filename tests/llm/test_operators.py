@@ -690,6 +690,23 @@ def test_near_copies_group_gives_few_pairs(spark):
     assert near_copies.missed(entries, joined, 0.8, 512, 0).count() < 3000
 
 
+def test_near_copies_of_long_texts_give_few_pairs(spark):
+    """Texts that share passages only are refused in the tasks, however long; copies just at 0.8 aren't, whatever their levels."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [words(60) for _ in range(100)]
+    texts = [" ".join(w for p in rng.sample(passages, 6) for w in p + words(200)) for _ in range(120)]
+    for n in (50, 820, 1000, 1025, 1280, 1285, 4000, 4100, 5120, 5125, 17000):
+        whole = words(n + 4)
+        texts += [" ".join(whole), " ".join(whole[n // 5 :])]
+    entries = near_copies.fingerprints(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 5, 0.8).cache()
+    node = {r["key"]: r["node"] for r in entries.select("key", "node").collect()}
+    expected = {tuple(sorted((node[i], node[i + 1]))) for i in range(120, len(texts), 2)}
+    found = near_copies.missed(entries, spark.createDataFrame([], "node long, component long"), 0.8, 512, 0).collect()
+    assert expected <= {(r["u"], r["v"]) for r in found}
+    assert sum((r["u"], r["v"]) not in expected for r in found) < 50
+
+
 def test_repeated_ids_join_nothing(spark):
     texts = [" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "abcd"]
     rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])]
