@@ -10,7 +10,6 @@ from parley.plans import frames as fr
 from parley.plans import q_sources
 from parley.plans.registry import query
 from parley.sources import readers
-from parley.sources.store import materialised
 
 #: letter: (initial, final). b/d and v/w sound alike by their initials, i/y by their finals.
 LETTERS = {"b": ("zh", "a"), "d": ("z", "a"), "v": ("f", "u"), "w": ("h", "u"), "i": ("y", "in"), "y": ("y", "ing"), "o": ("", "o"), "e": ("", "e"), "n": ("n", "an"), "r": ("r", "ang"), "l": ("l", "an"), "t": ("t", "o"), "h": ("h", "e"), "a": ("", "a"), "s": ("sh", "i"), "z": ("s", "i")}
@@ -91,7 +90,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     glossary = spark.createDataFrame([("n", "x")], "wrong string, right string").limit(0)
-    return correct.gate_corrections(materialised(proposals(spark, sf_dir), "proposals"), syllables(spark), glossary)
+    return correct.gate_corrections(proposals(spark, sf_dir), syllables(spark), glossary)
 
 
 @query()
