@@ -246,14 +246,14 @@ def gate_corrections(pairs: DataFrame, syllables: DataFrame, glossary: DataFrame
     cut = pairs.withColumn("same", same).withColumn("ops", ops)
     dropped = ~F.col("same") & (F.col("ops").isNull() | (changed_share(F.col("ops"), F.col("original")) > ratio))
     told = cut.withColumn("dropped", dropped).withColumn("ops", F.when(~F.col("dropped"), F.col("ops")))
-    # Written, as both results and the swaps come from it; a text that has operations is in them.
-    held = materialised(told.select("doc_id", "seg_no", F.when(F.col("ops").isNull(), F.col("original")).alias("original"), "ops", "dropped"), "differences")
-    each = held.select("doc_id", "seg_no", F.posexplode("ops").alias("op_no", "o")).select("doc_id", "seg_no", "op_no", "o.*").where("tag <> 'equal'")
+    # Written, as both results and the swaps come from it; a text that has operations is in them. Keys may be there twice.
+    held = materialised(told.select(F.monotonically_increasing_id().alias("row"), "doc_id", "seg_no", F.when(F.col("ops").isNull(), F.col("original")).alias("original"), "ops", "dropped"), "differences")
+    each = held.select("row", "doc_id", "seg_no", F.posexplode("ops").alias("op_no", "o")).select("row", "doc_id", "seg_no", "op_no", "o.*").where("tag <> 'equal'")
     swaps = each.where("tag = 'replace'").select("old", "new").distinct()
     good = sounding_alike(syllables, swaps).unionByName(glossary.select(F.col("wrong").alias("old"), F.col("right").alias("new"))).distinct().withColumn("good", F.lit(True))
     judged = each.join(good, ["old", "new"], "left")
     accepted = (F.col("tag") == "replace") & F.coalesce("good", F.lit(False))
-    taken = judged.where(accepted).groupBy("doc_id", "seg_no").agg(F.collect_set("op_no").alias("taken"))
+    taken = judged.where(accepted).groupBy("row").agg(F.collect_set("op_no").alias("taken"))
 
     def gated(taken: Column) -> Column:
         def kept(o: Column, i: Column) -> Column:
@@ -266,7 +266,7 @@ def gate_corrections(pairs: DataFrame, syllables: DataFrame, glossary: DataFrame
     # Only texts with a replacement meet the judged ones.
     swapped = F.coalesce(F.exists("ops", lambda o: o["tag"] == "replace"), F.lit(False))
     out = held.where(~swapped).select("doc_id", "seg_no", gated(F.array().cast("array<int>")), "dropped")
-    out = out.unionByName(held.where(swapped).join(taken, ["doc_id", "seg_no"], "left").select("doc_id", "seg_no", gated(F.col("taken")), "dropped"))
+    out = out.unionByName(held.where(swapped).join(taken, "row", "left").select("doc_id", "seg_no", gated(F.col("taken")), "dropped"))
     blank = lambda c: stripped(F.col(c)) == ""
     reported = (F.col("tag") == "replace") | ((F.col("tag") == "delete") & ~blank("old")) | ((F.col("tag") == "insert") & ~blank("new"))
     reason = F.when(accepted, "").when(F.col("tag") == "replace", "not alike").when(F.col("tag") == "delete", "deletion").otherwise("insertion")

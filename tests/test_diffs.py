@@ -51,3 +51,13 @@ def test_gate_of_long_texts(spark):
     assert found == {0: (near[: len(text)], False), 1: (text, True), 2: (text, False), 3: ("", False), 4: (None, False), 5: ("x", False), 6: (" x", False)}
     told = sorted((x.seg_no, x.op_no, x.original, x.corrected, x.accepted, x.reason) for x in changes.collect())
     assert told == [(0, 1, "b", "d", True, ""), (0, 3, "", " and more", False, "insertion"), (1, -1, "", "", False, "changes too much"), (2, 0, text[:2], "", False, "deletion"), (3, 0, "", "new", False, "insertion")]
+
+
+def test_keys_that_are_there_twice_or_null(spark):
+    """Each pair keeps its own replacements."""
+    base = "".join(chr(0x5000 + i) for i in range(40))
+    rows = [(1, 0, base + "b" + base, base + "d" + base), (1, 0, base + "n" + base, base + "x" + base), (None, 0, base + "v", base + "w")]
+    pairs = spark.createDataFrame(rows, "doc_id int, seg_no int, original string, candidate string")
+    texts, changes = correct.gate_corrections(pairs, q_correct.syllables(spark), spark.createDataFrame([], "wrong string, right string"))
+    assert sorted(x.text for x in texts.collect()) == sorted([rows[0][3], rows[1][2], rows[2][3]])
+    assert sorted((x.original, x.accepted) for x in changes.collect()) == [("b", True), ("n", False), ("v", True)]
